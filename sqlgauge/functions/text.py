@@ -45,8 +45,11 @@ CONDITION_WORDING = (
 )
 
 _FENCE = rf"{MULTI_LINE}```(?:sql)?{SPACE}*\n?(.*?)\n?```"
-_STATEMENT = rf"{MULTI_LINE}(?:{'|'.join(STATEMENT_KEYWORDS)})(?!{WORD}).*"
-_PROSE_TAIL = rf"{MULTI_LINE}\n[{SPACE}&&[^\n]]*(?:{'|'.join(PROSE_OPENINGS)}).*"
+# group 1: from the first statement keyword up to a line of prose; group 2: the whole text without a keyword
+_BARE = (
+    rf"{MULTI_LINE}\A(?:.*?(?=(?:{'|'.join(STATEMENT_KEYWORDS)})(?!{WORD}))(.*?)"
+    rf"(?:\n[{SPACE}&&[^\n]]*(?:{'|'.join(PROSE_OPENINGS)}).*)?|(.*))\z"
+)
 
 
 def strip(text: Column) -> Column:
@@ -64,11 +67,9 @@ def collapse_spaces(text: Column) -> Column:
 def extract_sql(raw_output: Column) -> Column:
     """SQL text inside a model's raw output; '' when the output is missing or blank."""
     text = strip(F.coalesce(raw_output, F.lit("")))
-    statement = F.regexp_substr(text, F.lit(_STATEMENT))
-    statement = drop_semicolons(strip(F.regexp_replace(statement, _PROSE_TAIL, "")))
-    unfenced = F.coalesce(statement, drop_semicolons(text))
+    bare = drop_semicolons(strip(F.regexp_replace(text, _BARE, "$1$2")))
     has_fence = F.contains(text, F.lit("```")) & F.regexp_like(text, F.lit(_FENCE))
-    return F.when(has_fence, strip(F.regexp_extract(text, _FENCE, 1))).otherwise(unfenced)
+    return F.when(has_fence, strip(F.regexp_extract(text, _FENCE, 1))).otherwise(bare)
 
 
 def normalize_sql(sql: Column) -> Column:

@@ -98,7 +98,7 @@ def augment(examples: DataFrame, settings: AugmentationSettings = AugmentationSe
     return (
         examples.filter(usable[0] & usable[1] & usable[2])
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(settings.multiplier))))
-        .select(*kept, "copy", F.inline(_rewritten(settings.seed)))
+        .select(*kept, "copy", F.inline_outer(_rewritten(settings.seed)))
         .filter("new_question IS NOT NULL")
         .withColumnRenamed("new_question", "question")
     )

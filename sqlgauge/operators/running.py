@@ -28,13 +28,16 @@ def running_totals(
     """
     names = list(amounts)
     place = F.col(position).cast("long")
+
+    def part(number: Column) -> Column:
+        # never NULL: a NULL check that Spark adds to one branch only would keep it from sharing the shuffle
+        return F.coalesce(F.shiftright(number, page_bits), F.lit(0).cast("long"))
+
     rows = df.select(
-        "*",
-        *[amounts[n].cast("long").alias(n) for n in names],
-        F.shiftright(place, page_bits).alias("_page"),
+        "*", *[amounts[n].cast("long").alias(n) for n in names], part(place).alias("_page")
     )
     pages = rows.groupBy(*keys, "_page").agg(*[F.sum(n).alias(f"_{n}") for n in names])
-    pages = pages.withColumn("_book", F.shiftright("_page", page_bits))
+    pages = pages.withColumn("_book", part(F.col("_page")))
     books = pages.groupBy(*keys, "_book").agg(*[F.sum(f"_{n}").alias(f"_{n}") for n in names])
 
     before_book = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_book").rowsBetween(

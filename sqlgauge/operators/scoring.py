@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sqlgauge.functions.text import extract_sql, normalize_sql
+from sqlgauge.session import evaluated_once
 
 
 def clean_predictions(predictions: DataFrame) -> DataFrame:
@@ -18,7 +19,7 @@ def score_exact(predictions: DataFrame) -> DataFrame:
     if "pred_sql" not in predictions.columns:
         predictions = clean_predictions(predictions)
     same = normalize_sql(F.col("pred_sql")) == normalize_sql(F.col("gold_sql"))
-    return predictions.withColumn("is_correct", same)
+    return evaluated_once(predictions, is_correct=same)
 
 
 def exact_details(predictions: DataFrame) -> DataFrame:

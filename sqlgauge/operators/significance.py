@@ -18,7 +18,7 @@ _SIGMAS = 9
 def _ranked_uniforms(df: DataFrame, settings: BootstrapSettings, ranks: Sequence[int]) -> Column:
     """The uniforms of the given ranks among one uniform per replicate, as an uncorrelated subquery."""
     draws = df.sparkSession.range(settings.reps).select(keyed_uniform(settings.seed, F.col("id")).alias("u"))
-    ordered = draws.agg(F.array_sort(F.collect_list("u")).alias("us"))
+    ordered = draws.agg(F.sort_array(F.collect_list("u")).alias("us"))
     return ordered.select(F.array(*[F.get("us", F.lit(r)) for r in ranks])).scalar()
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sqlgauge.functions import features as S
 from sqlgauge.functions.text import strip
-from sqlgauge.session import lookup_join
+from sqlgauge.session import evaluated_once, lookup_join
 
 # Categories in taxonomy order with their labels.
 CATEGORIES = {
@@ -119,17 +119,17 @@ def _with_differences(parts: DataFrame, with_columns: bool) -> DataFrame:
             _pair(F.size(_p("join_types")), F.size(_g("join_types"))),
         ),
         "join_type_mismatch": F.when(
-            F.array_sort(types) != F.array_sort(gold_types), _pair(types, gold_types)
+            F.sort_array(types) != F.sort_array(gold_types), _pair(types, gold_types)
         ),
-        "missing_join_tables": _some(F.array_sort(F.array_except(_g("join_tables"), _p("join_tables")))),
-        "extra_join_tables": _some(F.array_sort(F.array_except(_p("join_tables"), _g("join_tables")))),
+        "missing_join_tables": _some(F.sort_array(F.array_except(_g("join_tables"), _p("join_tables")))),
+        "extra_join_tables": _some(F.sort_array(F.array_except(_p("join_tables"), _g("join_tables")))),
         "aggregation_mismatch": F.when(
-            F.array_sort(_p("aggregates")) != F.array_sort(_g("aggregates")),
-            _pair(F.array_sort(_p("aggregates")), F.array_sort(_g("aggregates"))),
+            F.sort_array(_p("aggregates")) != F.sort_array(_g("aggregates")),
+            _pair(F.sort_array(_p("aggregates")), F.sort_array(_g("aggregates"))),
         ),
         "group_by_presence": F.when(p_groups != g_groups, _presence("group_by", p_groups, g_groups)),
         "group_by_columns": F.when(
-            (p_groups == g_groups) & (F.array_sort(_p("group_by")) != F.array_sort(_g("group_by"))),
+            (p_groups == g_groups) & (F.sort_array(_p("group_by")) != F.sort_array(_g("group_by"))),
             _pair(_p("group_by"), _g("group_by")),
         ),
         "having_presence": F.when(p_having != g_having, _presence("having", p_having, g_having)),
@@ -143,10 +143,7 @@ def _with_differences(parts: DataFrame, with_columns: bool) -> DataFrame:
         ),
     }
     assert list(differences) == [d for group in _CHECKS.values() for d in group]
-    kept = [c for c in parts.columns if not c.startswith(("_pred_", "_gold_", "_columns"))]
-    return parts.select(
-        *kept, *[F.when(analyzable, d).alias(f"_{name}") for name, d in differences.items()]
-    )
+    return evaluated_once(parts, **{f"_{name}": F.when(analyzable, d) for name, d in differences.items()})
 
 
 # the differences each detail group holds, in category order

@@ -37,6 +37,26 @@ def written(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def evaluated_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once per row, however often later steps use them.
+
+    Spark copies the expression of a column into every filter it pushes below the projection, so a costly
+    pattern match would run once per use. A filter on the output of a generator is not pushed; a generator
+    of exactly one row therefore keeps the row count and the single evaluation.
+    """
+    row = F.struct(*[column.alias(name) for name, column in columns.items()])
+    return df.select("*", F.inline_outer(F.array(row)))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Redistributes the rows of a scan that has fewer tasks than the cluster has cores; else the same table.
+
+    A pattern match costs far more than moving its row, so one small file should not keep it on one core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def fits_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
     """Whether all rows together, as text, are within the bound. One aggregate; only one row returns."""
     size = F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long") + F.lit(16))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sqlgauge.session import spread
+
 # twelve query templates that are valid on the given tables
 TEMPLATES = (
     "SELECT count(*) FROM nation",
@@ -94,7 +96,7 @@ def _pick(items: tuple[str, ...], place: Column) -> Column:
 
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
     """Raw outputs of three models for every order."""
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    orders = spread(table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"))
     models = F.array(
         *[F.struct(F.lit(n).alias("model_name"), F.lit(i).alias("mid"), F.lit(s).alias("skill")) for n, i, s in MODELS]
     )
@@ -137,7 +139,7 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
 def train(spark: SparkSession, folder: str) -> DataFrame:
     """A question and query for every order; one in ten is validation."""
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
-    return table(spark, folder, "orders").select(
+    return spread(table(spark, folder, "orders").select("o_orderkey", "o_custkey")).select(
         key.alias("idx"),
         F.when(key % 10 == 0, "validation").otherwise("train").alias("split"),
         F.concat(F.lit("db_"), (cust % 25).cast("string")).alias("db_id"),

@@ -49,6 +49,11 @@ def _scored(spark: SparkSession, folder: str) -> DataFrame:
     return scoring.score_exact(inputs.predictions(spark, folder))
 
 
+def _outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """The scored table without its texts, written once for queries that read it several times."""
+    return written(_scored(spark, folder).select("model_name", "idx", "difficulty", "is_correct"), "outcomes")
+
+
 def _catalog(spark: SparkSession, folder: str) -> DataFrame:
     return corpus.schema_catalog(inputs.schema_examples(spark, folder))
 
@@ -69,6 +74,13 @@ def _profile(spark: SparkSession, folder: str) -> DataFrame:
     return error_tables.error_profile(taxonomy.classify_errors(_scored(spark, folder), keep_correct=True))
 
 
+def _classified(spark: SparkSession, folder: str) -> DataFrame:
+    """The classified table, written once for queries that read it several times."""
+    rows = taxonomy.classify_errors(_scored(spark, folder), keep_correct=True)
+    columns = ("model_name", "idx", "db_id", "question", "gold_sql", "difficulty", "is_correct")
+    return written(rows.select(*columns, "categories", "primary_category"), "classified")
+
+
 # ---- scans, sources, sinks
 
 
@@ -439,19 +451,19 @@ def bootstrap_ci_labels(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def model_summary(spark: SparkSession, folder: str) -> DataFrame:
     """D10"""
-    return _rounded(significance.model_summary(_scored(spark, folder)), "accuracy", "ci_lower", "ci_upper")
+    return _rounded(significance.model_summary(_outcomes(spark, folder)), "accuracy", "ci_lower", "ci_upper")
 
 
 @query
 def mcnemar_table(spark: SparkSession, folder: str) -> DataFrame:
     """D11"""
-    return significance.mcnemar_table(_scored(spark, folder))
+    return significance.mcnemar_table(_outcomes(spark, folder))
 
 
 @query
 def mcnemar_test(spark: SparkSession, folder: str) -> DataFrame:
     """D12"""
-    scored = _scored(spark, folder)
+    scored = _outcomes(spark, folder)
     found = significance.mcnemar_test(significance.mcnemar_table(scored), accuracy.accuracy_overall(scored))
     return _rounded(found, "accuracy_a", "accuracy_b", "mcnemar_chi2", "p_value")
 
@@ -467,7 +479,7 @@ def mcnemar_test_labels(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def accuracy_pivot(spark: SparkSession, folder: str) -> DataFrame:
     """D13"""
-    scored = _scored(spark, folder)
+    scored = _outcomes(spark, folder)
     found = accuracy.accuracy_pivot(scored, significance.bootstrap_ci(scored))
     return _rounded(found, "overall", "easy", "medium", "hard", "extra", "ci_lower", "ci_upper")
 
@@ -615,23 +627,32 @@ def ranked_weaknesses(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def distribution_shift(spark: SparkSession, folder: str) -> DataFrame:
     """T14"""
-    found = error_tables.distribution_shift(_profile(spark, folder), SHIFTS)
+    found = error_tables.distribution_shift(written(_profile(spark, folder), "profile"), SHIFTS)
     return _rounded(found, "before_pct", "after_pct", "change_pct", "accuracy_change")
 
 
 # ---- augmentation
 
 
-def _weak(spark: SparkSession, folder: str, errors: DataFrame | None = None) -> DataFrame:
-    distribution = error_tables.category_distribution(_profile(spark, folder))
+def _weak(classified: DataFrame) -> DataFrame:
+    distribution = error_tables.category_distribution(error_tables.error_profile(classified))
     return written(augmentation.weak_categories(error_tables.ranked_weaknesses(distribution)), "weak")
 
 
-def _related(spark: SparkSession, folder: str) -> DataFrame:
-    found = augmentation.error_databases(_errors(spark, folder), _weak(spark, folder))
+def _errors_of(classified: DataFrame) -> DataFrame:
+    return classified.filter(F.col("categories").isNotNull())
+
+
+def _related(spark: SparkSession, folder: str, classified: DataFrame, weak: DataFrame) -> DataFrame:
+    found = augmentation.error_databases(_errors_of(classified), weak)
     return augmentation.related_examples(inputs.train(spark, folder), written(found, "error-databases"))
 
 
+def _related_to_errors(spark: SparkSession, folder: str) -> DataFrame:
+    classified = _classified(spark, folder)
+    return _related(spark, folder, classified, _weak(classified))
+
+
 def _examples(spark: SparkSession, folder: str, category: str) -> DataFrame:
     """Every training row as an example of one category."""
     return inputs.train(spark, folder).withColumn("category", F.lit(category))
@@ -645,20 +666,21 @@ def _rewrites(spark: SparkSession, folder: str, category: str, name: str) -> Dat
 @query
 def weak_categories(spark: SparkSession, folder: str) -> DataFrame:
     """F1"""
-    return _rounded(_weak(spark, folder), "error_rate")
+    return _rounded(_weak(_classified(spark, folder)), "error_rate")
 
 
 @query
 def error_examples(spark: SparkSession, folder: str) -> DataFrame:
     """F2"""
-    found = augmentation.error_examples(_errors(spark, folder), _weak(spark, folder))
+    classified = _classified(spark, folder)
+    found = augmentation.error_examples(_errors_of(classified), _weak(classified))
     return found.select("model_name", "category", "idx", "db_id")
 
 
 @query
 def related_examples(spark: SparkSession, folder: str) -> DataFrame:
     """F3"""
-    return _related(spark, folder).select("model_name", "category", "idx", "db_id")
+    return _related_to_errors(spark, folder).select("model_name", "category", "idx", "db_id")
 
 
 def _register_rewrites() -> None:
@@ -677,16 +699,17 @@ _register_rewrites()
 @query
 def augment(spark: SparkSession, folder: str) -> DataFrame:
     """F14"""
-    made = augmentation.augment(_related(spark, folder))
+    made = augmentation.augment(_related_to_errors(spark, folder))
     return made.select("model_name", "category", "idx", "copy", "db_id", "augmentation_type", "question")
 
 
 @query
 def augmentation_stats(spark: SparkSession, folder: str) -> DataFrame:
     """F15"""
-    errors, weak = _errors(spark, folder), _weak(spark, folder)
-    related = _related(spark, folder)
-    shown = augmentation.error_sources(augmentation.error_examples(errors, weak))
+    classified = _classified(spark, folder)
+    weak = _weak(classified)
+    related = _related(spark, folder, classified, weak)
+    shown = augmentation.error_sources(augmentation.error_examples(_errors_of(classified), weak))
     sources = related.select(*shown.columns).unionByName(shown)
     return augmentation.augmentation_stats(sources, augmentation.augment(sources))
 
@@ -695,7 +718,7 @@ def augmentation_stats(spark: SparkSession, folder: str) -> DataFrame:
 def augmentation_totals(spark: SparkSession, folder: str) -> DataFrame:
     """totals."""
     return augmentation.augmentation_totals(
-        inputs.train(spark, folder), augmentation.augment(_related(spark, folder))
+        inputs.train(spark, folder), augmentation.augment(_related_to_errors(spark, folder))
     )
 
 
@@ -703,7 +726,7 @@ def augmentation_totals(spark: SparkSession, folder: str) -> DataFrame:
 def training_mix(spark: SparkSession, folder: str) -> DataFrame:
     """F16 for one model's round."""
     ddl, train = _ddl(spark, folder), inputs.train(spark, folder)
-    rows = augmentation.augment(_related(spark, folder).filter(F.col("model_name") == "round1"))
+    rows = augmentation.augment(_related_to_errors(spark, folder).filter(F.col("model_name") == "round1"))
     made = augmentation.augmented_prompts(rows, ddl)
     mix = augmentation.training_mix(prompts.prepare_training_data(train, ddl), made)
     return mix.select("place", "idx", "db_id", "augmentation_type", F.md5("text").alias("text_md5"))
