@@ -38,7 +38,13 @@ def query(function: Query) -> Query:
 
 
 def _list(items: Column | str) -> Column:
-    return F.array_join(items, "|")
+    """A list as text; '-' for NULL."""
+    return F.coalesce(F.array_join(items, "|"), F.lit("-"))
+
+
+def _shown(value: Column) -> Column:
+    """Any value as text; '-' for NULL."""
+    return F.coalesce(value.cast("string"), F.lit("-"))
 
 
 def _rounded(df: DataFrame, *columns: str, digits: int = 9) -> DataFrame:
@@ -261,13 +267,13 @@ def sql_group_by(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def sql_having(spark: SparkSession, folder: str) -> DataFrame:
     """B9"""
-    return _texts(spark, folder).withColumn("having_text", S.sql_having(F.col("sql")))
+    return _texts(spark, folder).withColumn("having_text", _shown(S.sql_having(F.col("sql"))))
 
 
 @query
 def sql_where(spark: SparkSession, folder: str) -> DataFrame:
     """B10"""
-    return _texts(spark, folder).withColumn("where_text", S.sql_where(F.col("sql")))
+    return _texts(spark, folder).withColumn("where_text", _shown(S.sql_where(F.col("sql"))))
 
 
 @query
@@ -281,10 +287,10 @@ def sql_features(spark: SparkSession, folder: str) -> DataFrame:
         _list("f.tables").alias("tables"),
         F.size("f.joins").alias("n_joins"),
         _list("f.aggregations").alias("aggregates"),
-        F.col("f.where_cond").alias("where_text"),
+        _shown(F.col("f.where_cond")).alias("where_text"),
         F.col("f.subquery_count").alias("subqueries"),
         _list("f.group_by").alias("group_by"),
-        F.col("f.having").alias("having_text"),
+        _shown(F.col("f.having")).alias("having_text"),
         F.col("f.is_valid").alias("is_valid"),
     )
 
@@ -312,7 +318,7 @@ def keyword_flags(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def simplify_condition(spark: SparkSession, folder: str) -> DataFrame:
     """B15"""
-    return _texts(spark, folder).withColumn("words", X.simplify_condition(S.sql_where(F.col("sql"))))
+    return _texts(spark, folder).withColumn("words", _shown(X.simplify_condition(S.sql_where(F.col("sql")))))
 
 
 # ---- schema text and prompts
@@ -403,7 +409,7 @@ def score_execution(spark: SparkSession, folder: str) -> DataFrame:
     found = databases.Databases(spark, {"shop": {n: f"{folder}/{n}.parquet" for n in names}})
     rows = inputs.predictions(spark, folder).withColumn("database", F.lit("shop"))
     scored = execution.score_execution(rows, found, database="database")
-    return scored.select("model_name", "idx", "is_correct", "gold_success", "pred_success")
+    return scored.select("model_name", "idx", "is_correct", "gold_success", "pred_success", "method")
 
 
 @query
@@ -528,8 +534,8 @@ def check_joins(spark: SparkSession, folder: str) -> DataFrame:
     d = "details.join_errors"
     return _check(
         spark, folder, "join_errors",
-        pred_joins=F.col(f"{d}.join_count_mismatch.predicted"),
-        gold_joins=F.col(f"{d}.join_count_mismatch.gold"),
+        pred_joins=_shown(F.col(f"{d}.join_count_mismatch.predicted")),
+        gold_joins=_shown(F.col(f"{d}.join_count_mismatch.gold")),
         pred_types=_list(f"{d}.join_type_mismatch.predicted"),
         gold_types=_list(f"{d}.join_type_mismatch.gold"),
         missing_join_tables=_list(f"{d}.missing_join_tables"),
@@ -545,10 +551,10 @@ def check_aggregation(spark: SparkSession, folder: str) -> DataFrame:
         spark, folder, "aggregation",
         pred_aggs=_list(f"{d}.aggregation_mismatch.predicted"),
         gold_aggs=_list(f"{d}.aggregation_mismatch.gold"),
-        pred_has_group_by=F.col(f"{d}.group_by_presence.predicted_has_group_by"),
+        pred_has_group_by=_shown(F.col(f"{d}.group_by_presence.predicted_has_group_by")),
         pred_group_by=_list(f"{d}.group_by_columns.predicted"),
         gold_group_by=_list(f"{d}.group_by_columns.gold"),
-        pred_has_having=F.col(f"{d}.having_presence.predicted_has_having"),
+        pred_has_having=_shown(F.col(f"{d}.having_presence.predicted_has_having")),
     )
 
 
@@ -558,10 +564,10 @@ def check_filter(spark: SparkSession, folder: str) -> DataFrame:
     d = "details.filter_condition"
     return _check(
         spark, folder, "filter_condition",
-        pred_has_where=F.col(f"{d}.where_presence.predicted_has_where"),
+        pred_has_where=_shown(F.col(f"{d}.where_presence.predicted_has_where")),
         pred_operators=_list(f"{d}.operator_mismatch.predicted"),
         gold_operators=_list(f"{d}.operator_mismatch.gold"),
-        pred_has_limit=F.col(f"{d}.limit_mismatch.predicted_has_limit"),
+        pred_has_limit=_shown(F.col(f"{d}.limit_mismatch.predicted_has_limit")),
     )
 
 
@@ -581,7 +587,7 @@ def classify_errors(spark: SparkSession, folder: str) -> DataFrame:
         _list("categories").alias("categories"),
         "primary_category",
         "severity",
-        F.col("details.fallback").alias("fallback"),
+        _shown(F.col("details.fallback")).alias("fallback"),
     )
 
 
@@ -729,7 +735,8 @@ def training_mix(spark: SparkSession, folder: str) -> DataFrame:
     rows = augmentation.augment(_related_to_errors(spark, folder).filter(F.col("model_name") == "round1"))
     made = augmentation.augmented_prompts(rows, ddl)
     mix = augmentation.training_mix(prompts.prepare_training_data(train, ddl), made)
-    return mix.select("place", "idx", "db_id", "augmentation_type", F.md5("text").alias("text_md5"))
+    kind = _shown(F.col("augmentation_type")).alias("augmentation_type")
+    return mix.select("place", "idx", "db_id", kind, F.md5("text").alias("text_md5"))
 
 
 # ---- corpus statistics
