@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sqlgauge.functions.text import MULTI_LINE, ONE_LINE, SPACE, WORD, strip
+from sqlgauge.functions.text import MULTI_LINE, ONE_LINE, SPACE, WORD, strip, with_value, words_in
 
 _TABLE = rf"{ONE_LINE}(?:FROM|JOIN){SPACE}+({WORD}+)"
 _JOIN = (
@@ -39,10 +39,13 @@ def _all(sql: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(F.coalesce(sql, F.lit("")), F.lit(pattern), F.lit(group))
 
 
-def _clause(sql: Column, pattern: str) -> Column:
-    """Text of a clause, NULL without one. A clause pattern never matches the empty text."""
-    found = F.regexp_extract(F.coalesce(sql, F.lit("")), pattern, 1)
-    return F.nullif(found, F.lit(""))
+def _clause(sql: Column, keyword: str, pattern: str) -> Column:
+    """Text of a clause, NULL without one. A clause pattern never matches the empty text.
+
+    The keyword is looked for first: most texts lack most clauses, and a substring search costs little.
+    """
+    found = with_value(F.regexp_extract(sql, pattern, 1), lambda text: F.when(text != "", text))
+    return F.when(F.contains(F.upper(sql), F.lit(keyword)), found)
 
 
 def table_references(sql: Column) -> Column:
@@ -92,16 +95,16 @@ def subquery_count(sql: Column) -> Column:
 
 def sql_group_by(sql: Column) -> Column:
     """Lower-case grouping expressions; an empty list without GROUP BY."""
-    items = F.transform(F.split(strip(_clause(sql, _GROUP_BY)), ","), lambda c: F.lower(strip(c)))
+    items = F.transform(F.split(strip(_clause(sql, "GROUP", _GROUP_BY)), ","), lambda c: F.lower(strip(c)))
     return F.coalesce(items, F.array().cast("array<string>"))
 
 
 def sql_having(sql: Column) -> Column:
-    return strip(_clause(sql, _HAVING))
+    return strip(_clause(sql, "HAVING", _HAVING))
 
 
 def sql_where(sql: Column) -> Column:
-    return strip(_clause(sql, _WHERE))
+    return strip(_clause(sql, "WHERE", _WHERE))
 
 
 def sql_features(sql: Column) -> Column:
@@ -120,8 +123,7 @@ def sql_features(sql: Column) -> Column:
 
 def sql_operators(sql: Column) -> Column:
     """Which operators occur anywhere in the text, in list order."""
-    upper = F.upper(F.coalesce(sql, F.lit("")))
-    return F.array_compact(F.array(*[F.when(F.contains(upper, F.lit(o)), F.lit(o)) for o in OPERATORS]))
+    return words_in(sql, OPERATORS)
 
 
 def condition_column_refs(where_cond: Column, having: Column, group_by: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sqlgauge.functions import features as S
-from sqlgauge.functions.text import MULTI_LINE, ONE_LINE, SPACE, WORD, simplify_condition
+from sqlgauge.functions.text import MULTI_LINE, ONE_LINE, SPACE, WORD, simplify_condition, with_value
 
 _KEY_COLUMN = rf"{ONE_LINE}(?:SELECT|WHERE|ON|BY){SPACE}+(?:{WORD}+\.)?({WORD}+)"
 _JOIN_PATH = (
@@ -95,9 +95,12 @@ def group_by_emphasis(question: Column, query: Column, draw: Column) -> Column:
 
 
 def condition_explicit(question: Column, query: Column, draw: Column) -> Column:
-    condition = F.nullif(F.regexp_extract(query, _FILTER, 1), F.lit(""))
-    return F.concat(
-        question, F.lit(" (with the condition that "), simplify_condition(condition), F.lit(")")
+    return with_value(
+        F.regexp_extract(query, _FILTER, 1),
+        lambda condition: F.when(
+            condition != "",
+            F.concat(question, F.lit(" (with the condition that "), simplify_condition(condition), F.lit(")")),
+        ),
     )
 
 

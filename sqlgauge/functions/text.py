@@ -6,15 +6,18 @@ blank is any Unicode space or the four ASCII separators; Java's own ``\\w`` and
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The characters that count as white space, and the same set as a regular expression class.
-WHITE_SPACE = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0"
+NARROW_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0"
+WIDE_SPACE = (
     "\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
     "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
+WHITE_SPACE = NARROW_SPACE + WIDE_SPACE
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 WORD = r"[\p{L}\p{N}_]"
 
@@ -45,11 +48,13 @@ CONDITION_WORDING = (
 )
 
 _FENCE = rf"{MULTI_LINE}```(?:sql)?{SPACE}*\n?(.*?)\n?```"
-# group 1: from the first statement keyword up to a line of prose; group 2: the whole text without a keyword
-_BARE = (
-    rf"{MULTI_LINE}\A(?:.*?(?=(?:{'|'.join(STATEMENT_KEYWORDS)})(?!{WORD}))(.*?)"
-    rf"(?:\n[{SPACE}&&[^\n]]*(?:{'|'.join(PROSE_OPENINGS)}).*)?|(.*))\z"
-)
+_STATEMENT = rf"{MULTI_LINE}(?:{'|'.join(STATEMENT_KEYWORDS)})(?!{WORD}).*"
+_PROSE_TAIL = rf"{MULTI_LINE}\n[{SPACE}&&[^\n]]*(?:{'|'.join(PROSE_OPENINGS)}).*"
+
+
+def with_value(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def strip(text: Column) -> Column:
@@ -61,15 +66,34 @@ def drop_semicolons(text: Column) -> Column:
 
 
 def collapse_spaces(text: Column) -> Column:
-    return F.regexp_replace(text, f"{SPACE}+", " ")
+    """Every run of white space as one blank.
+
+    A class of characters below 256 is one table lookup; the wide blanks are made plain ones beforehand, in
+    texts that have any wide character at all.
+    """
+    plain = F.when(F.octet_length(text) == F.length(text), text).otherwise(
+        F.translate(text, WIDE_SPACE, " " * len(WIDE_SPACE))
+    )
+    return F.regexp_replace(plain, f"[{NARROW_SPACE}]+", " ")
+
+
+def _without_prose(statement: Column) -> Column:
+    cut = F.regexp_replace(statement, _PROSE_TAIL, "")
+    return F.when(F.contains(statement, F.lit("\n")), strip(cut)).otherwise(statement)
 
 
 def extract_sql(raw_output: Column) -> Column:
     """SQL text inside a model's raw output; '' when the output is missing or blank."""
-    text = strip(F.coalesce(raw_output, F.lit("")))
-    bare = drop_semicolons(strip(F.regexp_replace(text, _BARE, "$1$2")))
-    has_fence = F.contains(text, F.lit("```")) & F.regexp_like(text, F.lit(_FENCE))
-    return F.when(has_fence, strip(F.regexp_extract(text, _FENCE, 1))).otherwise(bare)
+
+    def from_text(text: Column) -> Column:
+        bare = with_value(
+            F.regexp_extract(text, _STATEMENT, 0),
+            lambda found: drop_semicolons(F.when(found == "", text).otherwise(_without_prose(found))),
+        )
+        has_fence = F.contains(text, F.lit("```")) & F.regexp_like(text, F.lit(_FENCE))
+        return F.when(has_fence, strip(F.regexp_extract(text, _FENCE, 1))).otherwise(bare)
+
+    return with_value(strip(F.coalesce(raw_output, F.lit(""))), from_text)
 
 
 def normalize_sql(sql: Column) -> Column:
@@ -83,10 +107,16 @@ def example_hash(db_id: Column, question: Column) -> Column:
     return F.substring(F.md5(F.concat(db_id, F.lit("||"), question)), 1, 12)
 
 
+def words_in(sql: Column, words: Sequence[str]) -> Column:
+    """Which of the words occur anywhere in the upper-case text, in list order."""
+    listed = F.array(*[F.lit(w) for w in words])
+    upper = F.upper(F.coalesce(sql, F.lit("")))
+    return with_value(upper, lambda text: F.filter(listed, lambda word: F.contains(text, word)))
+
+
 def keyword_flags(sql: Column) -> Column:
     """Which of the corpus keywords occur anywhere in the text, in list order."""
-    upper = F.upper(F.coalesce(sql, F.lit("")))
-    return F.array_compact(F.array(*[F.when(F.contains(upper, F.lit(k)), F.lit(k)) for k in CORPUS_KEYWORDS]))
+    return words_in(sql, CORPUS_KEYWORDS)
 
 
 def simplify_condition(condition: Column) -> Column:

@@ -50,7 +50,7 @@ def error_databases(classified: DataFrame, weak: DataFrame) -> DataFrame:
     wanted = weak.groupBy("model_name").agg(F.collect_set("category").alias("_wanted"))
     shown = F.array_compact(F.array(*[F.when(F.col(n), F.lit(n)) for n in names]))
     return (
-        seen.join(F.broadcast(wanted), "model_name")
+        seen.join(wanted, "model_name")
         .select("model_name", "db_id", F.array_intersect(shown, "_wanted").alias("weak"))
         .filter(F.size("weak") > 0)
     )

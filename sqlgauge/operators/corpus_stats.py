@@ -61,7 +61,7 @@ def histogram(df: DataFrame, value: Column, bins: int) -> DataFrame:
     counts = placed.groupBy(bin_no.alias("bin")).agg(F.sum("n").alias("count"))
     every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return (
-        every.join(F.broadcast(counts), "bin", "left")
+        every.join(counts, "bin", "left")
         .withColumn("b", bounds)
         .select(
             "bin",

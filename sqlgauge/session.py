@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 32 * 1024 * 1024
-SALTS = 32
+SALTS = 128
 
 
 def shared_folder(spark: SparkSession) -> str:

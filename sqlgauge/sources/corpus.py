@@ -15,17 +15,19 @@ _SHARD_BITS = 40
 
 
 def load_examples(spark: SparkSession, path: str) -> DataFrame:
-    """All splits of a corpus folder holding ``<split>-<shard>-of-<n>.parquet`` files.
+    """All splits of a corpus.
 
-    ``idx`` is the row's position in its split: the shard number in the high bits, the row number inside
-    the file in the low ones. It is dense for a one-file split and in file order for any other, without a
-    shuffle to number the rows.
+    The split is the start of a file's name (``train-00000-of-00002.parquet``) or of its folder's
+    (``train.parquet/part-00000-....parquet``). ``idx`` is the row's position in its split: the shard number
+    in the high bits, the row number inside the file in the low ones. It is dense for a one-file split and
+    in file order for any other, without a shuffle to number the rows.
     """
     files = spark.read.schema(CORPUS_FILE).parquet(path)
-    name = F.col("_metadata.file_name")
-    shard = F.coalesce(F.try_to_number(F.regexp_extract(name, r"-(\d+)-of-", 1), F.lit("9999999999")), F.lit(0))
-    idx = F.shiftleft(shard.cast("long"), _SHARD_BITS) + F.col("_metadata.row_index")
-    split = F.regexp_extract(name, r"^([A-Za-z]+)", 1)
+    place = F.col("_metadata.file_path")
+    shard = F.regexp_extract(place, r"/(?:[A-Za-z]+)-(\d+)-[^/]*$", 1)
+    shard = F.when(shard == "", F.lit(0)).otherwise(shard.try_cast("long"))
+    idx = F.shiftleft(shard, _SHARD_BITS) + F.col("_metadata.row_index")
+    split = F.regexp_extract(place, rf"/({'|'.join(SPLITS)})(?:[-.][^/]*)?(?:/[^/]*)?$", 1)
     return files.select(idx.alias("idx"), split.alias("split"), *CORPUS_FILE.fieldNames())
 
 

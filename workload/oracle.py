@@ -571,9 +571,9 @@ ran AS (
 
 
 ORACLES: dict[str, str] = {
-    "load_examples": f"""WITH {TRAIN} SELECT db_id, question, query, count(*) AS n,
- CAST(max(len(string_split(query, ' '))) AS INTEGER) AS n_query_toks,
- CAST(max(len(string_split(question, ' '))) AS INTEGER) AS n_question_toks FROM train GROUP BY db_id, question, query""",
+    "load_examples": f"""WITH {TRAIN} SELECT split, db_id, question, query,
+ CAST(len(string_split(query, ' ')) AS INTEGER) AS n_query_toks,
+ CAST(len(string_split(question, ' ')) AS INTEGER) AS n_question_toks FROM train""",
     "split_examples": f"""WITH {TRAIN} SELECT idx, CASE WHEN {uniform('42', 'idx')} < 0.1 THEN 'validation' ELSE 'train' END AS split
 FROM train""",
     "take_first": f"WITH {TRAIN} SELECT idx, db_id, query FROM train ORDER BY idx LIMIT 500",
