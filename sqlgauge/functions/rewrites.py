@@ -39,6 +39,7 @@ class RewriteRule:
     category: str
     name: str
     rewrite: Rewrite
+    uses_draw: bool = False
 
 
 def _upper_has(query: Column, word: str) -> Column:
@@ -132,7 +133,7 @@ RULES: list[RewriteRule] = [
     RewriteRule("E1_SCHEMA_LINKING", "E1_table_context", table_context),
     RewriteRule("E2_JOIN_ERROR", "E2_join_path", join_path),
     RewriteRule("E2_JOIN_ERROR", "E2_join_emphasis", join_emphasis),
-    RewriteRule("E3_AGGREGATION", "E3_agg_rephrase", aggregate_rephrase),
+    RewriteRule("E3_AGGREGATION", "E3_agg_rephrase", aggregate_rephrase, uses_draw=True),
     RewriteRule("E3_AGGREGATION", "E3_group_by_emphasis", group_by_emphasis),
     RewriteRule("E4_FILTER_CONDITION", "E4_condition_explicit", condition_explicit),
     RewriteRule("E4_FILTER_CONDITION", "E4_comparison_emphasis", comparison_emphasis),
@@ -141,6 +142,6 @@ RULES: list[RewriteRule] = [
 ]
 
 
-def register(category: str, name: str, rewrite: Rewrite) -> None:
+def register(category: str, name: str, rewrite: Rewrite, uses_draw: bool = False) -> None:
     """Adds a rewrite for a category to those ``augment`` applies."""
-    RULES.append(RewriteRule(category, name, rewrite))
+    RULES.append(RewriteRule(category, name, rewrite, uses_draw))

@@ -70,37 +70,48 @@ def related_examples(train: DataFrame, databases: DataFrame) -> DataFrame:
     )
 
 
-def _rewritten(seed: int) -> Column:
-    """Array of (type, question) of the rewrites of the row's category that apply."""
-    draw = keyed_uniform(seed, F.col("idx"), F.col("copy"))
-    made = F.lit(None).cast("array<struct<augmentation_type:string,new_question:string>>")
-    for category in dict.fromkeys(rule.category for rule in rewrites.RULES):
-        rows = [
-            F.struct(
-                F.lit(rule.name).alias("augmentation_type"),
-                rule.rewrite(F.col("question"), F.col("query"), draw).alias("new_question"),
-            )
-            for rule in rewrites.RULES
-            if rule.category == category
-        ]
-        made = F.when(F.col("category") == category, F.array(*rows)).otherwise(made)
-    return made
+def _rewritten(seed: int, multiplier: int) -> Column:
+    """Array of (type, question, copies) of the rewrites of the row's category.
+
+    A rewrite that draws its wording is made for each copy, any other one once for all copies.
+    """
+    question, query = F.col("question"), F.col("query")
+
+    def made(rule: rewrites.RewriteRule, draw: Column, copies: list[int]) -> Column:
+        return F.struct(
+            F.lit(rule.name).alias("augmentation_type"),
+            rule.rewrite(question, query, draw).alias("new_question"),
+            F.array(*[F.lit(c) for c in copies]).alias("copies"),
+        )
+
+    def all_of(rule: rewrites.RewriteRule) -> list[Column]:
+        every = list(range(1, multiplier + 1))
+        if not rule.uses_draw:
+            return [made(rule, F.lit(None).cast("double"), every)]
+        return [made(rule, keyed_uniform(seed, F.col("idx"), F.lit(c)), [c]) for c in every]
+
+    by_category: dict[str, list[Column]] = {}
+    for rule in rewrites.RULES:
+        by_category.setdefault(rule.category, []).extend(all_of(rule))
+    found = F.lit(None)
+    for category, rows in by_category.items():
+        found = F.when(F.col("category") == category, F.array(*rows)).otherwise(found)
+    return found
 
 
 def augment(examples: DataFrame, settings: AugmentationSettings = AugmentationSettings()) -> DataFrame:
     """Every rewrite of each example's category, for each of its copies.
 
-    One narrow pass: copies and rewrites are exploded from arrays, and only the rewrites of the row's own
+    One narrow pass: rewrites and copies are exploded from arrays, and only the rewrites of the row's own
     category are evaluated. Rows without database, question or query yield nothing.
     """
     usable = [F.coalesce(c, F.lit("")) != "" for c in ("db_id", "question", "query")]
     kept = [c for c in ("model_name", "category", "idx", "db_id", "query") if c in examples.columns]
     return (
         examples.filter(usable[0] & usable[1] & usable[2])
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(settings.multiplier))))
-        .select(*kept, "copy", F.inline_outer(_rewritten(settings.seed)))
+        .select(*kept, F.inline_outer(_rewritten(settings.seed, settings.multiplier)))
         .filter("new_question IS NOT NULL")
-        .withColumnRenamed("new_question", "question")
+        .select(*kept, "augmentation_type", F.col("new_question").alias("question"), F.explode("copies").alias("copy"))
     )
 
 
