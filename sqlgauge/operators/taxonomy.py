@@ -176,12 +176,9 @@ def classify_errors(
     errors = scored if keep_correct else scored.filter(wrong)
     if columns is not None:
         errors = lookup_join(errors, catalog_columns(columns), "db_id", spread=F.col("idx"))
-    if keep_correct:
-        # right rows pass through the same projections with both texts blanked, which makes them cheap
-        texts = {c: F.when(wrong, F.coalesce(c, F.lit(""))) for c in ("pred_sql", "gold_sql")}
-        errors = errors.select("*", *[F.col(c).alias(f"_kept_{c}") for c in texts]).withColumns(texts)
-    else:
-        errors = errors.withColumns({c: F.coalesce(c, F.lit("")) for c in ("pred_sql", "gold_sql")})
+    # right rows pass through the same projections with both texts blanked, which makes them cheap
+    texts = {c: F.when(wrong, F.coalesce(c, F.lit(""))) for c in ("pred_sql", "gold_sql")}
+    errors = errors.select("*", *[F.col(c).alias(f"_kept_{c}") for c in texts]).withColumns(texts)
 
     found = _with_differences(_with_parts(errors), columns is not None)
     flags = {
@@ -212,7 +209,5 @@ def classify_errors(
         "severity": F.when(is_syntax, 3).otherwise(F.least(F.size(categories), F.lit(3))),
         "details": details,
     }
-    if not keep_correct:
-        return found.select(*base, *[c.alias(n) for n, c in added.items()])
-    original = [F.col(f"_kept_{c}").alias(c) if c in ("pred_sql", "gold_sql") else F.col(c) for c in base]
+    original = [F.col(f"_kept_{c}").alias(c) if c in texts else F.col(c) for c in base]
     return found.select(*original, *[F.when(wrong, c).alias(n) for n, c in added.items()])
