@@ -98,13 +98,18 @@ def analyze(
 def augment(
     analysis: Analysis, model: str, train: DataFrame, ddl: DataFrame, settings: Settings = Settings()
 ) -> Augmentation:
-    """Builds the training table of the next round from one model's errors."""
+    """Builds the training table of the next round from one model's errors.
+
+    The small tables that steer it are written first: each is measured and joined more than once.
+    """
     chosen = settings.augmentation
+    ddl = written(ddl, "ddl")
     errors = analysis.classified.filter(F.col("model_name") == model)
     weak = augmentation.weak_categories(
         analysis.weaknesses.filter(F.col("model_name") == model), chosen.top_k, chosen.threshold
     )
-    databases = augmentation.error_databases(errors, weak)
+    weak = written(weak, "weak")
+    databases = written(augmentation.error_databases(errors, weak), "error-databases")
     related = augmentation.related_examples(train, databases)
     shown = augmentation.error_sources(augmentation.error_examples(errors, weak), chosen.gold_as_query)
     sources = related.select(*shown.columns).unionByName(shown)

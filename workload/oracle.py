@@ -630,6 +630,10 @@ SELECT idx, db_id, md5(text) AS text_md5, CAST(length(text) AS INTEGER) AS text_
 prompts AS (SELECT length({prompt('ddl', 'question', 'query')}) AS n FROM placed_rows)
 SELECT count(*) AS examples, count(*) FILTER (WHERE n <= 4096) AS kept, count(*) FILTER (WHERE n > 4096) AS dropped FROM prompts""",
     "score_exact": f"WITH {SCORED} SELECT model_name, idx, is_correct FROM scored",
+    "exact_details": f"""WITH {CLEANED} SELECT model_name, idx, 'string_match' AS method,
+ {normalize('pred_sql')} AS norm_pred, {normalize('gold_sql')} AS norm_gold FROM cleaned""",
+    "result_sets_equal_repeats": """SELECT CAST(0 AS BIGINT) AS only_a, CAST(0 AS BIGINT) AS only_b, count(*) AS in_both,
+ true AS equal FROM (SELECT DISTINCT l_partkey, l_quantity, l_returnflag FROM lineitem) AS d""",
     "result_sets_equal": """WITH a AS (SELECT DISTINCT l_orderkey, l_returnflag, l_discount FROM lineitem WHERE l_quantity > 10),
 b AS (SELECT DISTINCT l_orderkey, l_returnflag, l_discount FROM lineitem WHERE l_quantity > 11),
 c AS (SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b) AS x) AS only_a,

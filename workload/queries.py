@@ -380,6 +380,22 @@ def score_exact(spark: SparkSession, folder: str) -> DataFrame:
     return _scored(spark, folder).select("model_name", "idx", "is_correct")
 
 
+@query
+def exact_details(spark: SparkSession, folder: str) -> DataFrame:
+    """D1: the record of each text comparison."""
+    found = scoring.exact_details(_scored(spark, folder))
+    return found.select("model_name", "idx", "details.method", "details.norm_pred", "details.norm_gold")
+
+
+@query
+def result_sets_equal_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """D2: order lines against the same lines sorted and repeated, with whole numbers as doubles."""
+    lines = inputs.table(spark, folder, "lineitem")
+    a = lines.select("l_partkey", "l_quantity", "l_returnflag")
+    b = lines.select(F.col("l_partkey").cast("double"), F.col("l_quantity").cast("int"), "l_returnflag")
+    return execution.compare_result_sets(a, b.unionAll(b))
+
+
 @query
 def result_sets_equal(spark: SparkSession, folder: str) -> DataFrame:
     """D2: shipped line items, once as they are and once with repeats and other order."""
