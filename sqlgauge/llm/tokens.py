@@ -1,12 +1,14 @@
 """Token ids of whole texts by a tokenizers file, for whole Arrow batches.
 
-The byte-level pattern always ends a token before a space that follows a visible character, so a text can be cut
-there and each distinct piece be encoded once. Texts where a space stands between other white space, or behind it at
-the end, are encoded in one go, since runs of white space are divided by what follows them.
+The byte-level pattern always ends a token before a space that follows a visible character, between a Latin letter and a
+mark, and around a single line feed between a visible character and a letter. Texts are cut there, and each distinct
+piece of a batch is encoded once, many in a call. Texts where a space stands between other white space, or behind it
+at the end, are encoded in one go, since runs of white space are divided by what follows them.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -15,13 +17,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct pieces whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 400_000
-
 _SPACES = r"\t\n\x{0B}\f\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-_CUT_IN_SPACE = rf"[{_SPACES}] ([{_SPACES}]|\z)"
-_BATCH_BYTES = 4 << 20
-_WORDS = 1 << 19
+_LETTERS = r"A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}"
+#: Texts that may not be cut; zero characters mark the cuts.
+_WHOLE = rf"[{_SPACES}] ([{_SPACES}]|\z)|\x00"
+#: Pieces that can be encoded side by side, with a line feed between them that is a token of its own.
+_PLAIN = rf"\A ?[!-~{_LETTERS}]{{1,64}}\z"
+_BATCH_BYTES = 16 << 20
+_JOINED = 1024
+#: Distinct pieces whose ids a worker remembers, about 50 bytes each; beyond that it keeps those of the last batch.
+REMEMBERED = 1_000_000
 
 
 def default_path() -> str:
@@ -37,71 +42,93 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece as 32-bit integers."""
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        missing = [p for p in pieces if p not in known]
-        fresh = {}
-        for k in range(0, len(missing), 4096):
-            some = missing[k : k + 4096]
-            for piece, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                ids = np.array(e.ids, "<u4").tobytes()
-                (known if len(piece) <= 64 else fresh)[piece] = ids
-        return [known[p] if p in known else fresh[p] for p in pieces]
+        made = json.loads(self.tokenizer.to_str())
+        cut = made["pre_tokenizer"] or {}
+        bytes_only = cut.get("type") == "ByteLevel" and cut["use_regex"] and not cut["add_prefix_space"]
+        self.line = self.whole("\n")
+        #: Whether texts may be cut; other kinds of tokenizers get whole texts.
+        self.cuts = bytes_only and not made["normalizer"] and not made["post_processor"] and len(self.line) == 1
+        self.names = pa.array([], pa.large_string())
+        self.table, self.starts, self.sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    @property
+    def size(self) -> int:
+        return self.tokenizer.get_vocab_size()
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _remembered(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As _pieces, of which only the pieces that aren't remembered are encoded."""
+        places = pc.fill_null(pc.index_in(names, value_set=self.names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        fresh = places < 0
+        table, starts, sizes = self._pieces(names.filter(pa.array(fresh)))
+        places[fresh] = len(self.names) + np.arange(len(sizes))
+        self.names = pa.concat_arrays([self.names, names.filter(pa.array(fresh))])
+        self.starts = np.concatenate([self.starts, starts + len(self.table)])
+        self.sizes, self.table = np.concatenate([self.sizes, sizes]), np.concatenate([self.table, table])
+        found = self.table, self.starts[places], self.sizes[places]
+        if len(self.names) > REMEMBERED:
+            self.names, self.sizes = names, found[2]
+            self.table, self.starts = _gathered(*found), np.cumsum(found[2]) - found[2]
+        return found
+
+    def _pieces(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of distinct pieces in one array, and the start and number of those of each."""
+        plain = pc.match_substring_regex(names, _PLAIN).to_numpy(zero_copy_only=False)
+        some = names.filter(pa.array(plain)).to_pylist()
+        joined = ["\n".join(some[k : k + _JOINED]) + "\n" for k in range(0, len(some), _JOINED)]
+        ids = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        ids = np.concatenate(ids) if ids else np.zeros(0, "<u4")
+        ends = np.flatnonzero(ids == self.line[0])
+        others = [self.whole(p) for p in names.filter(pa.array(~plain)).to_pylist()]
+        starts, sizes = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+        starts[plain] = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else 0
+        sizes[plain] = ends - starts[plain]
+        sizes[~plain] = [len(o) for o in others]
+        starts[~plain] = len(ids) + np.cumsum(sizes[~plain]) - sizes[~plain]
+        return np.concatenate([ids, *others]), starts, sizes
 
     def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of texts that may be cut at each space, and the number of ids of each text."""
-        words = pc.split_pattern(texts, " ")
-        offsets = words.offsets.to_numpy() - words.offsets[0].as_py()
-        flat = pc.list_flatten(words)
-        counts, out = np.zeros(len(texts), np.int64), []
-        owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
-        first = np.zeros(len(flat), bool)
-        first[offsets[:-1]] = True
-        for k in range(0, len(flat), _WORDS):
-            coded = flat[k : k + _WORDS].dictionary_encode()
-            codes = coded.indices.to_numpy().astype(np.int64) * 2 + first[k : k + _WORDS]
-            names = coded.dictionary.to_pylist()
-            used = np.flatnonzero(np.bincount(codes, minlength=2 * len(names)))
-            place = np.zeros(2 * len(names), np.int64)
-            place[used] = np.arange(len(used))
-            codes = place[codes]
-            ids = self._ids([names[u >> 1] if u & 1 else " " + names[u >> 1] for u in used.tolist()])
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
-            table, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
-            n = sizes[codes]
-            counts += np.bincount(owner[k : k + _WORDS], n, len(texts)).astype(np.int64)
-            at = np.repeat((starts[codes] - np.cumsum(n) + n).astype(np.int32), n)
-            at += np.arange(len(at), dtype=np.int32)
-            out.append(table[at])
-        return np.concatenate(out) if out else np.zeros(0, "<u4"), counts
+        """All ids of texts that may be cut, and the number of ids of each text."""
+        marked = pc.replace_substring(texts, " ", "\0 ")
+        marked = pc.replace_substring_regex(marked, rf"([{_LETTERS}])([.,;:!?])", "\\1\0\\2")
+        marked = pc.replace_substring_regex(marked, rf"([^{_SPACES}\x00])\n([{_LETTERS}])", "\\1\0\n\0\\2")
+        pieces = pc.split_pattern(marked, "\0")
+        offsets = pieces.offsets.to_numpy()
+        coded = pc.list_flatten(pieces).dictionary_encode()
+        table, starts, sizes = self._remembered(coded.dictionary)
+        codes = coded.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(sizes[codes])])
+        counts = np.diff(ends[offsets - offsets[0]])
+        return _gathered(table, starts[codes], sizes[codes]), counts
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text in order; null counts as empty."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
         start = 0
         while start < len(texts):
-            end = start + max(1, int(np.searchsorted(np.cumsum(sizes[start:]), _BATCH_BYTES, side="right")))
+            until = (ends[start - 1] if start else 0) + _BATCH_BYTES
+            end = max(start + 1, int(np.searchsorted(ends, until, side="right")))
             part = texts[start:end]
-            whole = pc.match_substring_regex(part, _CUT_IN_SPACE).to_numpy(zero_copy_only=False)
+            whole = pc.match_substring_regex(part, _WHOLE).to_numpy(zero_copy_only=False) | (not self.cuts)
             ids, counts = self._cut(part.filter(pa.array(~whole)))
-            ends, seen = np.cumsum(counts), 0
+            until, seen = np.cumsum(counts), 0
             for k in range(len(part)):
                 if whole[k]:
-                    yield np.array(self.tokenizer.encode(part[k].as_py(), add_special_tokens=False).ids, "<u4")
+                    yield self.whole(part[k].as_py())
                 else:
-                    yield ids[ends[seen] - counts[seen] : ends[seen]]
+                    yield ids[until[seen] - counts[seen] : until[seen]]
                     seen += 1
             start = end
 
-    @property
-    def size(self) -> int:
-        return self.tokenizer.get_vocab_size()
+
+def _gathered(table: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The ranges of a table one after another."""
+    places = np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+    places += np.arange(len(places))
+    return table[places]
 
 
 @lru_cache(2)
