@@ -121,4 +121,5 @@ def counted(docs: DataFrame, path: str | None = None, block_bytes: int = BLOCK_B
     folder = work.new_path(spark, "flat")
     names = write_flat(docs, folder, path)
     found = scan(spark, folder, block_bytes=block_bytes) if not names.isEmpty() else spark.createDataFrame([], "file string, ordinal long, start long, n_tokens long")
-    return names.join(found, ["file", "ordinal"]).select("doc_id", "file", "start", "n_tokens")
+    # The scan's rows come out of arrays, so Spark underrates their size and would broadcast them.
+    return names.join(found.hint("merge"), ["file", "ordinal"]).select("doc_id", "file", "start", "n_tokens")
