@@ -80,13 +80,15 @@ def scan(spark: SparkSession, folder: str, end_id: int = END_ID, width: int = WI
                     source.seek(first)
                     tokens = np.frombuffer(source.read(size // width * width), kind)
                 ends = np.flatnonzero(tokens == end_id) + first // width
+                found = [[None, *(ends[:-1] + 1).tolist()][: len(ends)], ends.tolist()]
+                arrays = [pa.array([x], pa.list_(pa.int64())) for x in found]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([file]), pa.array([block]), pa.array([first // width + len(tokens)]), pa.array([ends], pa.list_(pa.int64()))],
-                    ["file", "block", "until", "ends"],
+                    [pa.array([file]), pa.array([block]), pa.array([first // width + len(tokens)]), *arrays],
+                    ["file", "block", "until", "starts", "ends"],
                 )
 
     n = max(1, listed.count())
-    found = listed.repartition(n, "file", "block").mapInArrow(run, "file string, block long, until long, ends array<long>")
+    found = listed.repartition(n, "file", "block").mapInArrow(run, "file string, block long, until long, starts array<long>, ends array<long>")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     rows = Window.partitionBy("file").orderBy("block")
     some = F.when(F.size("ends") > 0, F.element_at("ends", -1))
@@ -96,17 +98,20 @@ def scan(spark: SparkSession, folder: str, end_id: int = END_ID, width: int = WI
         F.coalesce(F.last(some, ignorenulls=True).over(before), F.lit(-1)).alias("last"),
         F.coalesce(F.sum(F.size("ends").cast("long")).over(before), F.lit(0)).alias("before"),
         F.lead("block").over(rows).isNull().alias("final"),
+        "starts",
         "ends",
     )
-    # The tail of a file is what stands behind its last end.
-    tail = F.col("final") & (F.col("until") > F.coalesce(some, F.col("last")) + 1)
-    every = F.when(tail, F.concat("ends", F.array("until"))).otherwise(F.col("ends"))
-    opened = F.transform(every, lambda end, i: F.struct(
-        (F.col("before") + i).alias("ordinal"),
-        (F.when(i > 0, F.get(every, i - 1)).otherwise(F.col("last")) + 1).alias("start"),
-        end.alias("end"),
-        (~tail | (i < F.size("ends"))).alias("ended"),
-    ))
+    # The first document of a block starts behind the last end before it; the tail of a file is behind its last end.
+    named = lambda ordinal, start, end, ended: F.struct(
+        ordinal.alias("ordinal"), start.alias("start"), end.alias("end"), F.lit(ended).alias("ended")
+    )
+    closed = F.transform(
+        F.arrays_zip("starts", "ends"),
+        lambda d, i: named(F.col("before") + i, F.coalesce(d["starts"], F.col("last") + 1), d["ends"], True),
+    )
+    behind = F.coalesce(some, F.col("last")) + 1
+    tail = F.array(named(F.col("before") + F.size("ends"), behind, F.col("until"), False))
+    opened = F.when(F.col("final") & (F.col("until") > behind), F.concat(closed, tail)).otherwise(closed)
     out = stitched.select("file", F.explode(opened).alias("d"))
     return out.select("file", "d.ordinal", "d.start", (F.col("d.end") - F.col("d.start")).alias("n_tokens"), "d.ended")
 

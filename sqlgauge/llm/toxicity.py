@@ -115,8 +115,7 @@ class Lexicon(NamedTuple):
             persons = [i for i, w in enumerate(words) if w in second]
             person += len(persons)
             if at and persons:
-                gaps = np.abs(np.subtract.outer(np.array(persons), _nearest(np.array(at), np.array(persons)))).min(1)
-                person_near += int((gaps <= NEAR).sum())
+                person_near += int((_gaps(np.array(persons), np.array(at)) <= NEAR).sum())
             for w in raw:
                 if w.isupper() and len(w) > 1:
                     capital_words += 1
@@ -154,10 +153,11 @@ _SECOND = frozenset(w.encode() for w in SECOND_PERSON)
 _MARKS_OF = bytes(c for c in _MARKS if c not in b"@$!|") + b"!"
 
 
-def _nearest(places: np.ndarray, to: np.ndarray) -> np.ndarray:
-    """For the whole list, the places next to any of ``to`` on either side."""
-    right = np.minimum(np.searchsorted(places, to), len(places) - 1)
-    return places[np.unique(np.concatenate([right, np.maximum(right - 1, 0)]))] if len(to) < 64 else places
+def _gaps(places: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """How far each place is from the nearest of the others, which are sorted."""
+    right = np.searchsorted(others, places)
+    before, behind = others[np.maximum(right - 1, 0)], others[np.minimum(right, len(others) - 1)]
+    return np.minimum(np.abs(places - before), np.abs(places - behind))
 
 
 class Model(NamedTuple):
@@ -207,10 +207,11 @@ def learned(sample: DataFrame) -> Lexicon:
     for more in exploded[2:]:
         every = every.unionByName(more)
     every = every.where("term is not null")
-    toxic = every.where("label = 1").groupBy("kind", "term").agg(F.count_distinct("context").alias("toxic"))
+    # Distinct rows first: a frequent term is counted where its contexts are, not gathered in one task.
+    toxic = every.where("label = 1").distinct().groupBy("kind", "term").agg(F.count("*").alias("toxic"))
     toxic = toxic.where(F.col("toxic") >= LEAST_CONTEXTS)
     other = every.where("label = 0").join(toxic.select("kind", "term"), ["kind", "term"], "left_semi")
-    other = other.groupBy("kind", "term").agg(F.count_distinct("context").alias("other"))
+    other = other.distinct().groupBy("kind", "term").agg(F.count("*").alias("other"))
     totals = {r["label"]: r["n"] for r in listed.groupBy("label").agg(F.sum(F.size("words")).alias("n")).collect()}
     a, b = F.col("toxic").cast("double"), F.coalesce("other", F.lit(0)).cast("double")
     n1, n0 = float(totals.get(1) or 1), float(totals.get(0) or 1)
