@@ -28,6 +28,7 @@ MULTI_LINE = "(?iuds)"
 # Keywords a statement may open with, and openings of lines that are prose after the SQL.
 STATEMENT_KEYWORDS = ("SELECT", "WITH", "INSERT", "UPDATE", "DELETE", "CREATE", "ALTER", "DROP")
 PROSE_OPENINGS = ("NOTE:", "EXPLANATION:", "THIS ", "THE ", "I ", "HERE")
+_SENTENCE_OPENINGS = tuple(o for o in PROSE_OPENINGS if o.endswith(" "))
 
 # Keywords whose presence is counted in corpus statistics.
 CORPUS_KEYWORDS = (
@@ -49,7 +50,12 @@ CONDITION_WORDING = (
 
 _FENCE = rf"{MULTI_LINE}```(?:sql)?{SPACE}*\n?(.*?)\n?```"
 _STATEMENT = rf"{MULTI_LINE}(?:{'|'.join(STATEMENT_KEYWORDS)})(?!{WORD}).*"
-_PROSE_TAIL = rf"{MULTI_LINE}\n[{SPACE}&&[^\n]]*(?:{'|'.join(PROSE_OPENINGS)}).*"
+_ON_LINE = rf"[{SPACE}&&[^\n]]*"
+# a line counts without the blanks at its end, so the words that end in one need another word behind them
+_PROSE_TAIL = (
+    rf"{MULTI_LINE}\n{_ON_LINE}(?:{'|'.join(o for o in PROSE_OPENINGS if o not in _SENTENCE_OPENINGS)}"
+    rf"|(?:{'|'.join(_SENTENCE_OPENINGS)}){_ON_LINE}[^{SPACE}]).*"
+)
 
 
 def with_value(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -149,20 +149,19 @@ def augmented_prompts(
 
 
 def training_mix(original: DataFrame, augmented: DataFrame, seed: int = 42) -> DataFrame:
-    """Original and augmented texts in one shuffled table.
+    """Original and augmented rows in one shuffled table, with their ``place`` in it; texts are attached afterwards.
 
-    The order follows a keyed hash of each row, so it is the same on any cluster; the sort is a range
-    partitioning over evenly spread hashes.
+    The place is a keyed hash of source, model, category, position, rewrite and copy, so it is unique and the same on any
+    cluster. Rows are dealt to partitions by it and ordered within them; a shuffled table needs no order beyond that,
+    so nothing is sampled and no long text goes through the exchange.
     """
-    columns = ["idx", "text", "db_id", "question", "query"]
+    columns = ["idx", "db_id", "question", "query"]
+    none = F.lit(None).cast("string")
     plain = original.select(
-        *columns, F.lit(None).cast("string").alias("augmentation_type"), F.lit(0).alias("copy")
+        *columns, none.alias("augmentation_type"), F.lit(0).alias("copy"), none.alias("model_name"), none.alias("category")
     )
-    both = plain.unionByName(augmented.select(*columns, "augmentation_type", "copy"))
-    place = F.md5(
-        F.concat_ws(
-            "|", F.lit(str(seed)), F.col("idx").cast("string"), F.col("copy").cast("string"),
-            F.coalesce("augmentation_type", F.lit("")),
-        )
-    )
-    return both.withColumn("place", place).orderBy("place").drop("copy")
+    made = augmented.select(*columns, "augmentation_type", "copy", "model_name", "category")
+    key = [F.lit(str(seed)), F.col("idx").cast("string"), F.col("copy").cast("string")]
+    key += [F.coalesce(c, F.lit("")) for c in ("augmentation_type", "model_name", "category")]
+    both = plain.unionByName(made).withColumn("place", F.md5(F.concat_ws("|", *key)))
+    return both.repartition("place").sortWithinPartitions("place").drop("copy", "model_name", "category")

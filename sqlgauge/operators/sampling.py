@@ -2,30 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sqlgauge.functions.text import keyed_uniform
-from sqlgauge.operators.running import running_totals
 
-TOP_K_ROWS = 10_000
+PAGE_BITS = 16
 
 
 def split_examples(examples: DataFrame, ratio: float = 0.1, seed: int = 42) -> DataFrame:
-    """Marks a share of the training rows as validation; the same rows on any partitioning."""
-    held_out = keyed_uniform(seed, F.col("idx")) < F.lit(ratio)
-    return examples.withColumn("split", F.when(held_out, F.lit("validation")).otherwise(F.lit("train")))
+    """Marks a share of the training rows as validation; the same rows on any partitioning.
+
+    Only rows of the training split, or without a split, are drawn; a corpus that has validation rows stays as it is.
+    """
+    if "split" not in examples.columns:
+        examples = examples.withColumn("split", F.lit("train"))
+    split = F.coalesce("split", F.lit("train"))
+    if not examples.filter(split == "validation").isEmpty():
+        return examples
+    held_out = (split == "train") & (keyed_uniform(seed, F.col("idx")) < F.lit(ratio))
+    return examples.withColumn("split", F.when(held_out, F.lit("validation")).otherwise(split))
 
 
 def take_first(df: DataFrame, n: int | None, order: str = "idx") -> DataFrame:
-    """The first n rows by position; all rows for None.
+    """The first n rows by position; all rows for None. Rows that share a position are ordered by a hash of all columns.
 
-    A short prefix is a per-task top-k. A long one would gather n rows in one task, so there each row is
-    ranked by a paged running count instead.
+    Positions alone find the page of 2^16 positions where the count reaches n. Rows before it are filtered, which a
+    scan can do by its statistics, and only that page is sorted.
     """
     if n is None:
         return df
-    if n <= TOP_K_ROWS:
-        return df.orderBy(order).limit(n)
-    ranked = running_totals(df, [], order, {"_rank": F.lit(1)})
-    return ranked.filter(F.col("_rank") <= n).drop("_rank")
+    place = F.col(order).cast("long")
+    page = F.shiftright(place, PAGE_BITS)
+    counts = df.groupBy(page.alias("page")).agg(F.count("*").alias("rows"))
+    before = Window.orderBy(F.col("page").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = counts.withColumn("upto", F.sum("rows").over(before)).filter(F.col("upto") >= n)
+    cut = reached.orderBy("upto").select("page", F.lit(n) - F.col("upto") + F.col("rows")).first()
+    if cut is None:
+        return df
+    if cut[0] is None:
+        earlier, inside = F.col(order).isNotNull(), F.col(order).isNull()
+    else:
+        first = cut[0] << PAGE_BITS
+        earlier, inside = place < first, (place >= first) & (place < first + (1 << PAGE_BITS))
+    last = df.filter(inside).orderBy(order, F.xxhash64(*df.columns)).limit(cut[1])
+    return df.filter(earlier).unionByName(last)
+
+
+def subset(examples: DataFrame, sizes: Mapping[str, int | None]) -> DataFrame:
+    """The first rows of each split by position; splits without a size stay whole."""
+    cut = {name: n for name, n in sizes.items() if n is not None}
+    if not cut:
+        return examples
+    rest = examples.filter(~F.coalesce(F.col("split").isin(list(cut)), F.lit(False)))
+    return reduce(DataFrame.unionByName, [take_first(examples.filter(F.col("split") == s), n) for s, n in cut.items()], rest)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sqlgauge.functions.text import keyed_uniform
-from sqlgauge.operators.accuracy import accuracy_overall
+from sqlgauge.operators.accuracy import accuracy_by_difficulty, accuracy_overall
 from sqlgauge.settings import BootstrapSettings
 
 _SIGMAS = 9
@@ -28,7 +28,8 @@ def bootstrap_ci(scored: DataFrame, settings: BootstrapSettings = BootstrapSetti
     Scores are 0 or 1, so the mean of a resample of n scores with k hits is a Binomial(n, k/n) draw over n;
     one count of n and k replaces the resampled rows. A draw is the quantile of a uniform, which keeps
     order, so the percentiles of the draws are the quantiles of the uniforms next to them. The binomial
-    weights cover k +- 9 sigma: their number grows with the square root of n.
+    weights cover k +- 9 sigma: their number grows with the square root of n. What they leave out has a probability below
+    1e-18, far less than one draw in any number of replicates, so it bounds the error and drops no rows.
     """
     alpha = (1 - settings.confidence) / 2
     places = [q * (settings.reps - 1) for q in (alpha, 1 - alpha)]
@@ -72,7 +73,7 @@ def bootstrap_ci(scored: DataFrame, settings: BootstrapSettings = BootstrapSetti
 
 
 def model_summary(scored: DataFrame, settings: BootstrapSettings = BootstrapSettings()) -> DataFrame:
-    """Accuracy, interval and number of examples of each model."""
+    """Accuracy, interval and number of examples of each model; for the levels see ``difficulty_summary``."""
     return (
         accuracy_overall(scored)
         .join(bootstrap_ci(scored, settings), "model_name")
@@ -80,52 +81,41 @@ def model_summary(scored: DataFrame, settings: BootstrapSettings = BootstrapSett
     )
 
 
-def model_names(scored: DataFrame) -> list[str]:
-    """The models of a table, sorted; a short list by nature, checked before it returns."""
-    names = [r["model_name"] for r in scored.select("model_name").distinct().limit(1001).collect()]
-    if len(names) > 1000:
-        raise ValueError("more than 1000 models; pass the ones to compare")
-    return sorted(names)
+def difficulty_summary(scored: DataFrame, settings: BootstrapSettings = BootstrapSettings()) -> DataFrame:
+    """The summary of each model with its accuracy at each difficulty: one row per model and level."""
+    levels = accuracy_by_difficulty(scored).select("model_name", "difficulty", F.col("accuracy").alias("level_accuracy"), F.col("total").alias("level_total"))
+    return model_summary(scored, settings).join(levels, "model_name")
 
 
 def mcnemar_table(scored: DataFrame, models: Sequence[str] | None = None) -> DataFrame:
-    """Paired outcomes of each two models over the positions both have.
+    """Paired outcomes of each two models over the positions both have; a pair in alphabetical order, or in the order given.
 
-    One shuffle on the position brings a row's outcomes together in fixed columns. Equal outcome patterns
-    are counted before the pairs are formed, so pairs arise from patterns and not from rows.
+    One shuffle on the position gathers a position's (model, outcome) list, whose length is the number of models. Equal
+    lists are counted first, which is all that is left to do for a few models; the pairs of each list are then
+    added up with partial sums, whatever the number of models.
     """
-    models = model_names(scored) if models is None else list(models)
-    outcome = [F.max(F.when(F.col("model_name") == m, F.col("is_correct"))) for m in models]
-    slots = [f"m{i}" for i in range(len(models))]
-    rows = scored.groupBy("idx").agg(*[o.alias(s) for o, s in zip(outcome, slots)])
-    patterns = rows.groupBy(*slots).agg(F.count("*").alias("n"))
-    pairs = F.array(
-        *[
-            F.struct(
-                F.lit(models[a]).alias("model_a"),
-                F.lit(models[b]).alias("model_b"),
-                F.col(slots[a]).alias("a"),
-                F.col(slots[b]).alias("b"),
-            )
-            for a in range(len(models))
-            for b in range(a + 1, len(models))
-        ]
-    )
-    a, b, n = F.col("a"), F.col("b"), F.col("n")
+    rank = F.lit(0)
+    if models is not None:
+        scored = scored.filter(F.col("model_name").isin(list(models)))
+        rank = F.array_position(F.array(*[F.lit(m) for m in models]), F.col("model_name")).cast("int")
+    outcome = F.struct(rank.alias("rank"), F.col("model_name").alias("model"), F.col("is_correct").alias("right"))
+    rows = scored.filter(F.col("is_correct").isNotNull()).groupBy("idx").agg(F.array_sort(F.collect_list(outcome)).alias("all"))
+    # of several outcomes of one model the last in order counts: the right one
+    last = F.filter("all", lambda x, i: F.coalesce(F.get("all", i + 1)["model"] != x["model"], F.lit(True)))
+    lists = rows.select(last.alias("list")).groupBy("list").agg(F.count("*").alias("n"))
+    firsts = lists.select("list", "n", F.posexplode("list").alias("at", "a"))
+    rest = F.slice("list", F.col("at") + 2, F.size("list"))
+    pairs = firsts.select("n", "a", F.explode(rest).alias("b"))
+    a, b, n = F.col("a.right"), F.col("b.right"), F.col("n")
 
     def rows_with(condition: Column) -> Column:
         return F.sum(F.when(condition, n).otherwise(0))
 
-    return (
-        patterns.select(F.inline(pairs), "n")
-        .filter(a.isNotNull() & b.isNotNull())
-        .groupBy("model_a", "model_b")
-        .agg(
-            rows_with(a & ~b).alias("b10"),
-            rows_with(~a & b).alias("b01"),
-            rows_with(a & b).alias("both"),
-            rows_with(~a & ~b).alias("neither"),
-        )
+    return pairs.groupBy(F.col("a.model").alias("model_a"), F.col("b.model").alias("model_b")).agg(
+        rows_with(a & ~b).alias("b10"),
+        rows_with(~a & b).alias("b01"),
+        rows_with(a & b).alias("both"),
+        rows_with(~a & ~b).alias("neither"),
     )
 
 

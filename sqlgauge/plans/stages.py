@@ -1,21 +1,32 @@
-"""The three stages from raw outputs to an augmented training table."""
+"""The four stages: corpus files to prompts, and raw outputs to an augmented training table."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlgauge.operators import accuracy, augmentation, error_tables, prompts, significance, taxonomy
+from sqlgauge.operators import accuracy, augmentation, error_tables, prompts, sampling, significance, taxonomy
 from sqlgauge.operators.execution import score_execution
 from sqlgauge.operators.scoring import score_exact
 from sqlgauge.session import written
 from sqlgauge.settings import Settings
+from sqlgauge.sources import corpus
 from sqlgauge.sources.databases import Databases
 
 
+@dataclass(frozen=True)
+class Prepared:
+    catalog: DataFrame
+    ddl: DataFrame
+    train: DataFrame
+    evaluation: DataFrame
+    prompts: DataFrame
+    questions: DataFrame
+
+
 @dataclass(frozen=True)
 class Evaluation:
     scored: DataFrame
@@ -23,6 +34,8 @@ class Evaluation:
     by_difficulty: DataFrame
     by_database: DataFrame
     summary: DataFrame
+    levels: DataFrame
+    running: DataFrame
     report: DataFrame
     paired_tests: DataFrame
 
@@ -48,6 +61,31 @@ class Augmentation:
     mix: DataFrame
 
 
+def prepare(spark: SparkSession, path: str, settings: Settings = Settings()) -> Prepared:
+    """Loads a corpus, cuts a validation split where it has none, and builds schema texts and prompts.
+
+    ``prompts`` are the training rows within the length limit, ``questions`` the prompts that a model is asked to
+    continue, over the validation rows. Examples and schema texts are written once; both prompt tables read them.
+    """
+    loaded = corpus.load_examples(spark, path)
+    catalog = written(corpus.schema_catalog(loaded), "catalog")
+    shown = settings.prompts
+    ddl = written(prompts.schema_ddl(catalog, shown.with_types, shown.with_foreign_keys), "ddl")
+    plain = loaded.select("idx", "split", "db_id", "question", "query")
+    marked = written(sampling.split_examples(plain, settings.validation_ratio, settings.split_seed), "examples")
+    chosen = sampling.subset(marked, {"train": settings.train_subset, "validation": settings.eval_subset})
+    train = chosen.filter(F.col("split") == "train")
+    evaluation = chosen.filter(F.col("split") == "validation")
+    return Prepared(
+        catalog=catalog,
+        ddl=ddl,
+        train=train,
+        evaluation=evaluation,
+        prompts=prompts.prepare_training_data(train, ddl, shown),
+        questions=prompts.inference_prompts(evaluation, ddl, shown),
+    )
+
+
 def evaluate(
     predictions: DataFrame, databases: Databases | None = None, settings: Settings = Settings()
 ) -> Evaluation:
@@ -68,6 +106,8 @@ def evaluate(
         by_difficulty=accuracy.accuracy_by_difficulty(scored),
         by_database=accuracy.accuracy_by_database(scored),
         summary=significance.model_summary(scored, settings.bootstrap),
+        levels=significance.difficulty_summary(scored, settings.bootstrap),
+        running=accuracy.running_accuracy(scored, settings.running_every),
         report=accuracy.accuracy_pivot(scored, intervals),
         paired_tests=significance.mcnemar_test(significance.mcnemar_table(scored), overall),
     )
@@ -113,13 +153,14 @@ def augment(
     related = augmentation.related_examples(train, databases)
     shown = augmentation.error_sources(augmentation.error_examples(errors, weak), chosen.gold_as_query)
     sources = related.select(*shown.columns).unionByName(shown)
-    rows = augmentation.augment(sources, chosen)
+    rows = written(augmentation.augment(sources, chosen), "rewrites")
     original = prompts.prepare_training_data(train, ddl, settings.prompts)
-    made = augmentation.augmented_prompts(rows, ddl, settings.prompts)
+    place = augmentation.training_mix(original, rows, chosen.seed)
+    mix = prompts.with_prompts(place, ddl, settings.prompts)
     return Augmentation(
         weak=weak,
         rows=rows,
         stats=augmentation.augmentation_stats(sources, rows),
         totals=augmentation.augmentation_totals(train, rows),
-        mix=augmentation.training_mix(original, made, chosen.seed),
+        mix=mix.select("place", "idx", "text", "db_id", "question", "query", "augmentation_type"),
     )

@@ -2,28 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_BYTES = 32 * 1024 * 1024
+#: Bytes of files, compressed, that a lookup may be broadcast from.
+BROADCAST_BYTES = 8 * 1024 * 1024
+#: A key is hot if it holds more than this part of the rows, and is then spread over as many partitions.
 SALTS = 128
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder the cluster names; a temporary one only on a local master."""
+    """The checkpoint folder the cluster names; where it names none, a folder inside the warehouse, shared as well."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="sqlgauge-"))
-    return context.getCheckpointDir().rstrip("/")
+    return folder.rstrip("/") if folder else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/work"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -57,10 +52,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def fits_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Whether all rows together, as text, are within the bound. One aggregate; only one row returns."""
-    size = F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long") + F.lit(16))
-    return (df.agg(size.alias("bytes")).first()["bytes"] or 0) <= max_bytes
+def file_bytes(df: DataFrame) -> int:
+    """Bytes of the files behind a written table, as the optimizer sees them. Starts no job."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The keys that each hold more than one part in SALTS of the rows: fewer than SALTS, with ``_hot`` true."""
+    least = df.count() // SALTS
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > F.lit(max(1, least)))
+    return written(counts.select(*keys, F.lit(True).alias("_hot")), "hot")
 
 
 def lookup_join(
@@ -73,13 +74,19 @@ def lookup_join(
 ) -> DataFrame:
     """Joins each row with the rows of ``small`` on the key.
 
-    ``small`` is broadcast when its measured size allows. Beyond that the join shuffles, and each key is
-    spread over ``SALTS`` partitions so that one key holding a large share of ``df`` cannot fill one task;
-    ``spread`` is a column that varies within a key, such as the row's position.
+    ``small`` is written once and broadcast if its files are within the bound. Beyond that the join shuffles; keys that
+    hold a large share of ``df`` are found by a count and spread over ``SALTS`` partitions, and only their rows of
+    ``small`` are copied. ``spread`` is a column that varies within a key, such as the row's position.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    if fits_broadcast(small, max_bytes):
+    small = written(small, "lookup")
+    if file_bytes(small) <= max_bytes:
         return df.join(F.broadcast(small), keys, how)
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hot = F.broadcast(hot_keys(df, keys))
+    salt = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
+    # keys with a null match nothing, so they may go anywhere
+    lost = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    salted = df.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot") | lost, salt).otherwise(0)).drop("_hot")
+    all_salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copies = small.join(hot, keys, "left").withColumn("_salt", F.explode(all_salts)).drop("_hot")
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")

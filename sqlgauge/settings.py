@@ -17,12 +17,13 @@ class PromptSettings:
     system_prompt: str = SYSTEM_PROMPT
     with_types: bool = True
     with_foreign_keys: bool = True
-    max_seq_length: int = 1024
+    max_seq_length: int | None = 1024
     chars_per_token: int = 4
 
     @property
-    def max_chars(self) -> int:
-        return self.max_seq_length * self.chars_per_token
+    def max_chars(self) -> int | None:
+        """Characters that a text may have; None for no limit."""
+        return None if self.max_seq_length is None else self.max_seq_length * self.chars_per_token
 
 
 @dataclass(frozen=True)
@@ -48,5 +49,7 @@ class Settings:
     bootstrap: BootstrapSettings = field(default_factory=BootstrapSettings)
     validation_ratio: float = 0.1
     split_seed: int = 42
+    train_subset: int | None = None
+    eval_subset: int | None = None
     running_every: int = 50
     statement_timeout: float = 30.0

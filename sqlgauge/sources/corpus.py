@@ -2,38 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sqlgauge.schemas import CORPUS_FILE
 
-# Split names at the start of corpus file names, in loading order.
+# Split names in loading order; any other comes after them, by name.
 SPLITS = ("train", "validation")
 
 _SHARD_BITS = 40
+_RANK_BITS = 58
 
 
 def load_examples(spark: SparkSession, path: str) -> DataFrame:
     """All splits of a corpus.
 
-    The split is the start of a file's name (``train-00000-of-00002.parquet``) or of its folder's
-    (``train.parquet/part-00000-....parquet``). ``idx`` is the row's position in its split: the shard number
+    The split is the start of a file's name (``train-00000-of-00002.parquet``) or, for part files, of their folder's
+    (``test.parquet/part-00000-....parquet``). ``idx`` is the row's position in its split: the shard number
     in the high bits, the row number inside the file in the low ones. It is dense for a one-file split and
-    in file order for any other, without a shuffle to number the rows.
+    in file order for any other, without a shuffle to number the rows. A position is unique with its split only.
     """
     files = spark.read.schema(CORPUS_FILE).parquet(path)
-    place = F.col("_metadata.file_path")
-    shard = F.regexp_extract(place, r"/(?:[A-Za-z]+)-(\d+)-[^/]*$", 1)
+    steps = F.split(F.col("_metadata.file_path"), "/")
+    file, folder = F.element_at(steps, -1), F.element_at(steps, -2)
+    name = F.when(F.startswith(file, F.lit("part-")), folder).otherwise(file)
+    shard = F.when(name == file, F.regexp_extract(file, r"^[^-]+-(\d+)-", 1)).otherwise(F.regexp_extract(file, r"^part-(\d+)", 1))
     shard = F.when(shard == "", F.lit(0)).otherwise(shard.try_cast("long"))
     idx = F.shiftleft(shard, _SHARD_BITS) + F.col("_metadata.row_index")
-    split = F.regexp_extract(place, rf"/({'|'.join(SPLITS)})(?:[-.][^/]*)?(?:/[^/]*)?$", 1)
+    split = F.regexp_extract(name, r"^([^-.]+)", 1)
     return files.select(idx.alias("idx"), split.alias("split"), *CORPUS_FILE.fieldNames())
 
 
-def split_rank() -> Column:
-    rank = F.lit(len(SPLITS))
-    for position, name in enumerate(SPLITS):
+def split_rank(splits: Sequence[str] = SPLITS) -> Column:
+    """The place of a split in loading order; unknown ones share the last place."""
+    rank = F.lit(len(splits))
+    for position, name in enumerate(splits):
         rank = F.when(F.col("split") == name, F.lit(position)).otherwise(rank)
     return rank
 
@@ -41,11 +47,17 @@ def split_rank() -> Column:
 def schema_catalog(examples: DataFrame) -> DataFrame:
     """The first schema seen for each database, over the splits in order.
 
-    The nested schema columns ride along with the examples; each map task keeps one row per database.
+    Positions alone are aggregated, by hash; the nested schema columns are read for the rows that come first.
     """
     nested = ("table_names", "columns", "column_types", "foreign_keys", "primary_keys")
-    first = F.min_by(F.struct(*nested), F.struct(split_rank(), F.col("idx")))
-    return examples.groupBy("db_id").agg(first.alias("s")).select("db_id", "s.*")
+    place = F.shiftleft(split_rank().cast("long"), _RANK_BITS) + F.col("idx")
+    placed = examples.withColumn("_place", place)
+    first = placed.groupBy("db_id").agg(F.min("_place").alias("_first")).withColumnRenamed("db_id", "_db")
+    same = F.col("db_id").eqNullSafe(F.col("_db")) & (F.col("_place") == F.col("_first"))
+    found = placed.join(first, same).select("db_id", "split", *nested)
+    # splits of equal rank may share a position
+    at = F.row_number().over(Window.partitionBy("db_id").orderBy("split"))
+    return found.withColumn("_at", at).filter(F.col("_at") == 1).select("db_id", *nested)
 
 
 def catalog_long(catalog: DataFrame) -> DataFrame:

@@ -171,3 +171,15 @@ def test_salted_lookup_equals_broadcast(spark, how):
     b = lookup_join(rows, small, "k", spread=F.col("idx"), how=how, max_bytes=0)
     assert a.columns == b.columns
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_only_hot_keys_are_copied(spark):
+    rows = spark.range(2000).select(F.col("id").alias("idx"), F.when(F.col("id") % 10 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("k"))
+    small = spark.range(300).select(F.when(F.col("id") == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") * 10)).alias("k"), F.col("id").alias("v"))
+    from sqlgauge.session import SALTS, hot_keys
+
+    assert [r.k for r in hot_keys(rows, ["k"]).collect()] == ["hot"]
+    found = lookup_join(rows, small, "k", spread=F.col("idx"), max_bytes=0)
+    assert found.count() == 2000 and found.filter("v = 0").count() == 1800
+    explained = found._jdf.queryExecution().optimizedPlan().toString()
+    assert f"{SALTS - 1}" in explained and "_hot" in explained

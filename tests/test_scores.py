@@ -48,13 +48,40 @@ def test_running_accuracy(spark):
         assert [tuple(r)[1:] for r in found.collect()] == expected
 
 
-def test_take_first_is_the_same_both_ways(spark, monkeypatch):
+@pytest.mark.parametrize("page_bits", [2, 5, 16])
+def test_take_first_on_pages_of_any_size(spark, monkeypatch, page_bits):
+    monkeypatch.setattr(sampling, "PAGE_BITS", page_bits)
     df = spark.range(0, 300, 3).withColumnRenamed("id", "idx").repartition(4)
-    short = sorted(r.idx for r in sampling.take_first(df, 40).collect())
-    monkeypatch.setattr(sampling, "TOP_K_ROWS", 10)
-    long = sorted(r.idx for r in sampling.take_first(df, 40).collect())
-    assert short == long == list(range(0, 120, 3))
+    for n in (1, 40, 99):
+        assert sorted(r.idx for r in sampling.take_first(df, n).collect()) == list(range(0, 3 * n, 3))
     assert sampling.take_first(df, None) is df
+    assert sampling.take_first(df, 1000).count() == 100
+
+
+def test_take_first_of_tied_positions_is_repeatable(spark):
+    df = spark.range(100).select((F.col("id") / 10).cast("long").alias("idx"), F.col("id").alias("v"))
+    a, b = ({r.v for r in sampling.take_first(df.repartition(p), 25).collect()} for p in (1, 9))
+    assert a == b and len(a) == 25 and {v // 10 for v in a} == {0, 1, 2}
+
+
+def test_subset_by_split_and_split_only_where_none_is(spark):
+    df = spark.range(300).select(F.col("id").alias("idx"), F.when(F.col("id") % 3 == 0, "test").otherwise("train").alias("split"))
+    found = sampling.subset(df, {"train": 10, "validation": 5}).groupBy("split").count().collect()
+    assert {r.split: r["count"] for r in found} == {"train": 10, "test": 100}
+    cut = sampling.split_examples(df)
+    assert cut.filter("split = 'test'").count() == 100 and cut.filter("split = 'validation'").count() > 0
+    again = sampling.split_examples(cut)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, cut.collect()))
+
+
+def test_pairs_of_many_models(spark):
+    models = spark.range(200).select(F.concat(F.lit("m"), F.lpad("id", 4, "0")).alias("model_name"), F.col("id").alias("m"))
+    rows = models.crossJoin(spark.range(5).withColumnRenamed("id", "idx")).withColumn("is_correct", (F.col("m") + F.col("idx")) % 3 == 0)
+    found = significance.mcnemar_table(rows)
+    assert found.count() == 200 * 199 // 2
+    one = found.filter("model_a = 'm0000' and model_b = 'm0001'").first()
+    right = [[(m + i) % 3 == 0 for i in range(5)] for m in (0, 1)]
+    assert one.b10 == sum(a and not b for a, b in zip(*right)) and one.b01 == sum(b and not a for a, b in zip(*right))
 
 
 def test_split_is_independent_of_partitioning(spark):

@@ -187,3 +187,18 @@ def test_rewrites(spark, rule, sql, expected):
     rewrite = next(r.rewrite for r in R.RULES if r.name == rule)
     found = spark.range(1).select(rewrite(F.lit("Which One.?"), F.lit(SQL[sql]), F.lit(0.6))).first()[0]
     assert found == expected
+
+
+@pytest.mark.parametrize(
+    ("raw", "sql"),
+    [
+        ("SELECT 1\nTHIS \nx", "SELECT 1\nTHIS \nx"),
+        ("SELECT 1\nI \nx", "SELECT 1\nI \nx"),
+        ("SELECT 1\n  the rows", "SELECT 1"),
+        ("SELECT 1\nThis  is it\nx", "SELECT 1"),
+        ("SELECT 1\nThere", "SELECT 1\nThere"),
+    ],
+)
+def test_prose_needs_a_word_on_its_line(spark, raw, sql):
+    df = spark.createDataFrame([(raw,)], "raw string")
+    assert df.select(X.extract_sql(F.col("raw"))).first()[0] == sql

@@ -1,4 +1,7 @@
-"""The registered queries as DuckDB SQL over the same tables, written independently of the Spark plans."""
+"""The registered queries as DuckDB SQL over the same tables.
+
+The plans are their own; word lists and wordings are shared with the library and are held to literals in the tests.
+"""
 
 from __future__ import annotations
 
@@ -184,7 +187,7 @@ def with_ddl(table: str) -> str:
 _KEYWORDS = "(?:SELECT|WITH|INSERT|UPDATE|DELETE|CREATE|ALTER|DROP)"
 _FENCE = r"```(?:sql)?\s*\n?(.*?)\n?```"
 _START = _KEYWORDS + r"(?:[^\p{L}\p{N}_].*|$)"
-_PROSE = r"\n[ \t]*(?:NOTE:|EXPLANATION:|THIS |THE |I |HERE).*"
+_PROSE = r"\n[ \t]*(?:NOTE:|EXPLANATION:|HERE|(?:THIS|THE|I) [ \t]*[^ \t\n\r]).*"
 
 
 def extracted(table: str, keys: str) -> str:
@@ -576,6 +579,30 @@ ORACLES: dict[str, str] = {
  CAST(len(string_split(question, ' ')) AS INTEGER) AS n_question_toks FROM train""",
     "split_examples": f"""WITH {TRAIN} SELECT idx, CASE WHEN {uniform('42', 'idx')} < 0.1 THEN 'validation' ELSE 'train' END AS split
 FROM train""",
+    "load_examples_positions": f"""WITH {TRAIN},
+third AS (SELECT CASE WHEN idx % 7 = 0 THEN 'test' ELSE split END AS split FROM train)
+SELECT split, count(*) AS n_rows, count(*) AS n_positions, CAST(0 AS BIGINT) AS first_idx FROM third GROUP BY split""",
+    "split_examples_kept": f"WITH {TRAIN} SELECT idx, split FROM train",
+    "subset_of_splits": f"""WITH {TRAIN}, ranked AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY idx) AS place FROM train)
+SELECT split, idx, db_id FROM ranked WHERE place <= CASE WHEN split = 'train' THEN 700 ELSE 90 END""",
+    "result_sets_last_cent": """SELECT count(*) FILTER (WHERE l_orderkey % 7 = 0) AS only_a, count(*) FILTER (WHERE l_orderkey % 7 = 0) AS only_b,
+ count(*) FILTER (WHERE l_orderkey % 7 <> 0) AS in_both, false AS equal FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) AS d""",
+    "result_sets_twelfth_digit": """SELECT count(*) FILTER (WHERE l_orderkey % 7 = 0) AS only_a, count(*) FILTER (WHERE l_orderkey % 7 = 0) AS only_b,
+ count(*) FILTER (WHERE l_orderkey % 7 <> 0) AS in_both, false AS equal
+FROM (SELECT DISTINCT l_orderkey, l_orderkey * 10 + l_linenumber AS place FROM lineitem) AS d""",
+    "result_digests_differ": """SELECT count(*) AS n_rows, false AS same, true AS repeated
+FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) AS d""",
+    "score_execution_errors": """WITH p AS (SELECT p_partkey AS idx, p_partkey % 400 AS k FROM part)
+SELECT idx, idx % 5 = 2 AND k > 0 OR idx % 5 = 2 AND k = 0 AND false AS match, true AS gold_success,
+ idx % 5 = 2 OR idx % 5 = 3 AND idx % 2 = 0 AS pred_success, '-' AS gold_error,
+ CASE WHEN idx % 5 = 0 THEN 'UNRESOLVED_COLUMN.WITH_SUGGESTION' WHEN idx % 5 = 1 THEN 'DIVIDE_BY_ZERO' WHEN idx % 5 = 2 THEN '-'
+  WHEN idx % 5 = 3 THEN CASE WHEN idx % 2 = 0 THEN '-' ELSE 'UNRESOLVED_COLUMN.WITH_SUGGESTION' END ELSE 'Empty SQL query' END AS pred_error
+FROM p""",
+    "difficulty_summary": f"""WITH {SCORED}, {intervals('scored')}, levels AS (
+ SELECT model_name, coalesce(difficulty, 'unknown') AS difficulty, count(*) AS level_total, avg(CAST(is_correct AS INTEGER)) AS level_accuracy
+ FROM scored GROUP BY ALL)
+SELECT i.model_name, round(k / n, 9) AS accuracy, round(ci_lower, 9) AS ci_lower, round(ci_upper, 9) AS ci_upper, n AS num_examples,
+ difficulty, round(level_accuracy, 9) AS level_accuracy, level_total FROM intervals i JOIN levels l ON l.model_name = i.model_name""",
     "take_first": f"WITH {TRAIN} SELECT idx, db_id, query FROM train ORDER BY idx LIMIT 500",
     "take_first_long": f"WITH {TRAIN} SELECT idx, db_id, query FROM train ORDER BY idx LIMIT 12000",
     "schema_catalog": f"""WITH {CATALOG} SELECT db_id, '{'|'.join(n for n, _ in CATALOG_TABLES)}' AS table_names,
@@ -587,7 +614,7 @@ FROM placed JOIN spots USING (col_idx, col_name) GROUP BY db_id""",
 FROM catalog_rows r LEFT JOIN catalog_fks f ON f.db_id = r.db_id AND f.col_idx = r.col_idx GROUP BY ALL""",
     "register_databases": """SELECT 'shop' AS db_id, 'orders' AS table_name, count(*) AS n_rows FROM orders
 UNION ALL SELECT 'shop', 'customer', count(*) FROM customer UNION ALL SELECT 'log', 'events', count(*) FROM events
-UNION ALL SELECT 'log', 'orders', count(*) FROM orders WHERE o_orderstatus = 'F'""",
+UNION ALL SELECT 'log', 'orders', 2 * count(*) FROM orders""",
     "extract_sql": f"WITH {CLEANED} SELECT model_name, idx, pred_sql FROM cleaned",
     "extract_sql_chat": f"""WITH chat AS (SELECT conv_id, turn, text AS raw_output FROM conversations WHERE role = 'assistant'),
 {extracted('chat', 'conv_id, turn')} SELECT conv_id, turn, pred_sql FROM cleaned""",
@@ -751,12 +778,13 @@ SELECT model_name, max(t.n) AS total_original, count(*) AS total_augmented, max(
 FROM augmented CROSS JOIN t GROUP BY model_name""",
     "training_mix": f"""WITH {AUGMENTED}, {CATALOG}, {DDL},
 rows_made AS (
- SELECT idx, db_id, question, query, copy, augmentation_type, true AS kept FROM augmented WHERE model_name = 'round1'
- UNION ALL SELECT idx, db_id, question, query, 0, '', false FROM train
+ SELECT idx, db_id, question, query, copy, augmentation_type, model_name, category, true AS kept FROM augmented
+ WHERE model_name = 'round1'
+ UNION ALL SELECT idx, db_id, question, query, 0, '', '', '', false FROM train
 ),
 placed_rows AS ({with_ddl('rows_made')}),
 prompts AS (SELECT *, {prompt('ddl', 'question', 'query')} AS text FROM placed_rows)
-SELECT md5('42|' || CAST(idx AS VARCHAR) || '|' || CAST(copy AS VARCHAR) || '|' || augmentation_type) AS place, idx, db_id,
+SELECT md5('42|' || CAST(idx AS VARCHAR) || '|' || CAST(copy AS VARCHAR) || '|' || augmentation_type || '|' || model_name || '|' || category) AS place, idx, db_id,
  CASE WHEN augmentation_type = '' THEN '-' ELSE augmentation_type END AS augmentation_type, md5(text) AS text_md5
 FROM prompts WHERE kept OR length(text) <= 4096""",
     "corpus_counts": f"""WITH {TRAIN} SELECT count(*) FILTER (WHERE split = 'train') AS num_train,

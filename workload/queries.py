@@ -80,9 +80,11 @@ def _profile(spark: SparkSession, folder: str) -> DataFrame:
     return error_tables.error_profile(taxonomy.classify_errors(_scored(spark, folder), keep_correct=True))
 
 
-def _classified(spark: SparkSession, folder: str) -> DataFrame:
-    """The classified table, written once for queries that read it several times."""
-    rows = taxonomy.classify_errors(_scored(spark, folder), keep_correct=True)
+def _classified(spark: SparkSession, folder: str, model: str | None = None) -> DataFrame:
+    """The classified table, of one model or all, written once for queries that read it several times."""
+    raw = inputs.predictions(spark, folder)
+    raw = raw if model is None else raw.filter(F.col("model_name") == model)
+    rows = taxonomy.classify_errors(scoring.score_exact(raw), keep_correct=True)
     columns = ("model_name", "idx", "db_id", "question", "gold_sql", "difficulty", "is_correct")
     return written(rows.select(*columns, "categories", "primary_category"), "classified")
 
@@ -90,24 +92,39 @@ def _classified(spark: SparkSession, folder: str) -> DataFrame:
 # ---- scans, sources, sinks
 
 
-@query
-def load_examples(spark: SparkSession, folder: str) -> DataFrame:
-    """A1: the corpus written in its file layout, one folder per split, and read back."""
+def _corpus_files(spark: SparkSession, folder: str, split: Column) -> str:
+    """The training rows with their nested schemas in a corpus's file layout, one folder per split."""
     path = new_path(spark, "corpus")
     toks = F.split("query", " ")
     files = inputs.train(spark, folder).select(
         "db_id", "query", "question", toks.alias("query_toks"), toks.alias("query_toks_no_value"),
-        F.split("question", " ").alias("question_toks"), "split",
+        F.split("question", " ").alias("question_toks"), split.alias("split"),
     )
-    for name in corpus.SPLITS:
+    for name in ("train", "validation", "test"):
         files.filter(F.col("split") == name).drop("split").write.parquet(f"{path}/{name}.parquet")
-    found = corpus.load_examples(spark, f"{path}/*.parquet")
+    return f"{path}/*.parquet"
+
+
+@query
+def load_examples(spark: SparkSession, folder: str) -> DataFrame:
+    """A1: the corpus written in its file layout, one folder per split, and read back."""
+    found = corpus.load_examples(spark, _corpus_files(spark, folder, F.col("split")))
     return found.select(
         "split", "db_id", "question", "query",
         F.size("query_toks").alias("n_query_toks"), F.size("question_toks").alias("n_question_toks"),
     )
 
 
+@query
+def load_examples_positions(spark: SparkSession, folder: str) -> DataFrame:
+    """A1 with a third split: rows, distinct positions and smallest position of each split."""
+    third = F.when(F.col("idx") % 7 == 0, "test").otherwise(F.col("split"))
+    found = corpus.load_examples(spark, _corpus_files(spark, folder, third))
+    return found.groupBy("split").agg(
+        F.count("*").alias("n_rows"), F.count_distinct("idx").alias("n_positions"), F.min("idx").alias("first_idx")
+    )
+
+
 @query
 def split_examples(spark: SparkSession, folder: str) -> DataFrame:
     """A2"""
@@ -115,6 +132,19 @@ def split_examples(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("idx", "split")
 
 
+@query
+def split_examples_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """A2 on a corpus that has a validation split: it stays as it is."""
+    return sampling.split_examples(inputs.train(spark, folder)).select("idx", "split")
+
+
+@query
+def subset_of_splits(spark: SparkSession, folder: str) -> DataFrame:
+    """A3 by split: the first rows of each."""
+    found = sampling.subset(inputs.train(spark, folder), {"train": 700, "validation": 90})
+    return found.select("split", "idx", "db_id")
+
+
 @query
 def take_first(spark: SparkSession, folder: str) -> DataFrame:
     """A3: a short prefix of the training rows."""
@@ -169,9 +199,8 @@ def register_databases(spark: SparkSession, folder: str) -> DataFrame:
     root = new_path(spark, "databases")
     for db, tables in {"shop": ("orders", "customer"), "log": ("events", "orders")}.items():
         for name in tables:
-            source = inputs.table(spark, folder, "orders" if db == "shop" and name == "orders" else name)
-            if db == "log" and name == "orders":
-                source = source.filter(F.col("o_orderstatus") == "F")
+            source = inputs.table(spark, folder, name)
+            source = source.unionAll(source) if db == "log" and name == "orders" else source
             source.write.parquet(f"{root}/{db}/{name}.parquet")
     found = databases.register_databases(spark, root)
     counts = [
@@ -405,6 +434,43 @@ def result_sets_equal(spark: SparkSession, folder: str) -> DataFrame:
     return execution.compare_result_sets(a, b.unionAll(b))
 
 
+def _amounts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All order lines with a large exact amount, and with one that differs in the last cent or the twelfth digit."""
+    lines = inputs.table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    exact = (F.col("l_orderkey") * 1000 + F.col("l_linenumber")).cast("decimal(15,2)") + F.lit("12345678.91").cast("decimal(15,2)")
+    near = F.col("l_orderkey") % 7 == 0
+    a = lines.select("l_orderkey", "l_linenumber", exact.alias("amount"))
+    b = lines.select("l_orderkey", "l_linenumber", F.when(near, exact + F.lit("0.01").cast("decimal(15,2)")).otherwise(exact).alias("amount"))
+    place = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    c = lines.select(place.alias("place"), (F.lit(123456789.125) + place).alias("amount"))
+    d = lines.select(place.alias("place"), (F.lit(123456789.125) + place + F.when(near, 0.001).otherwise(0.0)).alias("amount"))
+    return a, b, c.select("place", "amount", F.lit(0).alias("side")).union(d.select("place", "amount", F.lit(1).alias("side")))
+
+
+@query
+def result_sets_last_cent(spark: SparkSession, folder: str) -> DataFrame:
+    """D2: decimals that differ in the last cent only."""
+    a, b, _ = _amounts(spark, folder)
+    return execution.compare_result_sets(a, b)
+
+
+@query
+def result_sets_twelfth_digit(spark: SparkSession, folder: str) -> DataFrame:
+    """D2: doubles that differ in the twelfth digit only."""
+    _, _, both = _amounts(spark, folder)
+    sides = [both.filter(F.col("side") == s).drop("side") for s in (0, 1)]
+    return execution.compare_result_sets(*sides)
+
+
+@query
+def result_digests_differ(spark: SparkSession, folder: str) -> DataFrame:
+    """D3: digests of sets that differ in the last cent, and of a set and its repeats."""
+    a, b, _ = _amounts(spark, folder)
+    first, second, third = (execution.result_digest(x) for x in (a, b, a.unionAll(a)))
+    joined = first.crossJoin(second.select(F.col("digest").alias("other"))).crossJoin(third.select(F.col("digest").alias("again")))
+    return joined.select("n_rows", (F.col("digest") == F.col("other")).alias("same"), (F.col("digest") == F.col("again")).alias("repeated"))
+
+
 @query
 def result_digest(spark: SparkSession, folder: str) -> DataFrame:
     """D3: the size of the set of order lines, and whether repeats leave the digest alone."""
@@ -425,6 +491,40 @@ def score_execution(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("model_name", "idx", "is_correct", "gold_success", "pred_success", "method")
 
 
+@query
+def score_execution_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """D4 over two databases that share a table name, a statement of its own in most rows, with the record of both sides."""
+    root = new_path(spark, "two")
+    inputs.table(spark, folder, "nation").write.parquet(f"{root}/one/places.parquet")
+    inputs.table(spark, folder, "region").write.parquet(f"{root}/two/places.parquet")
+    part = inputs.table(spark, folder, "part").select(F.col("p_partkey").alias("idx"))
+    key, number = F.col("idx"), F.col("idx").cast("string")
+    gold = F.concat(F.lit("SELECT count(*) FROM places WHERE "), number, F.lit(" > 0"))
+    total = F.when(key % 2 == 0, "25").otherwise("5")
+    pred = (
+        F.when(key % 5 == 0, F.concat(F.lit("SELECT missing FROM places LIMIT "), number))
+        .when(key % 5 == 1, F.concat(F.lit("SELECT 1 / (0 * "), number, F.lit(")")))
+        .when(key % 5 == 2, F.concat(F.lit("SELECT "), total, F.lit(" + 0 * "), number))
+        .when(key % 5 == 3, F.concat(F.lit("SELECT n_regionkey FROM places WHERE n_nationkey < "), number))
+        .otherwise(F.lit(""))
+    )
+    rows = part.select("idx", F.when(key % 2 == 0, "one").otherwise("two").alias("db_id"), gold.alias("gold_sql"), pred.alias("pred_sql"))
+    # statements by the remainder of 400: every row is scored, and most are the only one of their remainder at small scale
+    rows = rows.withColumns({c: F.replace(c, number, (key % 400).cast("string")) for c in ("gold_sql", "pred_sql")})
+    scored = execution.score_execution(rows, databases.register_databases(spark, root))
+    return scored.select(
+        "idx", F.col("is_correct").alias("match"), "gold_success", "pred_success", _shown(F.col("gold_error")).alias("gold_error"),
+        _shown(F.col("pred_error")).alias("pred_error"),
+    )
+
+
+@query
+def difficulty_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """D10 with the levels."""
+    found = significance.difficulty_summary(_outcomes(spark, folder))
+    return _rounded(found, "accuracy", "ci_lower", "ci_upper", "level_accuracy")
+
+
 @query
 def accuracy_overall(spark: SparkSession, folder: str) -> DataFrame:
     """D5"""
@@ -667,8 +767,8 @@ def _related(spark: SparkSession, folder: str, classified: DataFrame, weak: Data
     return augmentation.related_examples(inputs.train(spark, folder), written(found, "error-databases"))
 
 
-def _related_to_errors(spark: SparkSession, folder: str) -> DataFrame:
-    classified = _classified(spark, folder)
+def _related_to_errors(spark: SparkSession, folder: str, model: str | None = None) -> DataFrame:
+    classified = _classified(spark, folder, model)
     return _related(spark, folder, classified, _weak(classified))
 
 
@@ -745,9 +845,9 @@ def augmentation_totals(spark: SparkSession, folder: str) -> DataFrame:
 def training_mix(spark: SparkSession, folder: str) -> DataFrame:
     """F16 for one model's round."""
     ddl, train = _ddl(spark, folder), inputs.train(spark, folder)
-    rows = augmentation.augment(_related_to_errors(spark, folder).filter(F.col("model_name") == "round1"))
-    made = augmentation.augmented_prompts(rows, ddl)
-    mix = augmentation.training_mix(prompts.prepare_training_data(train, ddl), made)
+    rows = augmentation.augment(_related_to_errors(spark, folder, "round1"))
+    place = augmentation.training_mix(prompts.prepare_training_data(train, ddl), rows)
+    mix = prompts.with_prompts(place, ddl)
     kind = _shown(F.col("augmentation_type")).alias("augmentation_type")
     return mix.select("place", "idx", "db_id", kind, F.md5("text").alias("text_md5"))
 
