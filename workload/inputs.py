@@ -206,3 +206,23 @@ def event_scores(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select(
         F.col("event_type").alias("model_name"), F.col("event_id").alias("idx"), (F.col("value") > 10).alias("is_correct")
     )
+
+
+# Texts that vary by order: {k} is its key, {c} its customer.
+VARIED = (
+    "SELECT T1.c_name, count(*) FROM customer AS T1 JOIN orders AS T2 ON T1.c_custkey = T2.o_custkey "
+    "WHERE T2.order_id > {k} GROUP BY T1.c_name, T1.c_key{c} HAVING count(*) > {c} ORDER BY T1.c_name",
+    "select max(order_id),\n\tmin(x{k})\nfrom t{c}\nwhere a{k} like '%b%'\nand b not between 1 and {c}",
+    "SELECT a FROM t1 WHERE a IN (SELECT b FROM t{c} WHERE c = {k} AND d NOT IN (SELECT e FROM t2)) ORDER BY a DESC LIMIT 5",
+    "SELECT p{k}, avg( price ), SUM(q) FROM part LEFT JOIN lineitem ON l = {c} INNER JOIN orders USING (o) GROUP BY p1, p2 , p{k}",
+    "SELECT count(DISTINCT x.a) FROM big_{k} AS x WHERE x.order_by >= {c} OR x.name IS NULL UNION SELECT 1 FROM b{c} WHERE z <> 'it''s'",
+    "Order {k} of {c} has no query, select none from it",
+    "SELECT name FROM grouped{c} WHERE id = {k} GROUP BY name LIMIT 3",
+)
+
+
+def varied_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """A text for every order, nearly all of them distinct."""
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    text = F.replace(_pick(VARIED, key % len(VARIED)), F.lit("{k}"), key.cast("string"))
+    return table(spark, folder, "orders").select(F.replace(text, F.lit("{c}"), cust.cast("string")).alias("sql"))

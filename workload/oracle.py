@@ -18,6 +18,7 @@ from workload.inputs import (
     MODELS,
     SHORT_TYPES,
     TEMPLATES,
+    VARIED,
     catalog_columns,
 )
 
@@ -210,8 +211,10 @@ CLEANED = PREDICTIONS + "," + extracted(
 SCORED = CLEANED + f""",
 scored AS (SELECT *, {normalize('pred_sql')} = {normalize('gold_sql')} AS is_correct FROM cleaned)"""
 
-TEXTS = CLEANED + """,
-texts AS (SELECT pred_sql AS sql, count(*) AS n FROM cleaned GROUP BY pred_sql)"""
+TEXTS = CLEANED + f""",
+varied AS (SELECT replace(replace([{", ".join(q(t) for t in VARIED)}][CAST(o_orderkey % {len(VARIED)} AS INTEGER) + 1],
+  '{{k}}', CAST(o_orderkey AS VARCHAR)), '{{c}}', CAST(o_custkey AS VARCHAR)) AS sql FROM orders),
+texts AS (SELECT sql, count(*) AS n FROM (SELECT pred_sql AS sql FROM cleaned UNION ALL SELECT sql FROM varied) AS t GROUP BY sql)"""
 
 _JOIN = r"((?:LEFT|RIGHT|INNER|OUTER|CROSS|NATURAL)?\s*JOIN)\s+(\w+)\s+(?:ON|USING)"
 

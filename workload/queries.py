@@ -254,9 +254,10 @@ def example_hash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
-    """Predicted SQL of every output, each distinct text with its number of rows."""
-    rows = scoring.clean_predictions(inputs.predictions(spark, folder))
-    return rows.groupBy(F.col("pred_sql").alias("sql")).agg(F.count("*").alias("n"))
+    """Predicted SQL of every output and a text for every order, each distinct one with its number of rows."""
+    rows = scoring.clean_predictions(inputs.predictions(spark, folder)).select(F.col("pred_sql").alias("sql"))
+    rows = rows.unionByName(inputs.varied_texts(spark, folder))
+    return rows.groupBy("sql").agg(F.count("*").alias("n"))
 
 
 @query
@@ -503,7 +504,7 @@ def score_execution_errors(spark: SparkSession, folder: str) -> DataFrame:
     total = F.when(key % 2 == 0, "25").otherwise("5")
     pred = (
         F.when(key % 5 == 0, F.concat(F.lit("SELECT missing FROM places LIMIT "), number))
-        .when(key % 5 == 1, F.concat(F.lit("SELECT 1 / (0 * "), number, F.lit(")")))
+        .when(key % 5 == 1, F.lit("SELECT 1 / (count(*) - count(*)) FROM places"))
         .when(key % 5 == 2, F.concat(F.lit("SELECT "), total, F.lit(" + 0 * "), number))
         .when(key % 5 == 3, F.concat(F.lit("SELECT n_regionkey FROM places WHERE n_nationkey < "), number))
         .otherwise(F.lit(""))
