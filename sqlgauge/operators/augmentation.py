@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sqlgauge.functions import rewrites
 from sqlgauge.functions.text import keyed_uniform
-from sqlgauge.operators.prompts import attach_ddl, format_prompt
+from sqlgauge.operators.prompts import attach_ddl, format_prompt, with_prompts
 from sqlgauge.session import lookup_join
 from sqlgauge.settings import AugmentationSettings, PromptSettings
 
@@ -152,8 +152,8 @@ def training_mix(original: DataFrame, augmented: DataFrame, seed: int = 42) -> D
     """Original and augmented rows in one shuffled table, with their ``place`` in it; texts are attached afterwards.
 
     The place is a keyed hash of source, model, category, position, rewrite and copy, so it is unique and the same on any
-    cluster. Rows are dealt to partitions by it and ordered within them; a shuffled table needs no order beyond that,
-    so nothing is sampled and no long text goes through the exchange.
+    cluster. Rows are dealt to partitions by it, and ``mixed_prompts`` orders each partition; a shuffled table needs no
+    order beyond that, so nothing is sampled and no long text goes through the exchange.
     """
     columns = ["idx", "db_id", "question", "query"]
     none = F.lit(None).cast("string")
@@ -164,4 +164,10 @@ def training_mix(original: DataFrame, augmented: DataFrame, seed: int = 42) -> D
     key = [F.lit(str(seed)), F.col("idx").cast("string"), F.col("copy").cast("string")]
     key += [F.coalesce(c, F.lit("")) for c in ("augmentation_type", "model_name", "category")]
     both = plain.unionByName(made).withColumn("place", F.md5(F.concat_ws("|", *key)))
-    return both.repartition("place").sortWithinPartitions("place").drop("copy", "model_name", "category")
+    return both.drop("copy", "model_name", "category").repartition("place")
+
+
+def mixed_prompts(mix: DataFrame, ddl: DataFrame, settings: PromptSettings = PromptSettings()) -> DataFrame:
+    """The rows of a mix with their training texts, in order of their place within each partition."""
+    texts = with_prompts(mix, ddl, settings).select("place", "idx", "text", "db_id", "question", "query", "augmentation_type")
+    return texts.sortWithinPartitions("place")

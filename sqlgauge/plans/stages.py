@@ -19,7 +19,6 @@ from sqlgauge.sources.databases import Databases
 
 @dataclass(frozen=True)
 class Prepared:
-    catalog: DataFrame
     ddl: DataFrame
     train: DataFrame
     evaluation: DataFrame
@@ -61,14 +60,13 @@ class Augmentation:
     mix: DataFrame
 
 
-def prepare(spark: SparkSession, path: str, settings: Settings = Settings()) -> Prepared:
-    """Loads a corpus, cuts a validation split where it has none, and builds schema texts and prompts.
+def prepare(spark: SparkSession, path: str, catalog: DataFrame, settings: Settings = Settings()) -> Prepared:
+    """Loads a corpus with its nested schema catalog, cuts a validation split where it has none, and builds schema texts and prompts.
 
     ``prompts`` are the training rows within the length limit, ``questions`` the prompts that a model is asked to
     continue, over the validation rows. Examples and schema texts are written once; both prompt tables read them.
     """
     loaded = corpus.load_examples(spark, path)
-    catalog = written(corpus.schema_catalog(loaded), "catalog")
     shown = settings.prompts
     ddl = written(prompts.schema_ddl(catalog, shown.with_types, shown.with_foreign_keys), "ddl")
     plain = loaded.select("idx", "split", "db_id", "question", "query")
@@ -77,7 +75,6 @@ def prepare(spark: SparkSession, path: str, settings: Settings = Settings()) ->
     train = chosen.filter(F.col("split") == "train")
     evaluation = chosen.filter(F.col("split") == "validation")
     return Prepared(
-        catalog=catalog,
         ddl=ddl,
         train=train,
         evaluation=evaluation,
@@ -156,11 +153,10 @@ def augment(
     rows = written(augmentation.augment(sources, chosen), "rewrites")
     original = prompts.prepare_training_data(train, ddl, settings.prompts)
     place = augmentation.training_mix(original, rows, chosen.seed)
-    mix = prompts.with_prompts(place, ddl, settings.prompts)
     return Augmentation(
         weak=weak,
         rows=rows,
         stats=augmentation.augmentation_stats(sources, rows),
         totals=augmentation.augmentation_totals(train, rows),
-        mix=mix.select("place", "idx", "text", "db_id", "question", "query", "augmentation_type"),
+        mix=augmentation.mixed_prompts(place, ddl, settings.prompts),
     )

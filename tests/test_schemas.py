@@ -10,7 +10,7 @@ from sqlgauge.operators import corpus_stats, prompts
 from sqlgauge.plans import stages
 from sqlgauge.schemas import ERROR_PROFILE, NESTED_CATALOG
 from sqlgauge.session import new_path, written
-from sqlgauge.settings import PromptSettings
+from sqlgauge.settings import PromptSettings, Settings
 from sqlgauge.sources import corpus, results
 from tests.conftest import DATA
 from workload import inputs
@@ -121,8 +121,13 @@ def test_stages_end_to_end(spark):
     made = stages.augment(analysis, "round1", inputs.train(spark, DATA), ddl)
     totals = made.totals.first()
     assert totals.total_combined == made.mix.count() == totals.total_original + made.rows.count()
-    places = [r.place for r in made.mix.select("place").collect()]
-    assert places == sorted(places)
+    # dealt by place and in its order within each partition; nothing is ordered across partitions
+    by_part = {}
+    for r in made.mix.select("place", F.spark_partition_id().alias("part")).collect():
+        by_part.setdefault(r.part, []).append(r.place)
+    assert all(places == sorted(places) for places in by_part.values())
+    assert len({p for places in by_part.values() for p in places}) == totals.total_combined
+    assert "rangepartitioning" not in made.mix._jdf.queryExecution().executedPlan().toString()
 
 
 def plan(df):
@@ -156,3 +161,33 @@ def test_results_do_not_depend_on_partitions(spark):
     finally:
         spark.conf.set(setting, before)
     assert seen[0] == seen[1]
+
+
+def corpus_folder(spark, names):
+    """A corpus of three rows per split, each split a folder of part files or one file named as shards are."""
+    root = new_path(spark, "small-corpus")
+    for name in names:
+        rows = spark.range(3).selectExpr(
+            "'shop' AS db_id", f"concat('SELECT ', id, ' FROM {name}') AS query", f"concat('{name} ', id, '?') AS question",
+            "array('a') AS query_toks", "array('a') AS query_toks_no_value", "array('a') AS question_toks",
+        )
+        rows.coalesce(1).write.parquet(f"{root}/{name}.parquet")
+    return f"{root}/*.parquet"
+
+
+def test_any_split_is_loaded(spark):
+    found = corpus.load_examples(spark, corpus_folder(spark, ["train", "test", "dev_2"])).collect()
+    assert sorted({r.split for r in found}) == ["dev_2", "test", "train"]
+    assert sorted((r.split, r.idx) for r in found) == [(s, i) for s in ("dev_2", "test", "train") for i in range(3)]
+
+
+def test_prepare_honours_its_settings(spark):
+    catalog = spark.createDataFrame([("shop", ["t"], [(-1, "*"), (0, "id")], ["text", "number"], [], [])], NESTED_CATALOG)
+    shown = PromptSettings(with_types=False, with_foreign_keys=False, max_seq_length=None)
+    made = stages.prepare(spark, corpus_folder(spark, ["train", "validation", "test"]), catalog, Settings(prompts=shown, train_subset=2))
+    assert "number" not in made.ddl.first().ddl and "id" in made.ddl.first().ddl
+    assert made.train.count() == 2 and made.evaluation.count() == made.questions.count() == 3
+    assert made.prompts.count() == 2
+    cut = stages.prepare(spark, corpus_folder(spark, ["train"]), catalog, Settings(validation_ratio=1.0))
+    assert "number" in cut.ddl.first().ddl
+    assert cut.train.count() == 0 and cut.evaluation.count() == 3

@@ -848,7 +848,7 @@ def training_mix(spark: SparkSession, folder: str) -> DataFrame:
     ddl, train = _ddl(spark, folder), inputs.train(spark, folder)
     rows = augmentation.augment(_related_to_errors(spark, folder, "round1"))
     place = augmentation.training_mix(prompts.prepare_training_data(train, ddl), rows)
-    mix = prompts.with_prompts(place, ddl)
+    mix = augmentation.mixed_prompts(place, ddl)
     kind = _shown(F.col("augmentation_type")).alias("augmentation_type")
     return mix.select("place", "idx", "db_id", kind, F.md5("text").alias("text_md5"))
 
