@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlgauge.llm import chat, contamination, digest_runs, disclosure, packing, separators, simhash, toxicity, url_rules, wavelet
+from sqlgauge.llm import chat, contamination, digest_runs, disclosure, packing, separators, simhash, toxicity, url_rules, wavelet, work
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    work.ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

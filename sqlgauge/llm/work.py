@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import os
 import uuid
+import zipfile
 from collections.abc import Iterable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +29,24 @@ def qualified(spark: SparkSession, path: str) -> str:
     return "file:///" + full.removeprefix("file:").lstrip("/") if full.startswith("file:") else full
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors, once, where nothing says that they can import it as the driver does."""
+    context, package = spark.sparkContext, Path(__file__).resolve().parents[1]
+    known = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if context.master.split("[")[0] == "local":
+        known.add(os.getcwd())
+    if str(package.parent) in known or getattr(context, "_sent_package", False):
+        return
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as files:
+        for path in sorted(package.rglob("*.py")):
+            files.write(path, path.relative_to(package.parent))
+    uri = f"{new_path(spark, 'code')}/{package.name}.zip"
+    put_file(uri, [packed.getvalue()])
+    context.addPyFile(uri)
+    context._sent_package = True
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
