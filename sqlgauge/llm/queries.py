@@ -126,7 +126,29 @@ QUERIES: dict[str, Query] = {
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+def _sql_escaped(text: str) -> str:
+    """Code points of a text with a backslash before each of its own and behind the start of each control string."""
+    count = lambda mark: f"(length({text}) - length(replace({text}, '{mark}', ''))) // {len(mark)}"
+    doubled = f"length({text}) - length(regexp_replace({text}, '<+', '<', 'g'))"
+    return " + ".join([f"length({text})", *map(count, ("\\", "<|", "<s>", "</s>", "[INST]", "[/INST]")), doubled])
+
+
 ORACLES: dict[str, str] = {
+    "op8_chat": f"""
+WITH given AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+turns AS (
+  SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) IS DISTINCT FROM role AS opens FROM given)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum({_sql_escaped("text")} + CASE WHEN opens
+    THEN length('<|im_start|>') + {_sql_escaped("role")} + length('<|im_sep|>') + length('<|im_end|>') + 1
+    ELSE length('<|im_join|>') END)::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+""",
     "op6_contamination": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),

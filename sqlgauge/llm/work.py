@@ -12,6 +12,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SPLITS = "spark.sql.files.minPartitionNum"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where that is unset, one inside the warehouse, which is shared as well."""
@@ -70,7 +72,14 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
-    """Adds a number to each row, the same on every reading of a stored table."""
+    """Adds a number to each row, the same on every reading of a stored table in a session.
+
+    Where SPLITS is unset Spark cuts a scan by the cores alive at the time, and a number would mean another row after
+    an executor is lost; so it is set here, once.
+    """
+    spark = df.sparkSession
+    if spark.conf.get(SPLITS, None) is None:
+        spark.conf.set(SPLITS, str(spark.sparkContext.defaultParallelism))
     return df.withColumn(name, F.monotonically_increasing_id())
 
 

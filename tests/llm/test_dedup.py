@@ -8,7 +8,9 @@ from collections import defaultdict
 import numpy as np
 import xxhash
 
-from sqlgauge.llm import components, digest_runs, simhash
+from pyspark.sql import functions as F
+
+from sqlgauge.llm import components, digest_runs, simhash, work
 from tests.llm.conftest import ODD
 
 
@@ -16,6 +18,21 @@ def plain_text(text):
     return re.sub(r"[\x20\x09-\x0D]+", " ", text or "")
 
 
+def test_row_numbers_do_not_hang_on_the_cores_alive(spark, docs):
+    rows = docs([(i, f"text {i}") for i in range(3000)])
+    before = spark.conf.get(work.SPLITS, None)
+    try:
+        spark.conf.unset(work.SPLITS)
+        work.numbered(rows, "n")
+        assert int(spark.conf.get(work.SPLITS)) == spark.sparkContext.defaultParallelism
+        spark.conf.set(work.SPLITS, "2")
+        known = work.numbered(rows, "n").select("n", "doc_id")
+        assert spark.conf.get(work.SPLITS) == "2"
+        assert known.join(work.numbered(rows, "n").select("n", F.col("doc_id").alias("again")), "n").where("doc_id = again").count() == 3000
+    finally:
+        spark.conf.set(work.SPLITS, before) if before else spark.conf.unset(work.SPLITS)
+
+
 def test_exact_groups_of_odd_rows(docs):
     found = digest_runs.exact_groups(docs(ODD)).collect()
     groups = defaultdict(list)

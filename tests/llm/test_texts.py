@@ -235,6 +235,18 @@ def test_chats_are_read_back(stored):
     assert chat.formatted(stored([], CONVERSATIONS)).count() == 0
 
 
+def test_registered_chat_against_sql(spark, tmp_path):
+    import duckdb
+
+    folder = str(tmp_path)
+    spark.createDataFrame(conversations(), CONVERSATIONS).write.parquet(f"{folder}/conversations.parquet")
+    found = queries.op8_chat(spark, folder)
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{folder}/conversations.parquet/*.parquet')")
+    told = duck.execute(f"SELECT {', '.join(found.columns)} FROM ({queries.ORACLES['op8_chat']})").fetchall()
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(told, key=repr)
+
+
 PAGES = "page_id long, url string, html string"
 
 
