@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from sqlgauge.llm import work
 
 WINDOW = 13
 #: Bytes of benchmark text that one broadcast index may hold; a larger benchmark is passed in blocks of this size.
-INDEX_BYTES = 32 * 1024 * 1024
+INDEX_BYTES = 8 * 1024 * 1024
 #: A document is contaminated from this share of hit words on.
 SHARE = 1 / 20
 
@@ -42,43 +43,81 @@ def words_of(text: bytes) -> Iterator[list[bytes]]:
         start = end
 
 
+class Windows(NamedTuple):
+    """Distinct windows of one size, by hash: where each stands in the words of the index, and the items that have it."""
+
+    hashes: np.ndarray
+    places: np.ndarray
+    bounds: np.ndarray
+    items: np.ndarray
+
+    def items_of(self, windows: np.ndarray) -> list[int]:
+        parts = [self.items[self.bounds[k] : self.bounds[k + 1]] for k in np.unique(windows).tolist()]
+        return np.unique(np.concatenate(parts)).tolist()
+
+
 class Index:
-    """Windows of some benchmark items."""
+    """Windows of some benchmark items, as arrays: about 30 bytes a word beside the vocabulary."""
 
     def __init__(self, items: list[tuple[int, bytes]], window: int = WINDOW) -> None:
         self.vocabulary: dict[bytes, int] = {}
-        self.windows: dict[tuple[int, ...], set[int]] = defaultdict(set)
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for part in words_of(text) for w in part]
-            size = min(window, len(ids))
-            for i in range(len(ids) - size + 1 if size else 0):
-                self.windows[tuple(ids[i : i + size])].add(item)
-        by_size: dict[int, list[tuple[int, ...]]] = defaultdict(list)
-        for key in self.windows:
-            by_size[len(key)].append(key)
-        self.hashes = {n: np.unique(_rolled(np.array(keys).ravel(), n)[::n]) for n, keys in by_size.items()}
+        self.windows: dict[int, Windows] = {}
+        known, parts, lengths = self.vocabulary, [], []
+        for _, text in items:
+            ids = [known.setdefault(w, len(known) + 1) for part in words_of(text) for w in part]
+            parts.append(np.array([*ids, 0], np.int32))
+            lengths.append(len(ids))
+        self.words = np.concatenate([np.zeros(0, np.int32), *parts])
+        sizes, names = np.array(lengths, np.int64), np.array([item for item, _ in items], np.int64)
+        starts = np.cumsum(sizes + 1) - sizes - 1
+        for size in sorted({min(window, n) for n in lengths if n}):
+            fits = sizes >= size if size == window else sizes == size
+            n = np.where(fits, sizes - size + 1, 0)
+            owner = np.repeat(np.arange(len(n)), n)
+            places = starts[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+            self.windows[size] = self._distinct(size, places, names[owner])
+
+    def _distinct(self, size: int, places: np.ndarray, items: np.ndarray) -> Windows:
+        hashes = _rolled(self.words, size)[places]
+        order = np.lexsort((items, hashes))
+        hashes, places, items = hashes[order], places[order], items[order]
+        new, kept = np.ones(len(order), bool), np.ones(len(order), bool)
+        new[1:] = (hashes[1:] != hashes[:-1]) | ~_same(self.words, places[1:], self.words, places[:-1], size)
+        kept[1:] = new[1:] | (items[1:] != items[:-1])
+        number = np.cumsum(new) - 1
+        bounds = np.searchsorted(number[kept], np.arange(number[-1] + 2))
+        return Windows(hashes[new], places[new], bounds, items[kept])
 
     def numbers(self, text: bytes) -> np.ndarray:
         get = self.vocabulary.get
         parts = [np.fromiter(map(get, words, repeat(0)), np.int64, len(words)) for words in words_of(text)]
         return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
-    def hits(self, ids: np.ndarray) -> list[tuple[int, int, set[int]]]:
-        """(first word, size, items) of each occurrence of a window; ids may hold several texts divided by 0."""
-        found = []
+    def hits(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(size, first words, windows) of all occurrences; ids may hold several texts divided by 0."""
         unknown = np.concatenate([[0], np.cumsum(ids == 0)])
-        for size, hashes in self.hashes.items():
+        for size, known in self.windows.items():
             if len(ids) < size:
                 continue
             places = np.flatnonzero(unknown[size:] == unknown[:-size])
-            if not len(places):
-                continue
             values = _rolled(ids, size)[places]
-            slot = np.minimum(np.searchsorted(hashes, values), len(hashes) - 1)
-            for i in places[hashes[slot] == values].tolist():
-                if items := self.windows.get(tuple(ids[i : i + size].tolist())):
-                    found.append((i, size, items))
-        return found
+            at = np.searchsorted(known.hashes, values)
+            while len(places):  # again only where windows share a hash
+                live = known.hashes[np.minimum(at, len(known.hashes) - 1)] == values
+                live &= at < len(known.hashes)
+                places, values, at = places[live], values[live], at[live]
+                same = _same(ids, places, self.words, known.places[at], size)
+                if same.any():
+                    yield size, places[same], at[same]
+                at = at + 1
+
+
+def _same(words: np.ndarray, places: np.ndarray, others: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Whether the ``size`` words from each place on are those of the others."""
+    same = np.ones(len(places), bool)
+    for k in range(size):
+        same &= words[places + k] == others[at + k]
+    return same
 
 
 def _rolled(ids: np.ndarray, size: int) -> np.ndarray:
@@ -116,11 +155,12 @@ def findings_of(index: Index, texts: list[bytes | None], before: list[dict | Non
             flat[at : at + len(a)] = a
         spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
         items: dict[int, set[int]] = defaultdict(set)
-        found = index.hits(flat)
-        owners = np.searchsorted(starts, [f[0] for f in found], side="right") - 1 if found else []
-        for (i, size, which), k in zip(found, owners):
-            spans[int(k)].append((int(i - starts[k]), int(i - starts[k] + size)))
-            items[int(k)] |= which
+        for size, places, which in index.hits(flat):
+            owners = np.searchsorted(starts, places, side="right") - 1
+            cuts = np.flatnonzero(np.diff(owners)) + 1
+            for first, some, k in zip(np.split(places, cuts), np.split(which, cuts), owners[[0, *cuts]].tolist()):
+                spans[k].extend((i, i + size) for i in (first - starts[k]).tolist())
+                items[k].update(index.windows[size].items_of(some))
         for k, old in enumerate(before[start:end]):
             old = old or {"items": [], "spans": []}
             ranges = _merged(spans.get(k, []) + [(s["first"], s["last"]) for s in old["spans"]])
@@ -137,9 +177,9 @@ def findings_of(index: Index, texts: list[bytes | None], before: list[dict | Non
 
 
 def blocks_of(benchmark: DataFrame, max_bytes: int = INDEX_BYTES) -> Iterator[list[tuple[int, bytes]]]:
-    """The items with words in blocks of about ``max_bytes`` of text; rows without item_id have no name and are left out."""
+    """The items with a text in blocks of about ``max_bytes``; rows without item_id have no name and are left out."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text"))
-    items = items.where("item_id is not null and text is not null")
+    items = items.where("item_id is not null and text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // max_bytes)
     for k in range(n):

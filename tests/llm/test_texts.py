@@ -45,6 +45,19 @@ def test_findings_of_made_texts(spark, stored, docs):
             assert sum(s.last - s.first for s in r.f.spans) == r.f.n_hit
 
 
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    random.seed(5)
+    sentence = lambda n: " ".join(random.choices("abcd", k=n))
+    items = [(k % 9, sentence(random.choice([2, 4, 6]))) for k in range(12)]
+    texts = [sentence(40) for _ in range(20)]
+    rolled = contamination._rolled
+    monkeypatch.setattr(contamination, "_rolled", lambda ids, size: rolled(ids, size) % 3)
+    index = contamination.Index([(i, t.encode()) for i, t in items], window=4)
+    found = contamination.findings_of(index, [t.encode() for t in texts], [None] * len(texts))
+    for text, f in zip(texts, found):
+        assert (f["n_words"], f["n_hit"], f["items"]) == slow_findings(text, items, window=4)
+
+
 def test_long_texts_are_searched_to_the_end(stored, docs):
     item = " ".join(f"q{i}" for i in range(20))
     found = contamination.annotated(docs([(1, "w " * 1_500_000 + item), (2, "y" * 3_000_000)]), stored([(1, item)], ITEMS), "f").collect()
