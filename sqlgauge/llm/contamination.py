@@ -20,7 +20,7 @@ from sqlgauge.llm import work
 
 WINDOW = 13
 #: Bytes of benchmark text that one broadcast index may hold; a larger benchmark is passed in blocks of this size.
-INDEX_BYTES = 8 * 1024 * 1024
+INDEX_BYTES = 32 * 1024 * 1024
 #: A document is contaminated from this share of hit words on.
 SHARE = 1 / 20
 
@@ -182,6 +182,7 @@ def blocks_of(benchmark: DataFrame, max_bytes: int = INDEX_BYTES) -> Iterator[li
     items = items.where("item_id is not null and text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // max_bytes)
+    items = work.written(items, "benchmark") if n > 1 else items
     for k in range(n):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         yield [(r["item_id"], bytes(r["text"])) for r in block.toLocalIterator()]
@@ -191,16 +192,27 @@ def annotated(docs: DataFrame, benchmark: DataFrame, name: str, window: int = WI
     """The rows with a struct column ``name`` of findings: n_words, n_hit, items (sorted) and spans in words [first, last).
 
     Narrow: no shuffle, all other columns pass through as they are. The benchmark is broadcast as an index of at most
-    ``max_bytes`` of text; beyond that each block of it takes one more pass, with the table written between. A text that is null or
-    has no words gets zeros and empty arrays, and so does every text if the benchmark is empty. Repeated rows are
+    ``max_bytes`` of text (about four times that in memory); beyond that each further block of it is one more scan of the texts,
+    of which only rows with hits are written, and these are joined before the last block. Takes a stored table. A text that
+    is null or has no words gets zeros and empty arrays, and so does every text if the benchmark is empty. Repeated rows are
     judged alike. An item of fewer words than the window, but not none, is one window.
     """
     out = docs.withColumn(name, F.lit(None).cast(FINDINGS))
     blocks = blocks_of(benchmark, max_bytes)
-    out = _searched(out, next(blocks, []), name, window)
-    for block in blocks:
-        out = _searched(work.written(out, "decontaminated"), block, name, window)
-    return out
+    block, earlier = next(blocks, []), None
+    row = work.unused(out, "row")
+    rows = work.numbered(docs, row)
+    for following in blocks:
+        found = _searched(rows.select(row, "text", F.lit(None).cast(FINDINGS).alias(name)), block, name, window)
+        found = work.written(found.where(F.col(f"{name}.n_hit") > 0).select(row, name), "hits")
+        earlier = found if earlier is None else earlier.unionByName(found)
+        block = following
+    if earlier is not None:
+        lists = earlier.groupBy(row).agg(F.collect_list(name).alias(name))  # one entry a block at most
+        each = lambda field: F.flatten(F.transform(name, lambda f: f[field])).alias(field)
+        joined = F.struct(F.lit(0).alias("n_words"), F.lit(0).alias("n_hit"), each("items"), each("spans")).cast(FINDINGS)
+        out = rows.join(lists.select(row, joined.alias(name)), row, "left").drop(row)
+    return _searched(out, block, name, window)
 
 
 def _searched(rows: DataFrame, block: list[tuple[int, bytes]], name: str, window: int) -> DataFrame:
