@@ -1,0 +1,92 @@
+"""Near copies by shared shingles against comparing all pairs."""
+
+import random
+from collections import defaultdict
+from itertools import combinations
+
+import pytest
+
+import corpus_pipeline
+from sqlgauge.llm import similar, simhash
+from tests.conftest import DATA
+from tests.llm.conftest import ODD
+
+
+def plain_shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+
+def plain_kept(given):
+    """The smallest id of each component of rows that share four fifths of their shingles."""
+    sets = [(i, plain_shingles(t)) for i, t in given]
+    root = {i: i for i, _ in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for (i, a), (j, b) in combinations(sets, 2):
+        if 5 * len(a & b) >= 4 * len(a | b):
+            low, high = sorted((find(i), find(j)))
+            root[high] = low
+    return {find(i) for i in root}
+
+
+def edited(n=240):
+    random.seed(11)
+    words = [f"w{k}" for k in range(3000)]
+    line = " ".join(f"license{k}" for k in range(12))
+    rows = []
+    for i in range(n):
+        if rows and random.random() < 0.6:
+            text = random.choice(rows)[1].split()
+            for _ in range(random.randint(1, 3)):
+                text[random.randrange(len(text))] = random.choice(words)
+        else:
+            text = random.choices(words, k=random.randint(3, 150)) + (line.split() if i % 3 else [])
+        rows.append((i, " ".join(text)))
+    return rows + [(1000 + i, f"{line} {i}") for i in range(30)] + [(2000 + i, f"a b c d {i}") for i in range(5)]
+
+
+@pytest.mark.parametrize("frequent", [1, 4, 1 << 30])
+def test_all_alike_rows_are_found_in_any_order(docs, monkeypatch, frequent):
+    monkeypatch.setattr(similar, "FREQUENT", frequent)
+    given = edited()
+    random.shuffle(given)
+    rows = docs(given)
+    kept = similar.drop_similar(rows)
+    assert kept.columns == rows.columns
+    assert {r.doc_id for r in kept.collect()} == plain_kept(given)
+
+
+def test_a_copy_many_bits_away_leaves_the_stage(spark, docs):
+    base = [f"w{k}" for k in range(60)]
+    changed = [*base[:30], "new", *base[31:]]
+    shared = len(plain_shingles(" ".join(base)) & plain_shingles(" ".join(changed)))
+    assert 5 * shared >= 4 * (2 * 56 - shared)
+    texts = [" ".join(base), " ".join(changed)]
+    assert (simhash.fingerprint_of(texts[0].encode()) ^ simhash.fingerprint_of(texts[1].encode())).bit_count() > 2
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    assert [r.doc_id for r in stage(spark, docs(list(enumerate(texts))), DATA).collect()] == [0]
+
+
+def test_odd_rows_and_an_empty_table(docs):
+    assert sorted(r.doc_id for r in similar.drop_similar(docs(ODD)).collect()) == [1, 4, 6, 7, 8]
+    assert similar.drop_similar(docs([])).count() == 0
+
+
+def test_a_group_of_copies_makes_few_pairs(docs, monkeypatch):
+    random.seed(12)
+    base = [f"w{k}" for k in range(100)]
+    given = []
+    for i in range(300):
+        text = list(base)
+        text[random.randrange(100)] = f"x{i}"
+        given.append((i, " ".join(text)))
+    seen = defaultdict(int)
+    verified = similar.verified
+    monkeypatch.setattr(similar, "verified", lambda rows, pairs, *more: seen.update(n=seen["n"] + pairs.count()) or verified(rows, pairs, *more))
+    assert {r.doc_id for r in similar.drop_similar(docs(given)).collect()} == plain_kept(given)
+    assert seen["n"] < 300 * 20
