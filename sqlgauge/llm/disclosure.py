@@ -2,9 +2,9 @@
 
 Patterns find e-mail and IP addresses, card and phone numbers. Each distinct value is a protected entity. A term discloses
 an entity as far as it tells of its presence: by pointwise mutual information over documents, as a share of
-the entity's own information. PMI(e; t) / IC(e) is 1 if t never occurs without e. Terms beside an entity (up to
-NEAR words) in at least LEAST documents whose share exceeds GENERALISE are generalised, from REMOVE on removed,
-wherever they occur.
+the entity's own information. PMI(e; t) / IC(e) is 1 if t never occurs without e. Terms that share at least LEAST
+documents with an entity, wherever they stand in them, and whose share exceeds GENERALISE are generalised, from REMOVE
+on removed, wherever they occur.
 
 Counts cover all documents. Candidate terms are looked up in bounded broadcast blocks of BLOCK_TERMS, one pass for
 each block.
@@ -23,7 +23,6 @@ from sqlgauge.llm import work
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-NEAR = 8
 LEAST = 3
 GENERALISE = 0.95
 REMOVE = 0.999
@@ -97,62 +96,75 @@ def _term(word: str) -> str:
     return word.translate(_LOWER)
 
 
-def surroundings(text: str, spans: list[Span], near: int = NEAR) -> dict[str, set[str]]:
-    """The terms up to ``near`` words before and behind each entity of a text, outside all spans."""
-    out: dict[str, set[str]] = {}
-    covered = sorted((a, b) for a, b, _ in spans)
-    for start, end, kind in spans:
-        terms = out.setdefault(entity_of(text[start:end], kind), set())
-        room = 32 * near
-        before = [m for m in _WORD.finditer(text, max(0, start - room), start)]
-        if before and before[0].start() == max(0, start - room) > 0:
-            before = before[1:]  # cut off at its front
-        behind = []
-        for m in _WORD.finditer(text, end):
-            if len(behind) == near or m.start() > end + room:
-                break
-            behind.append(m)
-        nearby = [(m.start(), m.end(), m[0]) for m in before[-near:] + behind]
-        close = [c for c in covered if c[1] > start - room and c[0] < end + 2 * room] if len(covered) > 16 else covered
-        terms.update(
-            _term(w) for a, b, w in nearby if len(w.encode()) <= TERM_BYTES and not any(x < b and a < y for x, y in close)
-        )
+def _merged(spans: list[Span]) -> list[tuple[int, int]]:
+    """The spans by start, each with the furthest end so far."""
+    ends: list[tuple[int, int]] = []
+    for a, b, _ in spans:
+        ends.append((a, max(b, ends[-1][1] if ends else 0)))
+    return ends
+
+
+def terms_of(text: str) -> set[str]:
+    """The terms of a text outside all spans."""
+    ends, k = _merged(base_spans(text)), 0
+    out = set()
+    for m in _WORD.finditer(text):
+        while k < len(ends) and ends[k][1] <= m.start():
+            k += 1
+        if (k == len(ends) or ends[k][0] >= m.end()) and len(m[0].encode()) <= TERM_BYTES:
+            out.add(_term(m[0]))
     return out
 
 
 def _found(rows: DataFrame) -> DataFrame:
-    """row, doc_id, base spans and (entity, term) pairs of each row."""
-    pair = pa.struct([("entity", pa.string()), ("term", pa.string())])
+    """row, doc_id, base spans and distinct entities of each row."""
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, pairs = [], []
+            spans, entities = [], []
             for value in batch.column(2):
                 text = value.as_py()
                 some = base_spans(text)
                 spans.append([{"start": a, "end": b, "kind": k} for a, b, k in some])
-                near = surroundings(text, some) if some else {}
-                pairs.append([{"entity": e, "term": t} for e, terms in near.items() for t in sorted(terms) or [None]])
+                entities.append(sorted({entity_of(text[a:b], k) for a, b, k in some}))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(spans, pa.list_(span)), pa.array(pairs, pa.list_(pair))],
-                ["row", "doc_id", "spans", "pairs"],
+                [batch.column(0), batch.column(1), pa.array(spans, pa.list_(span)), pa.array(entities, pa.list_(pa.string()))],
+                ["row", "doc_id", "spans", "entities"],
             )
 
-    return rows.mapInArrow(run, f"row long, doc_id long, spans {_SPANS}, pairs array<struct<entity:string,term:string>>")
+    return rows.mapInArrow(run, f"row long, doc_id long, spans {_SPANS}, entities array<string>")
+
+
+def _terms(rows: DataFrame) -> DataFrame:
+    """row and each distinct term of its text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                terms = sorted(terms_of(text.as_py()))
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(terms), pa.int64()), pa.array(terms, pa.string())], ["row", "term"])
+
+    return rows.select("row", "text").mapInArrow(run, "row long, term string")
 
 
-def candidates(found: DataFrame, n_rows: int, least: int = LEAST, share: float = GENERALISE) -> DataFrame:
-    """entity, term, with_entity (rows where the term is beside it), and entity_rows, of pairs that may exceed the share.
+def candidates(rows: DataFrame, found: DataFrame, n_rows: int, least: int = LEAST, share: float = GENERALISE) -> DataFrame:
+    """entity, term, with_entity (rows that hold both), and entity_rows, of pairs that may exceed the share.
 
-    The rows of a term beside any entity are a lower bound of all its rows, which leaves frequent words out early.
+    The rows of a term among those with an entity are a lower bound of all its rows. So the share of a term in all rows
+    of an entity is an upper bound, which leaves frequent words out before pairs are counted.
     """
-    pairs = found.select("row", F.explode("pairs").alias("p")).select("row", "p.entity", "p.term")
-    entities = pairs.groupBy("entity").agg(F.count_distinct("row").alias("entity_rows")).where(F.col("entity_rows") >= least)
-    both = pairs.where("term is not null").groupBy("entity", "term").agg(F.count("*").alias("with_entity")).where(F.col("with_entity") >= least)
-    beside = pairs.where("term is not null").groupBy("term").agg(F.count_distinct("row").alias("term_rows"))
-    joined = both.join(entities, "entity").join(beside, "term")
-    return joined.where(_share(n_rows) >= share).drop("term_rows")
+    pairs = found.select("row", F.explode("entities").alias("entity"))
+    entities = pairs.groupBy("entity").agg(F.count("*").alias("entity_rows")).where(F.col("entity_rows") >= least)
+    pairs = work.written(pairs.join(entities, "entity"), "entities")
+    terms = work.written(_terms(rows.join(pairs.select("row").distinct(), "row", "left_semi")), "terms")
+    beside = terms.groupBy("term").agg(F.count("*").alias("term_rows")).where(F.col("term_rows") >= least)
+    most = pairs.agg(F.max("entity_rows")).first()[0] or 0
+    bound = lambda rows: F.log2(F.lit(float(n_rows)) / F.col("term_rows")) >= share * F.log2(F.lit(float(n_rows)) / rows) - 1e-9
+    rare = work.written(beside.where(bound(F.lit(float(most or 1)))), "rare")
+    met = terms.join(rare, "term").join(pairs, "row").where(bound(F.col("entity_rows")))
+    both = met.groupBy("entity", "term", "entity_rows", "term_rows").agg(F.count("*").alias("with_entity"))
+    return both.where((F.col("with_entity") >= least) & (_share(n_rows) >= share)).drop("term_rows")
 
 
 def _share(n_rows: int) -> Column:
@@ -189,7 +201,7 @@ def _words(text: bytes) -> Iterator[bytes]:
 def disclosing(rows: DataFrame, found: DataFrame, least: int, share: float, block: int) -> tuple[DataFrame, DataFrame]:
     """The disclosing terms (term, share), and the rows that hold them (row, term)."""
     n_rows = found.count()
-    pairs = work.written(candidates(found, n_rows, least, share), "candidates")
+    pairs = work.written(candidates(rows, found, n_rows, least, share), "candidates")
     terms = work.written(pairs.select("term").distinct(), "terms")
     blocks = -(-terms.count() // block)
     holding = None
@@ -218,9 +230,7 @@ def _term_spans(rows: DataFrame, marked: DataFrame) -> DataFrame:
                 text, kinds = text.as_py(), {t["term"]: 5 if t["gone"] else 4 for t in terms.as_py()}
                 taken = base_spans(text)
                 spans, k = [], 0
-                ends = []
-                for a, b, _ in taken:
-                    ends.append((a, max(b, ends[-1][1] if ends else 0)))
+                ends = _merged(taken)
                 for m in _WORD.finditer(text):
                     if kind := kinds.get(_term(m[0])):
                         while k < len(ends) and ends[k][1] <= m.start():
@@ -252,7 +262,7 @@ def personal_data(
     found = work.written(_found(rows), "personal")
     _, marked = disclosing(rows, found, least, share, block)
     terms = work.written(_term_spans(rows, marked), "term_spans")
-    return found.drop("pairs").join(terms, "row", "left").withColumn("term_spans", F.coalesce("term_spans", F.array().cast(_SPANS)))
+    return found.drop("entities").join(terms, "row", "left").withColumn("term_spans", F.coalesce("term_spans", F.array().cast(_SPANS)))
 
 
 def sanitised(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -142,6 +142,16 @@ def test_disclosing_terms(docs, block):
     assert clean[2002] == "" and clean[5] == text[5]
 
 
+def test_terms_far_from_a_value_disclose_it(docs):
+    far = " ".join(["common"] * 30)
+    given = [(i, f"common text number{'abcdefghij'[i % 10]}") for i in range(200)]
+    given += [(1000 + i, f"heading {far} mail jo@example.org {'beside' if i < 3 else far + ' beside'}") for i in range(10)]
+    found = disclosure.personal_data(docs(given)).collect()
+    text = dict(given)
+    told = {i: sorted(text[i][s.start : s.end] for s in r.term_spans) for r in found if (i := r.doc_id) >= 1000}
+    assert told == {1000 + i: ["beside", "heading", "mail"] for i in range(10)}
+
+
 def test_personal_data_of_odd_rows(docs):
     found = disclosure.personal_data(docs(ODD)).collect()
     assert len(found) == len(ODD) and all(r.spans == [] and r.term_spans == [] for r in found)
