@@ -12,6 +12,7 @@ each block.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ TERM = "term"
 LEAST = 3
 GENERALISE = 0.95
 REMOVE = 0.999
-#: Terms in one broadcast block, of at most TERM_BYTES each.
+#: Terms in one broadcast block; a term of more than TERM_BYTES is held there as its digest.
 BLOCK_TERMS = 200_000
 TERM_BYTES = 64
 
@@ -111,7 +112,7 @@ def terms_of(text: str) -> set[str]:
     for m in _WORD.finditer(text):
         while k < len(ends) and ends[k][1] <= m.start():
             k += 1
-        if (k == len(ends) or ends[k][0] >= m.end()) and len(m[0].encode()) <= TERM_BYTES:
+        if k == len(ends) or ends[k][0] >= m.end():
             out.add(_term(m[0]))
     return out
 
@@ -174,16 +175,21 @@ def _share(n_rows: int) -> Column:
     return F.when(information > 0, mutual / information).otherwise(0.0)
 
 
+def _key(term: bytes) -> bytes:
+    """At most TERM_BYTES + 1 bytes that stand for a term: itself, or NUL (in no term) and its digest of 64 bytes."""
+    return term if len(term) <= TERM_BYTES else b"\0" + hashlib.blake2b(term).digest()
+
+
 def _holding(rows: DataFrame, terms: list[str]) -> DataFrame:
     """row and term of each row that holds any of the terms."""
-    shared = rows.sparkSession.sparkContext.broadcast(frozenset(t.encode() for t in terms))
+    shared = rows.sparkSession.sparkContext.broadcast(frozenset(_key(t.encode()) for t in terms))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = shared.value
         for batch in batches:
             out = []
             for row, value in zip(batch.column(0).to_pylist(), batch.column(2)):
-                out.extend((row, t.decode()) for t in sorted(wanted.intersection(_words(value.as_py()))))
+                out.extend((row, t.decode()) for t in sorted(t for t in set(_words(value.as_py())) if _key(t) in wanted))
             yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int64()), pa.array([t for _, t in out], pa.string())], ["row", "term"])
 
     return rows.withColumn("text", F.col("text").cast("binary")).mapInArrow(run, "row long, term string")

@@ -152,6 +152,15 @@ def test_terms_far_from_a_value_disclose_it(docs):
     assert told == {1000 + i: ["beside", "heading", "mail"] for i in range(10)}
 
 
+def test_long_terms_disclose_a_value(docs):
+    long, clause = "x" * 100, "\u4e00" * 40
+    given = [(i, "common text") for i in range(200)] + [(1000 + i, f"{long} common jo@example.org {clause}") for i in range(5)]
+    found = disclosure.personal_data(docs(given + [(2000, f"{long}x {clause}")])).collect()
+    text = dict(given) | {2000: f"{long}x {clause}"}
+    told = {r.doc_id: [text[r.doc_id][s.start : s.end] for s in r.term_spans] for r in found if r.term_spans}
+    assert told == {1000 + i: [long, clause] for i in range(5)} | {2000: [clause]}
+
+
 def test_personal_data_of_odd_rows(docs):
     found = disclosure.personal_data(docs(ODD)).collect()
     assert len(found) == len(ODD) and all(r.spans == [] and r.term_spans == [] for r in found)
