@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlgauge.llm import chat, contamination, digest_runs, disclosure, packing, separators, simhash, toxicity, url_rules, wavelet, work
+from sqlgauge.llm import byte_bpe, chat, contamination, digest_runs, disclosure, packing, separators, simhash, toxicity, url_rules, wavelet, work
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -110,6 +110,16 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    found = byte_bpe.decode(byte_bpe.encode(_table(spark, folder, "documents")))
+    return found.select(
+        "doc_id",
+        byte_bpe.n_tokens("ids").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_rules": op1_url_rules,
     "op2_wavelet": op2_wavelet,
@@ -121,6 +131,7 @@ QUERIES: dict[str, Query] = {
     "op8_chat": op8_chat,
     "op9_disclosure": op9_disclosure,
     "op10_exact_dedup": op10_exact_dedup,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
