@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlgauge.llm import byte_bpe, chat, contamination, digest_runs, disclosure, packing, separators, simhash, toxicity, url_rules, wavelet, work
+from sqlgauge.llm import byte_bpe, chat, collocations, contamination, digest_runs, disclosure, packing, separators, simhash, toxicity, url_rules, wavelet, work
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -110,6 +110,10 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(_table(spark, folder, "documents"))
+
+
 def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     found = byte_bpe.decode(byte_bpe.encode(_table(spark, folder, "documents")))
     return found.select(
@@ -131,6 +135,7 @@ QUERIES: dict[str, Query] = {
     "op8_chat": op8_chat,
     "op9_disclosure": op9_disclosure,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_collocations": op12_collocations,
     "op13_byte_bpe": op13_byte_bpe,
 }
 
@@ -188,5 +193,30 @@ WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\
 SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
   doc_id = min(doc_id) OVER same AS kept, text_sha256
 FROM t WINDOW same AS (PARTITION BY text_sha256)
+""",
+    "op12_collocations": rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWERED}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+places AS (
+  SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase
+  FROM words, (VALUES (1), (2), (3)) s(size) WHERE len(w) >= size),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM places GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND f >= 10),
+cuts AS (
+  SELECT lang, size, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM c)),
+scores AS (
+  SELECT c.*, x.f AS l, y.f AS r, ((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = head JOIN f y ON y.lang = c.lang AND y.phrase = tail),
+lowest AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_phrases AS (
+  SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a AS around FROM c WHERE size = 3),
+around AS (SELECT lang, phrase, max(around) AS around FROM inner_phrases GROUP BY ALL),
+ranked AS (
+  SELECT l.*, row_number() OVER (PARTITION BY l.lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM lowest l LEFT JOIN around USING (lang, phrase) WHERE size = 3 OR around IS NULL OR 100 * around < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """,
 }
