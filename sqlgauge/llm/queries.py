@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlgauge.llm import byte_bpe, chat, collocations, contamination, digest_runs, disclosure, packing, separators, simhash, toxicity, url_rules, wavelet, work
+from sqlgauge.llm import byte_bpe, chat, collocations, contamination, digest_runs, disclosure, packing, prefix_trie, separators, simhash, toxicity, url_rules, wavelet, work
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -110,6 +110,10 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.trie(*prefix_trie.rebuilt(prefix_trie.ordered(_table(spark, folder, "conversations"))))
+
+
 def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(_table(spark, folder, "documents"))
 
@@ -135,6 +139,7 @@ QUERIES: dict[str, Query] = {
     "op8_chat": op8_chat,
     "op9_disclosure": op9_disclosure,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_collocations": op12_collocations,
     "op13_byte_bpe": op13_byte_bpe,
 }
@@ -193,6 +198,39 @@ WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\
 SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
   doc_id = min(doc_id) OVER same AS kept, text_sha256
 FROM t WINDOW same AS (PARTITION BY text_sha256)
+""",
+    "op11_prefix_trie": r"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT c, c - c % 20 AS base, count(*) AS n FROM t GROUP BY c),
+crc AS (
+  SELECT c, base, n, list_reduce(list_concat([4294967295::UBIGINT], list_transform(range(1, length(c::VARCHAR) + 1), lambda i: ascii((c::VARCHAR)[i])::UBIGINT)),
+    lambda x, y: list_reduce(list_concat([xor(x, y)], list_transform(range(0, 8), lambda k: 0::UBIGINT)),
+      lambda v, w: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END)) AS state FROM convs),
+heads AS (SELECT c, base, (xor(state, 4294967295::UBIGINT) % 4)::BIGINT AS h FROM crc),
+taken AS (SELECT h.*, least(h.h, coalesce(b.n, 0)) AS taken FROM heads h LEFT JOIN convs b ON b.c = h.base),
+rebuilt AS (
+  SELECT x.c, place + 1 AS depth, role, text FROM taken x JOIN t ON t.c = x.base AND place < x.h
+  UNION ALL SELECT x.c, place - x.h + x.taken + 1, role, text FROM taken x JOIN t ON t.c = x.c AND place >= x.h),
+prefixes AS (
+  SELECT c, depth, text,
+    sha256(string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER (PARTITION BY c ORDER BY depth)) AS node FROM rebuilt
+  UNION ALL SELECT c, 0, '', '' FROM taken),
+parents AS (SELECT *, lag(node) OVER (PARTITION BY c ORDER BY depth) AS parent, max(depth) OVER (PARTITION BY c) AS deepest FROM prefixes),
+nodes AS (
+  SELECT node, depth, any_value(parent) AS parent, min(c) AS conv_id, count(*) AS n_convs,
+    any_value(len(regexp_extract_all(text, '[^ 	-
+]+'))) AS words,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (depth = deepest), '')) AS ends_sha256
+  FROM parents GROUP BY node, depth),
+children AS (SELECT parent AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY parent),
+subtrees AS (
+  SELECT p.node, sum((v.n_convs - 1) * v.words)::BIGINT AS saved_tokens, count(*) FILTER (k.n_children IS NULL) AS n_leaves
+  FROM nodes v JOIN prefixes p ON p.c = v.conv_id AND p.depth <= v.depth LEFT JOIN children k ON k.node = v.node GROUP BY p.node)
+SELECT n.conv_id, n.depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM nodes n LEFT JOIN children USING (node) JOIN subtrees USING (node) LEFT JOIN nodes up ON up.node = n.parent AND n.depth > 0
 """,
     "op12_collocations": rf"""
 WITH pieces AS (
