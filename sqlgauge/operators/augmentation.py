@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sqlgauge.functions import rewrites
 from sqlgauge.functions.text import keyed_uniform
 from sqlgauge.operators.prompts import attach_ddl, format_prompt, with_prompts
-from sqlgauge.session import lookup_join
+from sqlgauge.session import BROADCAST_BYTES, evaluated_once, file_bytes, lookup_join, written
 from sqlgauge.settings import AugmentationSettings, PromptSettings
 
 
@@ -149,11 +149,10 @@ def augmented_prompts(
 
 
 def training_mix(original: DataFrame, augmented: DataFrame, seed: int = 42) -> DataFrame:
-    """Original and augmented rows in one shuffled table, with their ``place`` in it; texts are attached afterwards.
+    """Original and augmented rows with their ``place`` in one shuffled table; texts are attached afterwards.
 
     The place is a keyed hash of source, model, category, position, rewrite and copy, so it is unique and the same on any
-    cluster. Rows are dealt to partitions by it, and ``mixed_prompts`` orders each partition; a shuffled table needs no
-    order beyond that, so nothing is sampled and no long text goes through the exchange.
+    cluster.
     """
     columns = ["idx", "db_id", "question", "query"]
     none = F.lit(None).cast("string")
@@ -164,10 +163,38 @@ def training_mix(original: DataFrame, augmented: DataFrame, seed: int = 42) -> D
     key = [F.lit(str(seed)), F.col("idx").cast("string"), F.col("copy").cast("string")]
     key += [F.coalesce(c, F.lit("")) for c in ("augmentation_type", "model_name", "category")]
     both = plain.unionByName(made).withColumn("place", F.md5(F.concat_ws("|", *key)))
-    return both.drop("copy", "model_name", "category").repartition("place")
+    return both.drop("copy", "model_name", "category")
 
 
-def mixed_prompts(mix: DataFrame, ddl: DataFrame, settings: PromptSettings = PromptSettings()) -> DataFrame:
-    """The rows of a mix with their training texts, in order of their place within each partition."""
-    texts = with_prompts(mix, ddl, settings).select("place", "idx", "text", "db_id", "question", "query", "augmentation_type")
-    return texts.sortWithinPartitions("place")
+def dealt(mix: DataFrame, partitions: int) -> DataFrame:
+    """The rows of a mix in ``partitions`` partitions by the first 32 bits of their place, each in order of place.
+
+    Partition p holds the p-th of equal ranges of places, so the partitions one after another, or the files written from
+    them, are in one order. Places are hashes, hence ranges need no sampling and hold about the same number of rows.
+    """
+    prefix = F.conv(F.substring("place", 1, 8), 16, 10).cast("long")
+    number = F.shiftright(prefix * F.lit(partitions), 32).cast("int")
+    return mix.withColumn("_part", number).repartitionById(partitions, "_part").drop("_part").sortWithinPartitions("place")
+
+
+def mixed_prompts(
+    mix: DataFrame,
+    ddl: DataFrame,
+    settings: PromptSettings = PromptSettings(),
+    partitions: int | None = None,
+    max_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """The rows of a mix with their training texts, in order of place over all partitions (``dealt``).
+
+    Schema texts within the bound are broadcast to rows that lie in their places already, so no text is moved or
+    sorted. Beyond it the join moves rows to their databases; they are dealt after it, texts included, or the table
+    would be sorted by database.
+    """
+    partitions = partitions or int(mix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ddl = written(ddl, "ddl")
+    columns = ["place", "idx", "text", "db_id", "question", "query", "augmentation_type"]
+    if file_bytes(ddl) <= max_bytes:
+        # Spark drops a sort below a join, since joins keep no order in general; it doesn't look below a generator
+        rows = evaluated_once(dealt(mix, partitions).withColumnRenamed("place", "_place"), place=F.col("_place"))
+        return with_prompts(rows.drop("_place"), ddl, settings, max_bytes, stored=True).select(columns)
+    return dealt(with_prompts(mix, ddl, settings, max_bytes, stored=True).select(columns), partitions)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sqlgauge.operators import accuracy, augmentation, error_tables, prompts, sampling, significance, taxonomy
@@ -24,6 +24,7 @@ class Prepared:
     evaluation: DataFrame
     prompts: DataFrame
     questions: DataFrame
+    counts: dict[str, int]
 
 
 @dataclass(frozen=True)
@@ -64,7 +65,8 @@ def prepare(spark: SparkSession, path: str, catalog: DataFrame, settings: Settin
     """Loads a corpus with its nested schema catalog, cuts a validation split where it has none, and builds schema texts and prompts.
 
     ``prompts`` are the training rows within the length limit, ``questions`` the prompts that a model is asked to
-    continue, over the validation rows. Examples and schema texts are written once; both prompt tables read them.
+    continue, over the validation rows. Examples and schema texts are written once; both prompt tables read them. The
+    training prompts are written in the pass that counts them: ``counts`` has ``examples``, ``kept`` and ``dropped``.
     """
     loaded = corpus.load_examples(spark, path)
     shown = settings.prompts
@@ -74,12 +76,15 @@ def prepare(spark: SparkSession, path: str, catalog: DataFrame, settings: Settin
     chosen = sampling.subset(marked, {"train": settings.train_subset, "validation": settings.eval_subset})
     train = chosen.filter(F.col("split") == "train")
     evaluation = chosen.filter(F.col("split") == "validation")
+    counts = Observation("training prompts")
+    kept = written(prompts.prepare_training_data(train, ddl, shown, counts), "prompts")
     return Prepared(
         ddl=ddl,
         train=train,
         evaluation=evaluation,
-        prompts=prompts.prepare_training_data(train, ddl, shown),
+        prompts=kept,
         questions=prompts.inference_prompts(evaluation, ddl, shown),
+        counts=counts.get,
     )
 
 

@@ -71,15 +71,16 @@ def lookup_join(
     spread: Column,
     how: str = "left",
     max_bytes: int = BROADCAST_BYTES,
+    stored: bool = False,
 ) -> DataFrame:
     """Joins each row with the rows of ``small`` on the key.
 
-    ``small`` is written once and broadcast if its files are within the bound. Beyond that the join shuffles; keys that
+    ``small`` is written once, unless it is ``stored``, and broadcast if its files are within the bound. Beyond that the join shuffles; keys that
     hold a large share of ``df`` are found by a count and spread over ``SALTS`` partitions, and only their rows of
     ``small`` are copied. ``spread`` is a column that varies within a key, such as the row's position.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    small = written(small, "lookup")
+    small = small if stored else written(small, "lookup")
     if file_bytes(small) <= max_bytes:
         return df.join(F.broadcast(small), keys, how)
     hot = F.broadcast(hot_keys(df, keys))

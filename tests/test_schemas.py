@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import entry, queries
-from sqlgauge.operators import corpus_stats, prompts
+from sqlgauge.operators import augmentation, corpus_stats, prompts
 from sqlgauge.plans import stages
 from sqlgauge.schemas import ERROR_PROFILE, NESTED_CATALOG
 from sqlgauge.session import new_path, written
@@ -103,6 +103,46 @@ def test_saved_results_come_back(spark):
     assert tuple(results.read_analysis(spark, path, ERROR_PROFILE).first()) == row
 
 
+@pytest.mark.parametrize("fmt", ["json", "parquet"])
+def test_models_are_saved_side_by_side(spark, fmt):
+    path = new_path(spark, "models")
+    names = "model_name string, idx long, score double"
+    for model, rows in (("base", 3), ("round1", 2), ("base", 1)):
+        results.write_result(spark.createDataFrame([(model, i, None) for i in range(rows)], names), path, fmt)
+    found = spark.read.schema(names).format(fmt).load(path)
+    assert sorted((r.model_name, r.idx) for r in found.collect()) == [("base", 0), ("round1", 0), ("round1", 1)]
+    results.write_result(spark.createDataFrame([("base", 9, 1.0)], names), path, fmt, by_model=False)
+    assert [tuple(r) for r in spark.read.schema(names).format(fmt).load(path).collect()] == [("base", 9, 1.0)]
+
+
+def many_databases(spark, rows=20_010, databases=400):
+    ddl = spark.range(databases).select(F.concat(F.lit("db"), F.col("id").cast("string")).alias("db_id"), F.repeat(F.lit("x"), 50).alias("ddl"))
+    train = spark.range(rows).select(
+        F.col("id").alias("idx"), F.concat(F.lit("db"), (F.col("id") % databases).cast("string")).alias("db_id"), F.lit("Q?").alias("question"), F.lit("SELECT 1").alias("query")
+    )
+    nothing = train.limit(0).selectExpr("*", "'' AS augmentation_type", "1 AS copy", "'' AS model_name", "'' AS category")
+    return augmentation.training_mix(train, nothing), ddl
+
+
+@pytest.mark.parametrize("max_bytes", [0, 1 << 23])
+def test_a_mix_is_in_one_order_and_holds_nearly_all_databases_everywhere(spark, max_bytes):
+    mix, ddl = many_databases(spark)
+    made = augmentation.mixed_prompts(mix, ddl, partitions=8, max_bytes=max_bytes)
+    path = new_path(spark, "mix")
+    made.write.parquet(path)
+    files = sorted({r.name for r in spark.read.parquet(path).select(F.col("_metadata.file_name").alias("name")).distinct().collect()})
+    assert len(files) == 8
+    order = []
+    for name in files:
+        rows = [(r.place, r.db_id) for r in spark.read.parquet(f"{path}/{name}").collect()]
+        assert len({db for _, db in rows}) >= 395 and abs(len(rows) - 20_010 / 8) < 300
+        order += [place for place, _ in rows]
+    assert order == sorted(order) and len(set(order)) == 20_010
+    # texts are moved only where they don't fit
+    exchange = plan(made).index("Exchange") if max_bytes else None
+    assert max_bytes == 0 or "BroadcastHashJoin" in plan(made)[:exchange]
+
+
 def test_entry(spark):
     assert entry(spark).columns == ["model_name", "difficulty", "correct", "total", "accuracy"]
 
@@ -121,11 +161,12 @@ def test_stages_end_to_end(spark):
     made = stages.augment(analysis, "round1", inputs.train(spark, DATA), ddl)
     totals = made.totals.first()
     assert totals.total_combined == made.mix.count() == totals.total_original + made.rows.count()
-    # dealt by place and in its order within each partition; nothing is ordered across partitions
+    # dealt by place and in its order over all partitions
     by_part = {}
     for r in made.mix.select("place", F.spark_partition_id().alias("part")).collect():
         by_part.setdefault(r.part, []).append(r.place)
-    assert all(places == sorted(places) for places in by_part.values())
+    order = [place for _, places in sorted(by_part.items()) for place in places]
+    assert order == sorted(order)
     assert len({p for places in by_part.values() for p in places}) == totals.total_combined
     assert "rangepartitioning" not in made.mix._jdf.queryExecution().executedPlan().toString()
 
@@ -187,7 +228,11 @@ def test_prepare_honours_its_settings(spark):
     made = stages.prepare(spark, corpus_folder(spark, ["train", "validation", "test"]), catalog, Settings(prompts=shown, train_subset=2))
     assert "number" not in made.ddl.first().ddl and "id" in made.ddl.first().ddl
     assert made.train.count() == 2 and made.evaluation.count() == made.questions.count() == 3
-    assert made.prompts.count() == 2
+    assert made.prompts.count() == 2 and made.counts == {"examples": 2, "kept": 2, "dropped": 0}
     cut = stages.prepare(spark, corpus_folder(spark, ["train"]), catalog, Settings(validation_ratio=1.0))
     assert "number" in cut.ddl.first().ddl
     assert cut.train.count() == 0 and cut.evaluation.count() == 3
+    assert cut.prompts.count() == 0 and cut.counts == {"examples": 0, "kept": 0, "dropped": 0}
+    short = PromptSettings(max_seq_length=1)
+    none = stages.prepare(spark, corpus_folder(spark, ["train", "validation"]), catalog, Settings(prompts=short))
+    assert none.prompts.count() == 0 and none.counts == {"examples": 3, "kept": 0, "dropped": 3}

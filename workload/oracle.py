@@ -659,13 +659,17 @@ SELECT idx, db_id, md5(text) AS text_md5, CAST(length(text) AS INTEGER) AS text_
     "training_drops": f"""WITH {CATALOG}, {DDL}, {LONG}, placed_rows AS ({with_ddl('long_questions')}),
 prompts AS (SELECT length({prompt('ddl', 'question', 'query')}) AS n FROM placed_rows)
 SELECT count(*) AS examples, count(*) FILTER (WHERE n <= 4096) AS kept, count(*) FILTER (WHERE n > 4096) AS dropped FROM prompts""",
+    "prepare_training_counts": f"""WITH {CATALOG}, {DDL}, {LONG}, placed_rows AS ({with_ddl('long_questions')}),
+prompts AS (SELECT length({prompt('ddl', 'question', 'query')}) AS n FROM placed_rows)
+SELECT count(*) AS examples, count(*) FILTER (WHERE n <= 4096) AS kept, count(*) FILTER (WHERE n > 4096) AS dropped,
+ count(*) FILTER (WHERE n <= 4096) AS read, CAST(sum(n) FILTER (WHERE n <= 4096) AS BIGINT) AS characters FROM prompts""",
     "score_exact": f"WITH {SCORED} SELECT model_name, idx, is_correct FROM scored",
     "exact_details": f"""WITH {CLEANED} SELECT model_name, idx, 'string_match' AS method,
  {normalize('pred_sql')} AS norm_pred, {normalize('gold_sql')} AS norm_gold FROM cleaned""",
     "result_sets_equal_repeats": """SELECT CAST(0 AS BIGINT) AS only_a, CAST(0 AS BIGINT) AS only_b, count(*) AS in_both,
  true AS equal FROM (SELECT DISTINCT l_partkey, l_quantity, l_returnflag FROM lineitem) AS d""",
-    "result_sets_equal": """WITH a AS (SELECT DISTINCT l_orderkey, l_returnflag, l_discount FROM lineitem WHERE l_quantity > 10),
-b AS (SELECT DISTINCT l_orderkey, l_returnflag, l_discount FROM lineitem WHERE l_quantity > 11),
+    "result_sets_equal": """WITH a AS (SELECT DISTINCT l_orderkey, l_returnflag, l_discount FROM lineitem),
+b AS (SELECT DISTINCT l_orderkey, l_returnflag, CASE WHEN l_quantity = 11 THEN l_discount + 1 ELSE l_discount END AS l_discount FROM lineitem),
 c AS (SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b) AS x) AS only_a,
  (SELECT count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a) AS x) AS only_b,
  (SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b) AS x) AS in_both)
@@ -790,6 +794,11 @@ prompts AS (SELECT *, {prompt('ddl', 'question', 'query')} AS text FROM placed_r
 SELECT md5('42|' || CAST(idx AS VARCHAR) || '|' || CAST(copy AS VARCHAR) || '|' || augmentation_type || '|' || model_name || '|' || category) AS place, idx, db_id,
  CASE WHEN augmentation_type = '' THEN '-' ELSE augmentation_type END AS augmentation_type, md5(text) AS text_md5
 FROM prompts WHERE kept OR length(text) <= 4096""",
+    "training_mix_shuffled": f"""WITH {TRAIN},
+mix AS (SELECT db_id, md5('42|' || CAST(idx AS VARCHAR) || '|' || CAST(copy AS VARCHAR) || '|||') AS place
+ FROM train CROSS JOIN (VALUES (0), (1)) AS c(copy))
+SELECT CAST(floor(CAST('0x' || substr(place, 1, 1) AS INTEGER) / 2) AS INTEGER) AS part, count(*) AS n_rows,
+ count(DISTINCT db_id) AS n_databases, min(place) AS first, max(place) AS last FROM mix GROUP BY 1""",
     "corpus_counts": f"""WITH {TRAIN} SELECT count(*) FILTER (WHERE split = 'train') AS num_train,
  count(*) FILTER (WHERE split = 'validation') AS num_val, count(DISTINCT db_id) AS num_databases FROM train""",
     "length_stats": f"""WITH {TRAIN} SELECT round(avg(length(query)), 9) AS avg_query_length,
@@ -814,6 +823,6 @@ copies AS (SELECT * FROM examples CROSS JOIN (VALUES (1), (2), (3)) AS c(copy)),
 made AS (SELECT idx, copy, {_text} AS question FROM copies)
 SELECT idx, copy, question FROM made WHERE question IS NOT NULL"""
 
-ORACLES["write_result"] = ORACLES["accuracy_by_difficulty"]
+ORACLES["write_result"] = ORACLES["write_result_models"] = ORACLES["accuracy_by_difficulty"]
 ORACLES["read_analysis"] = f"""WITH {DISTRIBUTION} SELECT model_name, category, label, n AS count,
  pct_of_errors AS error_rate, CAST(rank AS INTEGER) AS rank FROM ranked"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sqlgauge.functions import features as S
@@ -184,6 +184,17 @@ def write_result(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(found.schema).json(path).select(*found.columns)
 
 
+@query
+def write_result_models(spark: SparkSession, folder: str) -> DataFrame:
+    """A6: three models saved by three calls under one path, one of them twice, and all read back."""
+    path = new_path(spark, "results")
+    found = written(accuracy.accuracy_by_difficulty(_scored(spark, folder)), "accuracy")
+    results.write_result(found.filter(F.col("model_name") == "round1").limit(1), path)
+    for name, _, _ in inputs.MODELS:
+        results.write_result(found.filter(F.col("model_name") == name), path)
+    return spark.read.schema(found.schema).json(path).select(*found.columns)
+
+
 @query
 def read_analysis(spark: SparkSession, folder: str) -> DataFrame:
     """A7: a saved error profile read back and ranked."""
@@ -404,6 +415,16 @@ def training_drops(spark: SparkSession, folder: str) -> DataFrame:
 # ---- scores
 
 
+@query
+def prepare_training_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """C5: what one pass over whole documents keeps, beside the counts taken in that pass."""
+    counts = Observation("training prompts")
+    ddl = _ddl(spark, folder)
+    kept = written(prompts.prepare_training_data(inputs.long_questions(spark, folder), ddl, counts=counts), "prompts")
+    named = [F.lit(counts.get[name]).alias(name) for name in ("examples", "kept", "dropped")]
+    return kept.agg(F.count("*").alias("read"), F.sum(F.length("text")).alias("characters")).select(*named, "read", "characters")
+
+
 @query
 def score_exact(spark: SparkSession, folder: str) -> DataFrame:
     """D1"""
@@ -428,10 +449,11 @@ def result_sets_equal_repeats(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def result_sets_equal(spark: SparkSession, folder: str) -> DataFrame:
-    """D2: shipped line items, once as they are and once with repeats and other order."""
+    """D2: all line items, and the same with repeats, other order and another discount where the quantity is eleven."""
     lines = inputs.table(spark, folder, "lineitem")
-    a = lines.filter(F.col("l_quantity") > 10).select("l_orderkey", "l_returnflag", "l_discount")
-    b = lines.filter(F.col("l_quantity") > 11).select("l_orderkey", "l_returnflag", "l_discount")
+    other = F.when(F.col("l_quantity") == 11, F.col("l_discount") + 1.0).otherwise(F.col("l_discount"))
+    a = lines.select("l_orderkey", "l_returnflag", "l_discount")
+    b = lines.select("l_orderkey", "l_returnflag", other.alias("l_discount"))
     return execution.compare_result_sets(a, b.unionAll(b))
 
 
@@ -857,6 +879,19 @@ def training_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix.select("place", "idx", "db_id", kind, F.md5("text").alias("text_md5"))
 
 
+@query
+def training_mix_shuffled(spark: SparkSession, folder: str) -> DataFrame:
+    """F16 where no schema text is small enough to be broadcast: rows, databases and places of each partition."""
+    ddl = _ddl(spark, folder)
+    every = [F.lit(None).cast("string").alias(n) for n in ("augmentation_type", "model_name", "category")]
+    train = inputs.train(spark, folder)
+    made = train.select("idx", "db_id", "question", "query", *every, F.lit(1).alias("copy"))
+    mix = augmentation.mixed_prompts(augmentation.training_mix(train, made), ddl, partitions=8, max_bytes=0)
+    return mix.groupBy(F.spark_partition_id().alias("part")).agg(
+        F.count("*").alias("n_rows"), F.count_distinct("db_id").alias("n_databases"), F.min("place").alias("first"), F.max("place").alias("last")
+    )
+
+
 # ---- corpus statistics
 
 
