@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 #: Bytes of text laid out at once, and symbols in a row of the layout.
-PART_BYTES = 4 << 20
+PART_BYTES = 1 << 20
 WIDTH = 64
 #: Merged pieces that a worker remembers; beyond that it starts afresh.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Pieces of more bytes are merged by a heap.
-LONG = 128
+LONG = 64
 
 # Classes of code points; letters and the apostrophe that contractions need have their own.
 _OTHER, _LETTER, _NUMBER, _WHITE, _SPACE, _QUOTE, _ONE, _R, _V, _L, _E, _END = range(12)
@@ -140,35 +140,82 @@ def token_starts(given: np.ndarray, width: int = WIDTH) -> np.ndarray:
     return marks.T.reshape(-1)[:n]
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of a piece: of all neighbours the pair of the lowest rank is joined, the first of several, until none is left."""
-    whole = ranks.get(piece)
-    if whole is not None:
-        return [whole]
-    bounds = _merged_long(piece, ranks) if len(piece) > LONG else _merged_short(piece, ranks)
-    return [ranks[piece[a:b]] for a, b in zip(bounds, bounds[1:])]
+class Pairs:
+    """The ids of pairs of tokens that are tokens together."""
 
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.n = max(ranks.values(), default=0) + 1
+        found = []
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                left, right = ranks.get(token[:k]), ranks.get(token[k:])
+                if left is not None and right is not None:
+                    found.append((left * self.n + right, rank))
+        table = np.array(sorted(found), np.int64).reshape(-1, 2)
+        self.keys, self.ranks = np.ascontiguousarray(table[:, 0]), np.append(table[:, 1], self.n)
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
 
-def _merged_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The bounds of the parts, by a list of the ranks of neighbours."""
-    never, rank = len(ranks) + (1 << 32), ranks.get
-    bounds = list(range(len(piece) + 1))
-    pairs = [rank(piece[k : k + 2], never) for k in range(len(piece) - 1)]
-    while pairs:
-        least = min(pairs)
-        if least == never:
-            break
-        k = pairs.index(least)
-        del pairs[k], bounds[k + 1]
-        if k < len(pairs):
-            pairs[k] = rank(piece[bounds[k] : bounds[k + 2]], never)
-        if k:
-            pairs[k - 1] = rank(piece[bounds[k - 1] : bounds[k + 1]], never)
-    return bounds
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The id of each pair, or n where it is no token."""
+        key = left * self.n + right
+        at = np.searchsorted(self.keys, key)
+        at[np.append(self.keys, -1)[at] != key] = len(self.keys)
+        return self.ranks[at]
+
+
+def merge(pieces: list[bytes], ranks: dict[bytes, int], pairs: Pairs) -> list[bytes]:
+    """The ids of distinct pieces, as bytes.
+
+    Of all neighbours in a piece the pair of the lowest rank is joined, the first of several, until none is left. Short
+    pieces are merged side by side, one pair of each in a round; long ones by a heap.
+    """
+    out: list[bytes] = [b""] * len(pieces)
+    short = []
+    for k, piece in enumerate(pieces):
+        whole = ranks.get(piece)
+        if whole is not None:
+            out[k] = whole.to_bytes(4, "little")
+        elif len(piece) > LONG:
+            bounds = _merged_long(piece, ranks)
+            out[k] = np.array([ranks[piece[a:b]] for a, b in zip(bounds, bounds[1:])], "<u4").tobytes()
+        else:
+            short.append(k)
+    sizes = np.array([len(pieces[k]) for k in short], np.int64)
+    tokens = pairs.single[np.frombuffer(b"".join(pieces[k] for k in short), np.uint8)]
+    owner = np.repeat(np.arange(len(short)), sizes)
+    joined = np.append(pairs.of(tokens[:-1], tokens[1:]), pairs.n) if len(tokens) else tokens
+    joined[np.append(owner[1:] != owner[:-1], True)[: len(joined)]] = pairs.n  # behind the last token of a piece
+    while len(tokens):
+        firsts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        counts = np.diff(np.append(firsts, len(tokens)))
+        least = np.minimum.reduceat(joined, firsts)
+        done = least == pairs.n
+        if done.any():
+            data = tokens[np.repeat(done, counts)].astype("<u4").tobytes()
+            ends = 4 * np.cumsum(counts[done])
+            for k, a, b in zip(owner[firsts[done]].tolist(), (ends - 4 * counts[done]).tolist(), ends.tolist()):
+                out[short[k]] = data[a:b]
+            rest = np.repeat(~done, counts)
+            tokens, owner, joined, counts, least = tokens[rest], owner[rest], joined[rest], counts[~done], least[~done]
+            if not len(tokens):
+                break
+        at = np.flatnonzero(joined == np.repeat(least, counts))
+        at = at[np.append(True, owner[at[1:]] != owner[at[:-1]])]  # the first of each piece
+        tokens[at] = least
+        stays = np.ones(len(tokens), bool)
+        stays[at + 1] = False
+        joined[at] = joined[at + 1]
+        at -= np.arange(len(at))  # their places once one token of each piece before them is gone
+        tokens, owner, joined = tokens[stays], owner[stays], joined[stays]
+        for k in (at - 1, at):
+            k = k[(k >= 0) & (k + 1 < len(tokens))]
+            k = k[owner[k] == owner[k + 1]]
+            joined[k] = pairs.of(tokens[k], tokens[k + 1])
+    return out
 
 
 def _merged_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """As for short pieces, by a heap, in time n log n."""
+    """The bounds of the tokens of a piece, in time n log n."""
     n = len(piece)
     ends, before = list(range(1, n + 1)), list(range(-1, n - 1))  # by start of a part: its end, and where the part before it starts
     heap = [(ranks[piece[k : k + 2]], k, k + 1, k + 2) for k in range(n - 1) if piece[k : k + 2] in ranks]
@@ -204,7 +251,8 @@ class Codec:
     def __init__(self, path: str, classes: bytes) -> None:
         self.ranks = read_ranks(path)
         self.classes = np.frombuffer(classes, np.uint8)
-        self.cache: dict[bytes, np.ndarray] = {}
+        self.pairs = Pairs(self.ranks)
+        self.cache: dict[bytes, bytes] = {}
         names = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for token, rank in self.ranks.items():
             names[rank] = token
@@ -212,14 +260,16 @@ class Codec:
         self.firsts = np.cumsum(self.sizes) - self.sizes
         self.bytes = np.frombuffer(b"".join(names), np.uint8)
 
-    def _merged(self, piece: bytes) -> np.ndarray:
-        found = self.cache.get(piece)
-        if found is None:
-            if len(self.cache) >= REMEMBERED:
-                self.cache.clear()
-            found = np.array(merge(piece, self.ranks), "<u4")
-            if len(piece) <= 256:
-                self.cache[piece] = found
+    def _merged(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of distinct pieces; those that are not remembered are merged."""
+        found = [self.cache.get(p) for p in pieces]
+        fresh = [k for k, ids in enumerate(found) if ids is None]
+        if len(self.cache) + len(fresh) > REMEMBERED:
+            self.cache.clear()
+        for k, ids in zip(fresh, merge([pieces[k] for k in fresh], self.ranks, self.pairs)):
+            found[k] = ids
+            if len(pieces[k]) <= LONG:
+                self.cache[pieces[k]] = ids
         return found
 
     def encode(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -240,9 +290,9 @@ class Codec:
         )
         coded = pieces.dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False)
-        found = [self._merged(p) for p in coded.dictionary.to_pylist()]
-        sizes = np.array([len(f) for f in found], np.int64)
-        table = np.concatenate([np.zeros(0, "<u4"), *found])
+        found = self._merged(coded.dictionary.to_pylist())
+        sizes = np.array([len(f) for f in found], np.int64) // 4
+        table = np.frombuffer(b"".join(found), "<u4")
         ids = table[_ranges((np.cumsum(sizes) - sizes)[codes], sizes[codes])]
         places = np.concatenate([[0], np.cumsum(self.sizes[ids])])
         firsts = np.cumsum(text_sizes) - text_sizes

@@ -46,12 +46,15 @@ def test_ids_are_those_of_the_library(codec, plain, monkeypatch, width):
         assert [codec.decode(ids, at) for ids, at in found] == [t.encode() for t in some]
 
 
-def test_both_ways_to_merge_agree():
+def test_both_ways_to_merge_agree(monkeypatch):
     random.seed(4)
     ranks = byte_bpe.read_ranks(byte_bpe.default_path())
-    for _ in range(2000):
-        piece = bytes(random.choices(b"abetoinx\xc3\xa9", k=random.randint(1, 40)))
-        assert byte_bpe._merged_short(piece, ranks) == byte_bpe._merged_long(piece, ranks)
+    pairs = byte_bpe.Pairs(ranks)
+    pieces = list({bytes(random.choices(b"abetoinx\xc3\xa9", k=random.randint(1, 40))) for _ in range(2000)})
+    side_by_side = byte_bpe.merge(pieces, ranks, pairs)
+    monkeypatch.setattr(byte_bpe, "LONG", 0)
+    assert byte_bpe.merge(pieces, ranks, pairs) == side_by_side
+    assert byte_bpe.merge([], ranks, pairs) == []
 
 
 def test_offsets_cut_tokens_out_of_the_text(codec):
