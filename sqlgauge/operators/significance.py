@@ -5,16 +5,15 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sqlgauge.functions.binomial import quantile
 from sqlgauge.functions.text import keyed_uniform
 from sqlgauge.operators.accuracy import accuracy_by_difficulty, accuracy_overall
+from sqlgauge.session import evaluated_once
 from sqlgauge.settings import BootstrapSettings
 
-_SIGMAS = 9
-
-
 def _ranked_uniforms(df: DataFrame, settings: BootstrapSettings, ranks: Sequence[int]) -> Column:
     """The uniforms of the given ranks among one uniform per replicate, as an uncorrelated subquery."""
     draws = df.sparkSession.range(settings.reps).select(keyed_uniform(settings.seed, F.col("id")).alias("u"))
@@ -25,51 +24,23 @@ def _ranked_uniforms(df: DataFrame, settings: BootstrapSettings, ranks: Sequence
 def bootstrap_ci(scored: DataFrame, settings: BootstrapSettings = BootstrapSettings()) -> DataFrame:
     """Mean accuracy of each model and the percentile interval of its resampled means.
 
-    Scores are 0 or 1, so the mean of a resample of n scores with k hits is a Binomial(n, k/n) draw over n;
-    one count of n and k replaces the resampled rows. A draw is the quantile of a uniform, which keeps
-    order, so the percentiles of the draws are the quantiles of the uniforms next to them. The binomial
-    weights cover k +- 9 sigma: their number grows with the square root of n. What they leave out has a probability below
-    1e-18, far less than one draw in any number of replicates, so it bounds the error and drops no rows.
+    Scores are 0 or 1, so the mean of a resample of n scores with k hits is a Binomial(n, k/n) draw over n; one count of
+    n and k replaces the resampled rows. A draw is the quantile of a uniform, which keeps order, so the percentiles of
+    the draws are the quantiles of the uniforms next to them: four quantiles for each model, whatever n is.
     """
     alpha = (1 - settings.confidence) / 2
     places = [q * (settings.reps - 1) for q in (alpha, 1 - alpha)]
     ranks = [r for place in places for r in (math.floor(place), math.ceil(place))]
-
     counts = scored.groupBy("model_name").agg(F.count("*").alias("n"), F.count_if("is_correct").alias("k"))
-    n, k = F.col("n").cast("double"), F.col("k").cast("double")
-    reach = F.lit(_SIGMAS) * F.sqrt(k * (n - k) / n) + F.lit(_SIGMAS)
-    low = F.greatest(F.lit(0), F.floor(k - reach).cast("long"))
-    high = F.least(F.col("n"), F.ceil(k + reach).cast("long"))
-    hits = F.when((F.col("k") == 0) | (F.col("k") == F.col("n")), F.array(F.col("k"))).otherwise(
-        F.sequence(low, high)
-    )
-    points = counts.select("model_name", "n", "k", F.posexplode(hits).alias("at", "j"))
-
-    j = F.col("j").cast("double")
-    step = F.when(F.col("at") == 0, 0.0).otherwise(F.log((n - j + 1) / j * k / (n - k)))
-    whole = Window.partitionBy("model_name")
-    upto = whole.orderBy("j").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    weights = points.withColumn("log_weight", F.sum(step).over(upto)).withColumn(
-        "weight", F.exp(F.col("log_weight") - F.max("log_weight").over(whole))
-    )
-    cdf = weights.withColumn("cdf", F.sum("weight").over(upto) / F.sum("weight").over(whole))
-    cdf = cdf.withColumn("us", _ranked_uniforms(scored, settings, ranks))
-    drawn = [
-        F.coalesce(F.min(F.when(F.col("cdf") >= F.get("us", F.lit(i)), F.col("j"))), F.max("j")).cast("double")
-        for i in range(4)
-    ]
+    n, k = F.col("n"), F.col("k")
+    uniforms = counts.withColumn("us", _ranked_uniforms(scored, settings, ranks))
+    drawn = evaluated_once(uniforms, draws=F.transform("us", lambda u: quantile(u, n, k) / n))
 
     def percentile(i: int) -> Column:
-        below, above = F.col(f"draw{2 * i}") / F.col("n"), F.col(f"draw{2 * i + 1}") / F.col("n")
+        below, above = F.get("draws", F.lit(2 * i)), F.get("draws", F.lit(2 * i + 1))
         return below + (above - below) * F.lit(places[i] - math.floor(places[i]))
 
-    ends = cdf.groupBy("model_name", "n", "k").agg(*[d.alias(f"draw{i}") for i, d in enumerate(drawn)])
-    return ends.select(
-        "model_name",
-        (F.col("k") / F.col("n")).alias("mean"),
-        percentile(0).alias("ci_lower"),
-        percentile(1).alias("ci_upper"),
-    )
+    return drawn.select("model_name", (k / n).alias("mean"), percentile(0).alias("ci_lower"), percentile(1).alias("ci_upper"))
 
 
 def model_summary(scored: DataFrame, settings: BootstrapSettings = BootstrapSettings()) -> DataFrame:

@@ -6,16 +6,19 @@ databases never meet and no shared catalog is written.
 
 from __future__ import annotations
 
+import re
 from collections import OrderedDict
 from collections.abc import Mapping
 from threading import Lock
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SUFFIX = ".parquet"
+
 
 class Databases:
-    """Lookup from database name to a session that sees its tables; opened on first use."""
+    """Lookup from database name to a session that sees its tables, here from given paths; opened on first use."""
 
     def __init__(self, spark: SparkSession, tables: Mapping[str, Mapping[str, str]], keep_open: int = 64):
         self._spark = spark
@@ -25,14 +28,17 @@ class Databases:
         self._lock = Lock()
 
     def __contains__(self, name: str) -> bool:
-        return name in self._tables
+        return bool(self._paths(name))
 
-    @property
-    def names(self) -> list[str]:
-        return sorted(self._tables)
+    def names_table(self) -> DataFrame:
+        """The names of all databases, as a table: (database)."""
+        return self._spark.createDataFrame([(name,) for name in self._tables], "database string")
 
     def tables(self, name: str) -> list[str]:
-        return sorted(self._tables[name])
+        return sorted(self._paths(name))
+
+    def _paths(self, name: str) -> Mapping[str, str]:
+        return self._tables.get(name, {})
 
     def session(self, name: str) -> SparkSession:
         with self._lock:
@@ -44,33 +50,42 @@ class Databases:
 
     def _new_session(self, name: str) -> SparkSession:
         session = self._spark.newSession()
-        for table, path in self._tables[name].items():
+        for table, path in self._paths(name).items():
             session.read.parquet(path).createOrReplaceTempView(table)
         return session
 
 
-def register_databases(spark: SparkSession, root: str) -> Databases:
+class FolderDatabases(Databases):
     """Databases of a folder laid out as ``<db_id>/<table>.parquet``, each table a file or a folder of files.
 
-    Only names are listed: the file contents are pruned from the read, and one row per table returns.
+    The tables of a database are listed when it is opened, and no other database is looked at then.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.parquet")
-        .load(root)
-    )
-    pattern = r"^(.*/([^/]+)/([^/]+)\.parquet)(?:/[^/]+)?$"
-    rows = (
-        files.select(F.regexp_extract("path", r"^(.*?/[^/]+/[^/]+?\.parquet)(?:/.*)?$", 1).alias("path"))
-        .distinct()
-        .select(
-            F.col("path"),
-            F.regexp_extract("path", pattern, 2).alias("db"),
-            F.regexp_extract("path", pattern, 3).alias("table"),
+
+    def __init__(self, spark: SparkSession, root: str, keep_open: int = 64):
+        super().__init__(spark, {}, keep_open)
+        self._root = root.rstrip("/")
+
+    def _paths(self, name: str) -> Mapping[str, str]:
+        jvm = self._spark._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self._root}/{name}")
+        files = folder.getFileSystem(self._spark._jsc.hadoopConfiguration())
+        if not name or not files.exists(folder):
+            return {}
+        found = [f.getPath() for f in files.listStatus(folder)]
+        return {p.getName().removesuffix(SUFFIX): p.toString() for p in found if p.getName().endswith(SUFFIX)}
+
+    def names_table(self) -> DataFrame:
+        """Spark lists the files as it does for any table; their contents are pruned, and the names stay a table."""
+        files = (
+            self._spark.read.format("binaryFile")
+            .option("recursiveFileLookup", True)
+            .option("pathGlobFilter", f"*{SUFFIX}")
+            .load(self._root)
         )
-    )
-    tables: dict[str, dict[str, str]] = {}
-    for row in rows.collect():
-        tables.setdefault(row["db"], {})[row["table"]] = row["path"]
-    return Databases(spark, tables)
+        name = F.regexp_extract("path", rf"^.*?/([^/]+)/[^/]+?{re.escape(SUFFIX)}(?:/.*)?$", 1)
+        return files.select(name.alias("database")).distinct()
+
+
+def register_databases(spark: SparkSession, root: str) -> FolderDatabases:
+    """The databases of a folder; nothing is read or listed yet."""
+    return FolderDatabases(spark, root)

@@ -1,11 +1,14 @@
 """Accuracy, running totals, intervals and paired tests."""
 
+import hashlib
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sqlgauge.functions import binomial
 from sqlgauge.operators import accuracy, running, sampling, scoring, significance
 from sqlgauge.settings import BootstrapSettings
 
@@ -89,7 +92,32 @@ def test_split_is_independent_of_partitioning(spark):
     one = sampling.split_examples(df.repartition(1)).filter("split = 'validation'")
     many = sampling.split_examples(df.repartition(13)).filter("split = 'validation'")
     a, b = ({r.idx for r in d.collect()} for d in (one, many))
-    assert a == b and 400 < len(a) < 600
+    assert a == b and len(a) == 500
+    assert a == set(sorted(range(5000), key=lambda i: hashlib.md5(f"42|{i}".encode()).hexdigest())[:500])
+
+
+@pytest.mark.parametrize(("n", "ratio"), [(0, 0.1), (1, 0.1), (7, 0.5), (999, 0.1), (999, 0.0), (50, 1.0), (70_001, 0.3)])
+def test_split_has_its_exact_size(spark, n, ratio):
+    cut = sampling.split_examples(spark.range(n).withColumnRenamed("id", "idx"), ratio)
+    found = {r.split: r["count"] for r in cut.groupBy("split").count().collect()}
+    held_out = math.ceil(ratio * n)
+    assert found == {s: c for s, c in (("validation", held_out), ("train", n - held_out)) if c}
+
+
+def test_split_of_rows_that_share_a_position(spark):
+    rows = [(None, "a")] * 40 + [(1, "b")] * 40 + [(2, str(i)) for i in range(20)]
+    df = spark.createDataFrame([(*r, "train") for r in rows] + [(3, "other", "test")] * 5, "idx long, text string, split string")
+    for ratio in (0.01, 0.25, 0.5, 0.77, 0.99):
+        cut = sampling.split_examples(df, ratio)
+        found = {r.split: r["count"] for r in cut.groupBy("split").count().collect()}
+        assert found == {"validation": math.ceil(ratio * 100), "train": 100 - math.ceil(ratio * 100), "test": 5}
+        assert sorted(map(str, cut.drop("split").collect())) == sorted(map(str, df.drop("split").collect()))
+
+
+def test_a_place_is_found_in_few_passes(spark):
+    place = F.lpad(F.lower(F.conv(F.col("id").cast("string"), 10, 16)), sampling.PLACE_DIGITS, "0")
+    known, rows, wanted = sampling._last_place(spark.range(300_000), place, 123_456)
+    assert (known, rows, wanted) == (f"{123_455:048x}", 1, 1)
 
 
 def exact_quantile(n, p, u):
@@ -112,6 +140,30 @@ def test_bootstrap_near_exact_quantiles(spark, n, k):
         assert abs(found[name] * n - exact_quantile(n, k / n, u)) <= slack
 
 
+def exact_quantiles(n, k, us):
+    """By the weights of all points that matter, in extended precision."""
+    reach = int(12 * math.sqrt(k * (n - k) / n) + 12)
+    j = np.arange(max(0, k - reach), min(n, k + reach) + 1).astype(np.longdouble)
+    steps = np.log((n - j[1:] + 1) / j[1:] * k / (n - k))
+    logs = np.concatenate([[0], np.cumsum(steps)])
+    weights = np.exp(logs - logs.max())
+    cdf = np.cumsum(weights) / weights.sum()
+    return [float(j[np.searchsorted(cdf, u)]) for u in us]
+
+
+def test_quantiles_are_exact_for_any_number_of_trials(spark):
+    us = [1e-6, 0.025, 0.0251, 0.3, 0.5, 0.975, 0.999999]
+    cases = [(2, 1), (10, 3), (1034, 700), (5000, 4990), (40_000, 20_000), (10**7, 9 * 10**6), (10**9, 7 * 10**8), (10**9, 3)]
+    df = spark.createDataFrame([(n, k, us) for n, k in cases], "n long, k long, us array<double>")
+    found = df.select("n", "k", F.transform("us", lambda u: binomial.quantile(u, F.col("n"), F.col("k"))).alias("q")).collect()
+    assert {(r.n, r.k): r.q for r in found} == {(n, k): exact_quantiles(n, k, us) for n, k in cases}
+
+
+def test_intervals_need_no_window(spark):
+    plan = significance.bootstrap_ci(scored(spark, [1, 0, 1]))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Generate posexplode" not in plan
+
+
 def test_bootstrap_of_constant_scores(spark):
     both = scored(spark, [1] * 7, "all").unionAll(scored(spark, [0] * 5, "none"))
     found = {r.model_name: tuple(r)[1:] for r in significance.bootstrap_ci(both).collect()}

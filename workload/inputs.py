@@ -29,6 +29,12 @@ TEMPLATES = (
     "SELECT p_name FROM part\nWHERE p_size = 7\nORDER BY p_name",
 )
 
+# the given tables
+GIVEN_TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
+    "benchmark", "labels", "conversations",
+)
+
 MODELS = (("base", 0, 2), ("round1", 1, 3), ("round2", 2, 5))
 
 # tables of the schema catalog: name, columns as (name, type, is primary key)

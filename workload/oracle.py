@@ -15,6 +15,7 @@ from sqlgauge.settings import SYSTEM_PROMPT
 from workload.inputs import (
     CATALOG_KEYS,
     CATALOG_TABLES,
+    GIVEN_TABLES,
     MODELS,
     SHORT_TYPES,
     TEMPLATES,
@@ -580,8 +581,9 @@ ORACLES: dict[str, str] = {
     "load_examples": f"""WITH {TRAIN} SELECT split, db_id, question, query,
  CAST(len(string_split(query, ' ')) AS INTEGER) AS n_query_toks,
  CAST(len(string_split(question, ' ')) AS INTEGER) AS n_question_toks FROM train""",
-    "split_examples": f"""WITH {TRAIN} SELECT idx, CASE WHEN {uniform('42', 'idx')} < 0.1 THEN 'validation' ELSE 'train' END AS split
-FROM train""",
+    "split_examples": f"""WITH {TRAIN}, placed AS (
+ SELECT idx, row_number() OVER (ORDER BY md5('42|' || CAST(idx AS VARCHAR))) AS place, count(*) OVER () AS n FROM train
+) SELECT idx, CASE WHEN place <= ceil(0.1 * n) THEN 'validation' ELSE 'train' END AS split FROM placed""",
     "load_examples_positions": f"""WITH {TRAIN},
 third AS (SELECT CASE WHEN idx % 7 = 0 THEN 'test' ELSE split END AS split FROM train)
 SELECT split, count(*) AS n_rows, count(*) AS n_positions, CAST(0 AS BIGINT) AS first_idx FROM third GROUP BY split""",
@@ -595,8 +597,8 @@ SELECT split, idx, db_id FROM ranked WHERE place <= CASE WHEN split = 'train' TH
 FROM (SELECT DISTINCT l_orderkey, l_orderkey * 10 + l_linenumber AS place FROM lineitem) AS d""",
     "result_digests_differ": """SELECT count(*) AS n_rows, false AS same, true AS repeated
 FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) AS d""",
-    "score_execution_errors": """WITH p AS (SELECT p_partkey AS idx, p_partkey % 400 AS k FROM part)
-SELECT idx, idx % 5 = 2 AND k > 0 OR idx % 5 = 2 AND k = 0 AND false AS match, true AS gold_success,
+    "score_execution_errors": """WITH p AS (SELECT p_partkey AS idx FROM part)
+SELECT idx, idx % 5 = 2 AND idx > 0 AS match, true AS gold_success,
  idx % 5 = 2 OR idx % 5 = 3 AND idx % 2 = 0 AS pred_success, '-' AS gold_error,
  CASE WHEN idx % 5 = 0 THEN 'UNRESOLVED_COLUMN.WITH_SUGGESTION' WHEN idx % 5 = 1 THEN 'DIVIDE_BY_ZERO' WHEN idx % 5 = 2 THEN '-'
   WHEN idx % 5 = 3 THEN CASE WHEN idx % 2 = 0 THEN '-' ELSE 'UNRESOLVED_COLUMN.WITH_SUGGESTION' END ELSE 'Empty SQL query' END AS pred_error
@@ -615,9 +617,10 @@ FROM placed JOIN spots USING (col_idx, col_name) GROUP BY db_id""",
     "catalog_long": f"""WITH {CATALOG} SELECT r.db_id, r.table_idx, r.table_name, r.col_idx, r.col_name, r.col_type, r.is_pk,
  coalesce(string_agg(CAST(fk_pos AS VARCHAR) || ':' || ref_table || ':' || ref_column, '|' ORDER BY fk_pos), '') AS fks
 FROM catalog_rows r LEFT JOIN catalog_fks f ON f.db_id = r.db_id AND f.col_idx = r.col_idx GROUP BY ALL""",
-    "register_databases": """SELECT 'shop' AS db_id, 'orders' AS table_name, count(*) AS n_rows FROM orders
-UNION ALL SELECT 'shop', 'customer', count(*) FROM customer UNION ALL SELECT 'log', 'events', count(*) FROM events
-UNION ALL SELECT 'log', 'orders', 2 * count(*) FROM orders""",
+    "register_databases": " UNION ALL ".join(
+        f"SELECT '{db}' AS db_id, '{name}' AS table_name, count(*) AS n_rows FROM {source}"
+        for db, name, source in [("given", t, t) for t in GIVEN_TABLES] + [("other", "orders", "nation")]
+    ),
     "extract_sql": f"WITH {CLEANED} SELECT model_name, idx, pred_sql FROM cleaned",
     "extract_sql_chat": f"""WITH chat AS (SELECT conv_id, turn, text AS raw_output FROM conversations WHERE role = 'assistant'),
 {extracted('chat', 'conv_id, turn')} SELECT conv_id, turn, pred_sql FROM cleaned""",
