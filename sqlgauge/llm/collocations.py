@@ -28,12 +28,15 @@ TOP = 2000
 SCALE = 1_000_000
 
 #: Bytes of text in a shard, phrases in a run, phrases of all shards in a range, and parts asked for in a task.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 12 << 20
 RUN = 1 << 15
-RANGE = 1 << 22
+RANGE = 1 << 20
 ASKED = 1 << 20
-#: Most limits between ranges and most bytes of one: what the driver and each task hold.
-RANGES = 1 << 14
+#: What a task holds beside one range and the parts to be added to it, in arcs, before it unites them.
+FRESH = 1 << 18
+#: Most limits between ranges and most bytes of one: what the driver and each task hold. Beyond RANGES * RANGE phrases of all
+#: shards (10^11) ranges grow, and a task holds as many different phrases as its range has.
+RANGES = 1 << 17
 LIMIT_BYTES = 128
 
 _KINDS = np.zeros(256, np.uint8)  # 0 word, 1 between words, 2 between pieces
@@ -52,19 +55,23 @@ def counted(texts: list[bytes]) -> Shard:
     data = np.frombuffer(b"\n".join(texts).lower(), np.uint8)
     kinds = _KINDS[data]
     inside = kinds == 0
-    starts = np.flatnonzero(inside & ~np.append(False, inside[:-1]))
-    ends = np.flatnonzero(inside & ~np.append(inside[1:], False)) + 1
-    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    edges = np.concatenate([[0] if len(inside) and inside[0] else [], edges, [len(inside)] if len(inside) and inside[-1] else []]).astype(np.int64)
+    starts = edges[::2]
+    offsets = np.concatenate([[0], np.cumsum(edges[1::2] - starts)]).astype(np.int64)
     held = pa.py_buffer(data[inside].tobytes())
-    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), held]).dictionary_encode()
+    piece = np.searchsorted(np.flatnonzero(kinds == 2), starts).astype(np.int32)
+    n_words = len(starts)
+    del data, kinds, inside, edges, starts
+    coded = pa.Array.from_buffers(pa.large_binary(), n_words, [None, pa.py_buffer(offsets), held]).dictionary_encode()
     words, places = transducers.sorted_words(coded.dictionary)
-    codes = places[coded.indices.to_numpy(zero_copy_only=False)]
-    piece = np.searchsorted(np.flatnonzero(kinds == 2), starts)
+    codes = places.astype(np.int32)[coded.indices.to_numpy(zero_copy_only=False)]
+    del coded, held, offsets
     phrases = []
     for k in range(1, LONGEST + 1):
-        whole = np.flatnonzero(piece[: len(piece) - k + 1] == piece[k - 1 :]) if len(piece) >= k else np.zeros(0, np.int64)
-        phrases.append(transducers.summed(np.column_stack([codes[whole + i] for i in range(k)]), None, len(words)))
-    return Shard(len(starts), words, phrases)
+        whole = np.flatnonzero(piece[: n_words - k + 1] == piece[k - 1 :]).astype(np.int32) if n_words >= k else np.zeros(0, np.int32)
+        phrases.append(transducers.occurring(codes, whole, k, len(words)))
+    return Shard(n_words, words, phrases)
 
 
 def pieces_of(text: bytes, at_most: int) -> Iterator[bytes]:
@@ -219,7 +226,7 @@ def united(made: DataFrame, limits: list[bytes], least: int = LEAST) -> DataFram
                 at = number, lang
                 held.append(transducers.unpacked(body.as_py()))
                 fresh += held[-1].size
-                if len(held) > 1 and fresh > max(held[0].size, 1 << 20):  # what is new has outgrown what was united
+                if len(held) > 1 and fresh > max(held[0].size, FRESH):  # what is new has outgrown what was united
                     held = [transducers.build(*transducers.union(held))]
                     fresh = 0
         if at is not None:

@@ -50,6 +50,26 @@ def summed(codes: np.ndarray, counts: np.ndarray | None, n_words: int) -> Phrase
     return Phrases(codes[order[firsts]], sums.astype(np.int64))
 
 
+def occurring(codes: np.ndarray, starts: np.ndarray, length: int, n_words: int) -> Phrases:
+    """The phrases of so many words at the given places of a text, sorted and counted."""
+    if n_words**length >= 1 << 62:  # a key would pass 64 bits
+        return summed(np.column_stack([codes[starts + i] for i in range(length)]), None, n_words)
+    key = codes[starts].astype(np.int64)
+    for i in range(1, length):
+        key *= n_words
+        key += codes[starts + i]
+    key.sort()
+    firsts = np.flatnonzero(key[1:] != key[:-1]) + 1
+    firsts = np.concatenate([[0], firsts]).astype(np.int64) if len(key) else firsts
+    counts = np.diff(np.append(firsts, len(key))).astype(np.int64)
+    key = key[firsts]
+    columns = []
+    for _ in range(length):
+        columns.append(key % max(n_words, 1))
+        key = key // max(n_words, 1)
+    return Phrases(np.column_stack(columns[::-1]), counts)
+
+
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
 
@@ -69,9 +89,10 @@ class Transducer(NamedTuple):
 
     def packed(self) -> bytes:
         out = io.BytesIO()
-        lengths = pc.binary_length(self.words).to_numpy(zero_copy_only=False).astype("<i8")
+        lengths = pc.binary_length(self.words).to_numpy(zero_copy_only=False)
         for values in (lengths, self.labels, self.weights, self.targets, self.firsts):
-            np.save(out, values, allow_pickle=False)
+            small = np.int32 if max(len(values) and values.max(), 0) < 1 << 31 else np.int64
+            np.save(out, values.astype(small), allow_pickle=False)
         out.write(b"".join(self.words.to_pylist()))
         raw = out.getvalue()
         return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
@@ -116,23 +137,37 @@ class Transducer(NamedTuple):
 
 
 def _registered(labels: np.ndarray, weights: np.ndarray, targets: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first state equal to each complete state, as a number among the different ones, and those that differ."""
+    """For each complete state its number among the different ones, and of those the first state that is equal."""
     sizes = np.diff(firsts)
     states = np.zeros(len(sizes), np.int64)
-    rows = np.column_stack([labels, weights, targets]).astype(np.int64)
+    single = np.flatnonzero(sizes == 1)
+    arcs = firsts[single]
+    order = np.lexsort((targets[arcs], weights[arcs], labels[arcs]))
+    arcs = arcs[order]
+    fresh = np.ones(len(arcs), bool)
+    for values in (labels, weights, targets):
+        fresh[1:] &= values[arcs[1:]] == values[arcs[:-1]]
+    fresh[1:] = ~fresh[1:]
+    states[single[order]] = np.cumsum(fresh) - 1
+    kept = single[order][fresh].tolist()
     register: dict[bytes, int] = {}
-    kept = []
-    bounds = firsts.tolist()
-    data = rows.tobytes()
-    for k in range(len(sizes)):
-        content = data[24 * bounds[k] : 24 * bounds[k + 1]]
-        number = register.setdefault(content, len(kept))
+    data = np.column_stack([labels, weights, targets]).astype(np.int64).tobytes()
+    several = np.flatnonzero(sizes > 1)
+    for k, a, b in zip(several.tolist(), firsts[several].tolist(), firsts[several + 1].tolist()):
+        number = register.setdefault(data[24 * a : 24 * b], len(kept))
         if number == len(kept):
             kept.append(k)
         states[k] = number
     return states, np.array(kept, np.int64)
 
 
+def _both(some: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """All of two sorted lists without repeats, sorted."""
+    at = np.minimum(np.searchsorted(some, others), max(len(some) - 1, 0))
+    missing = others[some[at] != others] if len(some) else others
+    return np.sort(np.concatenate([some, missing])) if len(missing) else some
+
+
 def build(words: pa.Array, phrases: Sequence[Phrases]) -> Transducer:
     """The smallest automaton of this kind for sorted phrases of one, two and three words over sorted words."""
     n = len(words)
@@ -146,7 +181,7 @@ def build(words: pa.Array, phrases: Sequence[Phrases]) -> Transducer:
             counts, to = own.counts, np.full(len(own.counts), -1, np.int64)
         else:
             whole = pairs[0] if length == 2 else own.codes[:, 0]
-            every = np.union1d(whole, below_keys)  # with prefixes that are no phrases themselves
+            every = _both(whole, below_keys)  # with prefixes that are no phrases themselves
             counts, to = np.zeros(len(every), np.int64), np.full(len(every), -1, np.int64)
             counts[np.searchsorted(every, whole)] = own.counts
             to[np.searchsorted(every, below_keys)] = below_states
@@ -176,7 +211,7 @@ def build(words: pa.Array, phrases: Sequence[Phrases]) -> Transducer:
 def unpacked(data: bytes) -> Transducer:
     raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd")
     source = io.BytesIO(raw.to_pybytes())
-    lengths, labels, weights, targets, firsts = (np.load(source, allow_pickle=False) for _ in range(5))
+    lengths, labels, weights, targets, firsts = (np.load(source, allow_pickle=False).astype(np.int64) for _ in range(5))
     ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
     rest = source.read()
     words = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(rest)])
