@@ -38,8 +38,10 @@ def write_flat(docs: DataFrame, folder: str, path: str | None = None, end_id: in
 
         def parts() -> Iterator[bytes]:
             for batch in batches:
-                for doc_id, tokens in zip(batch.column(0).to_pylist(), encoder(path).encode(batch.column(1))):
+                for doc_id, tokens in zip(batch.column(0).to_pylist(), encoder(path, True).encode(batch.column(1))):
                     ids.append(doc_id)
+                    if len(tokens) and int(tokens.max()) > np.iinfo(kind).max:
+                        raise ValueError(f"token {tokens.max()} doesn't fit {width} bytes")
                     yield tokens.astype(kind).tobytes() + end
 
         if work.put_file(f"{folder}/{file}", parts()):

@@ -36,13 +36,15 @@ def default_path() -> str:
 
 
 class Encoder:
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special_as_text: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
         made = json.loads(self.tokenizer.to_str())
+        #: Strings that stand for one id wherever they occur; texts that hold one aren't cut.
+        self.added = [t["content"] for t in made["added_tokens"] if not (special_as_text and t["special"])]
         cut = made["pre_tokenizer"] or {}
         bytes_only = cut.get("type") == "ByteLevel" and cut["use_regex"] and not cut["add_prefix_space"]
         self.line = self.whole("\n")
@@ -113,6 +115,8 @@ class Encoder:
             end = max(start + 1, int(np.searchsorted(ends, until, side="right")))
             part = texts[start:end]
             whole = pc.match_substring_regex(part, _WHOLE).to_numpy(zero_copy_only=False) | (not self.cuts)
+            for string in self.added:
+                whole = whole | pc.match_substring(part, string).to_numpy(zero_copy_only=False)
             ids, counts = self._cut(part.filter(pa.array(~whole)))
             until, seen = np.cumsum(counts), 0
             for k in range(len(part)):
@@ -132,6 +136,6 @@ def _gathered(table: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nd
 
 
 @lru_cache(2)
-def encoder(path: str) -> Encoder:
-    """One for each worker process and file."""
-    return Encoder(path)
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
+    """One for each worker process, file and way to read the strings of special tokens: as their ids, or as ordinary text."""
+    return Encoder(path, special_as_text)

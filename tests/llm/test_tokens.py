@@ -16,6 +16,13 @@ from tests.llm.conftest import ODD
 
 @pytest.fixture(scope="module")
 def plain():
+    tokenizer = Tokenizer.from_file(tokens.default_path())
+    return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
+@pytest.fixture(scope="module")
+def plain_as_text():
+    """Strings of special tokens as ordinary text, as in flat files, where an id of one would end a document."""
     tokenizer = Tokenizer.from_file(tokens.default_path())
     tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
@@ -25,16 +32,19 @@ PARTS = [" ", "  ", "\n", "\t", "\r\n", "a", "The", "é", "ß", "ő", "'s", "don
 PARTS += ["x" * 70, "<|endoftext|>", "\x1c", "\x00", "\u0301", "-", "_", "…"]
 
 
-def test_cut_texts_have_the_ids_of_whole_texts(plain, monkeypatch):
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_cut_texts_have_the_ids_of_whole_texts(plain, plain_as_text, monkeypatch, special_as_text):
     random.seed(1)
     texts = ["".join(random.choices(PARTS, k=random.randint(0, 25))) for _ in range(3000)]
     texts += [None, "", " ", "  ", " a", "a ", "a  ", "\n\n b"]
-    encoder = tokens.Encoder(tokens.default_path())
+    texts += ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext", "x<|endoftext|><|endoftext|>"]
+    assert plain("a <|endoftext|> b") == [64, 220, 50256, 275]
+    encoder = tokens.Encoder(tokens.default_path(), special_as_text)
     assert encoder.cuts
     for remembered in (1_000_000, 50):
         monkeypatch.setattr(tokens, "REMEMBERED", remembered)
         found = [x.tolist() for k in range(0, len(texts), 500) for x in encoder.encode(pa.array(texts[k : k + 500]))]
-        assert found == [plain(t) for t in texts]
+        assert found == [(plain_as_text if special_as_text else plain)(t) for t in texts]
 
 
 def places(sizes, ways):
@@ -75,6 +85,11 @@ def check_packing(rows, given, plain, end):
     for doc_id, text in given:
         ids = np.array([*plain(text), end], "<u4")
         wanted.append((doc_id, zlib.crc32(ids.tobytes()), len(ids)))
+    pieces = sorted(((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows if r.doc_id is not None), key=str)
+    by_doc = {doc_id: np.array([*plain(text), end], "<u4") for doc_id, text in given if doc_id is not None}
+    for doc_id, start, length, crc, size in pieces:
+        ids = by_doc[doc_id]
+        assert size == len(ids) and crc == zlib.crc32(ids[start : start + length].tobytes())
     return of, wanted
 
 
@@ -153,11 +168,16 @@ def test_shards_hold_all_rows_in_order(docs, plain, shard_bytes):
 
 
 @pytest.mark.parametrize("block_bytes", [2, 64, 1 << 22])
-def test_counts_across_blocks(docs, plain, block_bytes):
+def test_counts_across_blocks(docs, plain_as_text, block_bytes):
     given = [(i, t) for i, t in ODD if i not in (6, 7)]
     found = separators.counted(docs(given), block_bytes=block_bytes).collect()
     key = lambda x: (x[0] is None, x[0] or 0, x[1])
-    assert sorted(((r.doc_id, r.n_tokens) for r in found), key=key) == sorted(((i, len(plain(t))) for i, t in given), key=key)
+    assert sorted(((r.doc_id, r.n_tokens) for r in found), key=key) == sorted(((i, len(plain_as_text(t))) for i, t in given), key=key)
+
+
+def test_ids_that_do_not_fit_are_refused(docs, tmp_path):
+    with pytest.raises(Exception, match="fit 1 bytes"):
+        separators.write_flat(docs([(1, "hello there")]), str(tmp_path), end_id=200, width=1)
 
 
 def test_scan_of_given_files(spark, tmp_path):
@@ -178,6 +198,6 @@ def test_scan_of_given_files(spark, tmp_path):
         ]
 
 
-def test_counts_of_a_table(table, plain):
+def test_counts_of_a_table(table, plain_as_text):
     found = {r.doc_id: r.n_tokens for r in separators.counted(table("documents"), block_bytes=1 << 12).collect()}
-    assert found == {r.doc_id: len(plain(r.text)) for r in table("documents").collect()}
+    assert found == {r.doc_id: len(plain_as_text(r.text)) for r in table("documents").collect()}
