@@ -51,15 +51,20 @@ class Windows(NamedTuple):
     bounds: np.ndarray
     items: np.ndarray
 
-    def items_of(self, windows: np.ndarray) -> list[int]:
+    def items_of(self, windows: np.ndarray) -> np.ndarray:
+        """Numbers of the items that have any of the windows."""
         parts = [self.items[self.bounds[k] : self.bounds[k + 1]] for k in np.unique(windows).tolist()]
-        return np.unique(np.concatenate(parts)).tolist()
+        return np.unique(np.concatenate(parts))
 
 
 class Index:
     """Windows of some benchmark items, as arrays: about 30 bytes a word beside the vocabulary."""
 
-    def __init__(self, items: list[tuple[int, bytes]], window: int = WINDOW) -> None:
+    def __init__(self, items: list[tuple[int | None, bytes]], window: int = WINDOW) -> None:
+        numbers: dict[int | None, int] = {}
+        numbered = [numbers.setdefault(item, len(numbers)) for item, _ in items]
+        #: Names of the items by number; an item without a name is only known by its words.
+        self.names = list(numbers)
         self.vocabulary: dict[bytes, int] = {}
         self.windows: dict[int, Windows] = {}
         known, parts, lengths = self.vocabulary, [], []
@@ -68,7 +73,7 @@ class Index:
             parts.append(np.array([*ids, 0], np.int32))
             lengths.append(len(ids))
         self.words = np.concatenate([np.zeros(0, np.int32), *parts])
-        sizes, names = np.array(lengths, np.int64), np.array([item for item, _ in items], np.int64)
+        sizes, names = np.array(lengths, np.int64), np.array(numbered, np.int64)
         starts = np.cumsum(sizes + 1) - sizes - 1
         for size in sorted({min(window, n) for n in lengths if n}):
             fits = sizes >= size if size == window else sizes == size
@@ -160,7 +165,8 @@ def findings_of(index: Index, texts: list[bytes | None], before: list[dict | Non
             cuts = np.flatnonzero(np.diff(owners)) + 1
             for first, some, k in zip(np.split(places, cuts), np.split(which, cuts), owners[[0, *cuts]].tolist()):
                 spans[k].extend((i, i + size) for i in (first - starts[k]).tolist())
-                items[k].update(index.windows[size].items_of(some))
+                found = (index.names[n] for n in index.windows[size].items_of(some).tolist())
+                items[k].update(name for name in found if name is not None)
         for k, old in enumerate(before[start:end]):
             old = old or {"items": [], "spans": []}
             ranges = _merged(spans.get(k, []) + [(s["first"], s["last"]) for s in old["spans"]])
@@ -176,10 +182,10 @@ def findings_of(index: Index, texts: list[bytes | None], before: list[dict | Non
     return out
 
 
-def blocks_of(benchmark: DataFrame, max_bytes: int = INDEX_BYTES) -> Iterator[list[tuple[int, bytes]]]:
-    """The items with a text in blocks of about ``max_bytes``; rows without item_id have no name and are left out."""
+def blocks_of(benchmark: DataFrame, max_bytes: int = INDEX_BYTES) -> Iterator[list[tuple[int | None, bytes]]]:
+    """The items with a text in blocks of about ``max_bytes``. Rows without item_id have no name, but their words count."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text"))
-    items = items.where("item_id is not null and text is not null").distinct()
+    items = items.where("text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // max_bytes)
     items = work.written(items, "benchmark") if n > 1 else items
@@ -195,7 +201,8 @@ def annotated(docs: DataFrame, benchmark: DataFrame, name: str, window: int = WI
     ``max_bytes`` of text (about four times that in memory); beyond that each further block of it is one more scan of the texts,
     of which only rows with hits are written, and these are joined before the last block. Takes a stored table. A text that
     is null or has no words gets zeros and empty arrays, and so does every text if the benchmark is empty. Repeated rows are
-    judged alike. An item of fewer words than the window, but not none, is one window.
+    judged alike. An item of fewer words than the window, but not none, is one window. Words of an
+    item without item_id are hit like others; it isn't among the items.
     """
     out = docs.withColumn(name, F.lit(None).cast(FINDINGS))
     blocks = blocks_of(benchmark, max_bytes)
@@ -215,7 +222,7 @@ def annotated(docs: DataFrame, benchmark: DataFrame, name: str, window: int = WI
     return _searched(out, block, name, window)
 
 
-def _searched(rows: DataFrame, block: list[tuple[int, bytes]], name: str, window: int) -> DataFrame:
+def _searched(rows: DataFrame, block: list[tuple[int | None, bytes]], name: str, window: int) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(Index(block, window))
     return rows.mapInArrow(_pass(shared, name), rows.schema)
 
