@@ -27,9 +27,8 @@ RULES = (
 SUPPORT = 0.002
 LEAST = 10
 CONFIDENCE = 0.8
-#: Rows of the index that may be broadcast, each of at most as many tokens as a rule may have (TOKENS).
-INDEX_ROWS = 100_000
-TOKENS = 12
+#: Bytes of all tokens in an index that may be broadcast.
+INDEX_BYTES = 8 << 20
 SALTS = 32
 
 _LABEL = "label:blocked"
@@ -82,13 +81,13 @@ def labelled(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def mined(sets: DataFrame, support: float = SUPPORT, least: int = LEAST, confidence: float = CONFIDENCE) -> DataFrame:
-    """antecedent (at most TOKENS tokens), confidence and support of the rules that imply the blocked label."""
+    """antecedent, confidence and support of the rules that imply the blocked label."""
     n = sets.count()
     if not n:
         return sets.select(F.col("items").alias("antecedent"), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("support")).limit(0)
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, least / n)), minConfidence=confidence).fit(sets)
     implied = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == _LABEL))
-    return implied.where(F.size("antecedent") <= TOKENS).select("antecedent", "confidence", "support")
+    return implied.select("antecedent", "confidence", "support")
 
 
 def index(rules: DataFrame, sets: DataFrame) -> DataFrame:
@@ -100,14 +99,15 @@ def index(rules: DataFrame, sets: DataFrame) -> DataFrame:
     return rarest.select("token", "antecedent", "confidence")
 
 
-def matched(pages: DataFrame, listed: DataFrame, index_rows: int = INDEX_ROWS) -> DataFrame:
+def matched(pages: DataFrame, listed: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """row and the matching rule of highest confidence (antecedent sorted) of each page that any rule fits.
 
-    ``pages`` has row and items, ``listed`` is a stored index. An index of more than ``index_rows`` rows isn't broadcast:
+    ``pages`` has row and items, ``listed`` is a stored index. An index of more than ``index_bytes`` isn't broadcast:
     the join is then by token and salt, so a token that a third of all pages have is spread over SALTS partitions.
     """
     each = pages.select("row", "items", F.explode("items").alias("token"))
-    if listed.count() <= index_rows:
+    size = F.octet_length(F.array_join("antecedent", " ")) + F.lit(64)
+    if (listed.agg(F.sum(size)).first()[0] or 0) <= index_bytes:
         both = each.join(F.broadcast(listed), "token")
     else:
         salted = each.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
@@ -124,7 +124,7 @@ def judged(
     support: float = SUPPORT,
     least: int = LEAST,
     confidence: float = CONFIDENCE,
-    index_rows: int = INDEX_ROWS,
+    index_bytes: int = INDEX_BYTES,
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, mined_rule and confidence of each row of a stored table.
 
@@ -142,7 +142,7 @@ def judged(
     )
     sets = work.written(labelled(pages, labels), "token_sets")
     listed = work.written(index(mined(sets, support, least, confidence), sets), "url_index")
-    found = matched(rows, listed, index_rows)
+    found = matched(rows, listed, index_bytes)
     fixed = rule(F.col("host"), F.col("path"), rules)
     return rows.join(found, "row", "left").select(
         "page_id",

@@ -25,7 +25,7 @@ def slow_findings(text, items, window=13):
             for i in range(len(words) - size + 1):
                 if words[i : i + size] == w[k : k + size]:
                     hit |= set(range(i, i + size))
-                    found.add(item)
+                    found |= {item} - {None}
     return len(words), len(hit), sorted(found)
 
 
@@ -40,11 +40,18 @@ def test_findings_of_made_texts(spark, stored, docs):
         found = contamination.annotated(rows, stored(items, ITEMS), "f", max_bytes=max_bytes)
         assert found.columns == [*rows.columns, "f"]
         for r in found.collect():
-            want = slow_findings(r.text, [i for i in items if i[0] is not None and i[1]])
+            want = slow_findings(r.text, [i for i in items if i[1]])
             assert (r.f.n_words, r.f.n_hit, r.f["items"]) == want
             assert sum(s.last - s.first for s in r.f.spans) == r.f.n_hit
 
 
+def test_words_of_an_item_without_a_name_count(spark, stored, docs):
+    item = " ".join(f"q{i}" for i in range(15))
+    found = contamination.annotated(docs([(1, item), (2, "else")]), stored([(None, item)], ITEMS), "f").collect()
+    assert {r.doc_id: (r.f.n_hit, r.f["items"]) for r in found} == {1: (15, []), 2: (0, [])}
+    assert [r.doc_id for r in contamination.drop_contaminated(docs([(1, item), (2, "else")]), stored([(None, item)], ITEMS)).collect()] == [2]
+
+
 def test_windows_of_one_hash_are_told_apart(monkeypatch):
     random.seed(5)
     sentence = lambda n: " ".join(random.choices("abcd", k=n))
@@ -305,8 +312,21 @@ def test_fixed_rules(stored):
         assert (r.host, r.path, r.rule, r.verdict) == want
 
 
-@pytest.mark.parametrize("index_rows", [1000, 0])
-def test_mined_rules_against_counting(stored, index_rows):
+def test_a_rule_of_many_tokens_is_kept(stored):
+    """Thirty blocked pages alone hold all of thirteen names; each name less is as frequent among allowed pages."""
+    names = [f"n{k:02}" for k in range(12)]
+    urls = ["http://x?" + "&".join(names)] * 30
+    urls += ["http://x?" + "&".join(n for n in names if n != gone) for gone in names for _ in range(30)]
+    pages = stored([(i, u, "") for i, u in enumerate(urls)], PAGES)
+    labels = stored([(i, int(i >= 30), 0) for i in range(len(urls))], LABELS)
+    rules = url_rules.mined(url_rules.labelled(pages, labels), 0.05, 10, 0.8).collect()
+    assert [sorted(r.antecedent) for r in rules if len(r.antecedent) == 13] == [sorted(["host:x", *(f"query:{n}" for n in names)])]
+    found = url_rules.judged(pages, labels, support=0.05, least=10, confidence=0.8).collect()
+    assert {r.page_id for r in found if r.verdict == "block"} == set(range(30))
+
+
+@pytest.mark.parametrize("index_bytes", [url_rules.INDEX_BYTES, 0])
+def test_mined_rules_against_counting(stored, index_bytes):
     random.seed(10)
     pages, labels = [], []
     for i in range(900):
@@ -315,7 +335,7 @@ def test_mined_rules_against_counting(stored, index_rows):
         if i % 3:
             labels.append((i, int(not (place == "pills" and word == "cheap")), 0))
     table = stored([*pages, (5, pages[5][1], ""), (5000, None, "")], PAGES)
-    options = {"support": 0.01, "least": 5, "confidence": 0.8, "index_rows": index_rows}
+    options = {"support": 0.01, "least": 5, "confidence": 0.8, "index_bytes": index_bytes}
     found = url_rules.judged(table, stored(labels, LABELS), **options).collect()
     assert len(found) == 902
     urls = dict((i, u) for i, u, _ in pages)
