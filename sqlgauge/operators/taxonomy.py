@@ -1,7 +1,7 @@
 """Sorts wrong predictions into six error categories.
 
-Classification is one chain of projections over the wrong rows: no shuffle, except for the lookup of each
-database's column names when a catalog is given, which is broadcast while its measured size allows.
+Classification is one chain of projections over the wrong rows: no shuffle, except that with a catalog the different lists
+of names in conditions are looked up beforehand, and the few that hold unknown names are joined back by the list.
 """
 
 from __future__ import annotations
@@ -104,10 +104,7 @@ def _with_differences(parts: DataFrame, with_columns: bool) -> DataFrame:
     g_limit = F.contains(F.upper(F.coalesce("gold_sql", F.lit(""))), F.lit("LIMIT"))
     types = F.transform(_p("join_types"), lambda t: F.upper(t))
     gold_types = F.transform(_g("join_types"), lambda t: F.upper(t))
-    hallucinated = F.lit(None).cast("array<string>")
-    if with_columns:
-        refs = S.condition_column_refs(_p("where"), _p("having"), _p("group_by"))
-        hallucinated = _some(F.array_except(refs, F.col("_columns")))
+    hallucinated = F.col("_unknown") if with_columns else F.lit(None).cast("array<string>")
 
     analyzable = F.col("_syntax").isNull()
     differences = {
@@ -156,10 +153,26 @@ _CHECKS = {
 }
 
 
-def catalog_columns(columns: DataFrame) -> DataFrame:
-    """Lower-case column names per database of a long catalog: (db_id, _columns)."""
-    named = columns.filter(F.col("col_name") != "*")
-    return named.groupBy("db_id").agg(F.collect_set(F.lower("col_name")).alias("_columns"))
+def _refs(where: Column, having: Column, group_by: Column) -> Column:
+    """The names in the conditions of an analyzable prediction, or NULL without any."""
+    return F.when(F.col("_syntax").isNull(), _some(S.condition_column_refs(where, having, group_by)))
+
+
+def unknown_names(errors: DataFrame, columns: DataFrame) -> DataFrame:
+    """The names in conditions that a database doesn't have: (db_id, _refs, _unknown), for each list with such names.
+
+    ``errors`` are wrong rows, ``columns`` a long catalog. Only the distinct lists of names of each database are compared with
+    the catalog, name by name; databases without catalog rows are left out. No row carries a database's columns.
+    """
+    pred = F.col("pred_sql")
+    named = errors.select("db_id", syntax_error_type(pred).alias("_syntax"), pred)
+    lists = named.select("db_id", _refs(S.sql_where(pred), S.sql_having(pred), S.sql_group_by(pred)).alias("_refs"))
+    lists = lists.filter(F.col("_refs").isNotNull()).distinct()
+    names = columns.filter(F.col("col_name") != "*").select("db_id", F.lower("col_name").alias("_name")).distinct()
+    each = lists.join(names.select("db_id").distinct(), "db_id", "left_semi").select("db_id", "_refs", F.posexplode("_refs").alias("_at", "_name"))
+    missing = each.join(names, ["db_id", "_name"], "left_anti").groupBy("db_id", "_refs")
+    found = missing.agg(F.array_sort(F.collect_list(F.struct("_at", "_name"))).alias("_found"))
+    return found.select("db_id", "_refs", F.transform("_found", lambda x: x["_name"]).alias("_unknown"))
 
 
 def classify_errors(
@@ -174,13 +187,16 @@ def classify_errors(
     base = scored.columns
     wrong = ~F.col("is_correct")
     errors = scored if keep_correct else scored.filter(wrong)
-    if columns is not None:
-        errors = lookup_join(errors, catalog_columns(columns), "db_id", spread=F.col("idx"))
     # right rows pass through the same projections with both texts blanked, which makes them cheap
     texts = {c: F.when(wrong, F.coalesce(c, F.lit(""))) for c in ("pred_sql", "gold_sql")}
     errors = errors.select("*", *[F.col(c).alias(f"_kept_{c}") for c in texts]).withColumns(texts)
 
-    found = _with_differences(_with_parts(errors), columns is not None)
+    parts = _with_parts(errors)
+    if columns is not None:
+        parts = parts.withColumn("_refs", _refs(_p("where"), _p("having"), _p("group_by")))
+        unknown = unknown_names(scored.filter(wrong).withColumn("pred_sql", F.coalesce("pred_sql", F.lit(""))), columns)
+        parts = lookup_join(parts, unknown, ["db_id", "_refs"], spread=F.col("idx"))
+    found = _with_differences(parts, columns is not None)
     flags = {
         group: reduce(lambda a, b: a | b, [F.col(f"_{d}").isNotNull() for d in names])
         for group, names in _CHECKS.items()

@@ -69,6 +69,39 @@ def test_keeping_right_rows_changes_nothing_else(spark):
     assert [r.pred_sql for r in kept] == [c[0] for c in CASES] and all(r.categories is None for r in kept)
 
 
+def test_unknown_names_by_distinct_lists(spark):
+    texts = [
+        "SELECT a FROM t WHERE k = 1 AND Z = 2 AND a > 1",
+        "SELECT a FROM t WHERE k = 1 AND a > 1",
+        "SELECT a FROM t",
+        "no query at all where q = 1",
+        None,
+    ]
+    rows = [(i, db, "SELECT 1", texts[i % 5], i % 7 == 0, "m") for i in range(200) for db in ("one", "two", "none", None)]
+    df = spark.createDataFrame(rows, "idx long, db_id string, gold_sql string, pred_sql string, is_correct boolean, model_name string")
+    columns = spark.createDataFrame([("one", "a"), ("one", "Y"), ("two", "z"), ("two", "*"), ("gone", "a")], "db_id string, col_name string")
+    wrong = df.filter("NOT is_correct")
+    names = {(r.db_id, tuple(r._refs)): r._unknown for r in taxonomy.unknown_names(wrong.fillna("", ["pred_sql"]), columns).collect()}
+    assert names == {("one", ("a", "z")): ["z"], ("two", ("a", "z")): ["a"], ("two", ("a",)): ["a"]}
+    for keep_correct in (False, True):
+        found = taxonomy.classify_errors(df, columns, keep_correct)
+        assert found.columns == [*df.columns, "categories", "primary_category", "severity", "details"]
+        got = {(r.idx, r.db_id): r for r in found.collect()}
+        assert len(got) == (800 if keep_correct else wrong.count())
+        for (i, db), r in got.items():
+            refs = [("a", "z"), ("a",)][i % 5] if i % 5 < 2 else ()
+            linking = r.details and r.details.schema_linking
+            want = None if r.is_correct else names.get((db, refs))
+            assert (linking and linking.hallucinated_columns) == want
+
+
+def test_no_row_carries_the_columns_of_its_database(spark):
+    rows = spark.createDataFrame([(0, "one", "SELECT 1", "SELECT a FROM t WHERE b = 1", False)], "idx long, db_id string, gold_sql string, pred_sql string, is_correct boolean")
+    columns = spark.createDataFrame([("one", f"c{k}") for k in range(50)], "db_id string, col_name string")
+    plan = taxonomy.classify_errors(rows, columns)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and "col_name" not in plan
+
+
 def test_unknown_columns_need_a_catalog_of_the_database(spark):
     pair = [("SELECT a FROM t WHERE x = 1 AND b = 1 AND c = 2", "SELECT a FROM t WHERE x = 1 AND b = 1")]
     rows = frame(spark, pair, db="known").unionAll(frame(spark, pair, db="other"))

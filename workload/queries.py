@@ -650,7 +650,8 @@ def check_syntax(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def check_schema_linking(spark: SparkSession, folder: str) -> DataFrame:
     """T2 with a catalog."""
-    errors = taxonomy.classify_errors(_scored(spark, folder), written(_columns(spark, folder), "catalog"))
+    rows = _scored(spark, folder).select("model_name", "idx", "db_id", "gold_sql", "pred_sql", "is_correct")
+    errors = taxonomy.classify_errors(written(rows, "scored"), written(_columns(spark, folder), "catalog"))
     found = F.col("details.schema_linking")
     return errors.filter(found.isNotNull()).select(
         "model_name",
