@@ -598,7 +598,7 @@ FROM (SELECT DISTINCT l_orderkey, l_orderkey * 10 + l_linenumber AS place FROM l
     "result_digests_differ": """SELECT count(*) AS n_rows, false AS same, true AS repeated
 FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) AS d""",
     "score_execution_errors": """WITH p AS (SELECT p_partkey AS idx FROM part)
-SELECT idx, idx % 5 = 2 AND idx > 0 AS match, true AS gold_success,
+SELECT idx, idx % 5 = 2 AS match, true AS gold_success,
  idx % 5 = 2 OR idx % 5 = 3 AND idx % 2 = 0 AS pred_success, '-' AS gold_error,
  CASE WHEN idx % 5 = 0 THEN 'UNRESOLVED_COLUMN.WITH_SUGGESTION' WHEN idx % 5 = 1 THEN 'DIVIDE_BY_ZERO' WHEN idx % 5 = 2 THEN '-'
   WHEN idx % 5 = 3 THEN CASE WHEN idx % 2 = 0 THEN '-' ELSE 'UNRESOLVED_COLUMN.WITH_SUGGESTION' END ELSE 'Empty SQL query' END AS pred_error
