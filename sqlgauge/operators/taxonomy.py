@@ -154,8 +154,8 @@ _CHECKS = {
 
 
 def _refs(where: Column, having: Column, group_by: Column) -> Column:
-    """The names in the conditions of an analyzable prediction, or NULL without any."""
-    return F.when(F.col("_syntax").isNull(), _some(S.condition_column_refs(where, having, group_by)))
+    """The names in the conditions of an analyzable prediction."""
+    return F.when(F.col("_syntax").isNull(), S.condition_column_refs(where, having, group_by))
 
 
 def unknown_names(errors: DataFrame, columns: DataFrame) -> DataFrame:
@@ -166,8 +166,9 @@ def unknown_names(errors: DataFrame, columns: DataFrame) -> DataFrame:
     """
     pred = F.col("pred_sql")
     named = errors.select("db_id", syntax_error_type(pred).alias("_syntax"), pred)
-    lists = named.select("db_id", _refs(S.sql_where(pred), S.sql_having(pred), S.sql_group_by(pred)).alias("_refs"))
-    lists = lists.filter(F.col("_refs").isNotNull()).distinct()
+    clauses = named.select("db_id", "_syntax", S.sql_where(pred).alias("_where"), S.sql_having(pred).alias("_having"), S.sql_group_by(pred).alias("_group"))
+    lists = evaluated_once(clauses, _refs=_refs(F.col("_where"), F.col("_having"), F.col("_group"))).select("db_id", "_refs")
+    lists = lists.filter(F.size("_refs") > 0).distinct()
     names = columns.filter(F.col("col_name") != "*").select("db_id", F.lower("col_name").alias("_name")).distinct()
     each = lists.join(names.select("db_id").distinct(), "db_id", "left_semi").select("db_id", "_refs", F.posexplode("_refs").alias("_at", "_name"))
     missing = each.join(names, ["db_id", "_name"], "left_anti").groupBy("db_id", "_refs")
