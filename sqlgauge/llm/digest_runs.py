@@ -1,11 +1,12 @@
-"""Exact deduplication by merging sorted digest runs in rounds.
-
-Each row becomes a short record: digest, smallest row, number of rows. The records start in RUNS runs, dealt by row
-number. In every round, FAN_IN runs whose numbers differ in one digit exchange their records so that this digit of
-the run number becomes a digit of the digest; equal digests meeting in a run are merged and keep the smallest id.
-After the last round a run number is a function of the digest, so each digest is in one run, once, and no run holds
-more than its share of the digests. Spark merges the records of a task before it sends them, hence a text that fills
-a third of the table arrives as a few records.
+"""Exact deduplication by a tree of merges of sorted digest runs.
+
+Each row becomes a short record: digest, smallest row, number of rows. The leaves are written in the order of their
+digests and dealt to RUNS runs by row number, so copies of one text lie in all of them. The rounds form a binomial
+tree of base FAN_IN: in each, the runs whose numbers differ in one digit exchange their records so that this digit of
+the run number becomes a digit of the digest. A run is one key of the shuffle, hence in one partition; there its
+records are sorted by digest and neighbours with the same digest, length and second hash become one, with the
+smallest id. After the last round a run number is a function of the digest, so each digest is in one run, once. A
+text that fills a third of the table lies in RUNS / FAN_IN runs in the first round and as one record in each after it.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from pyspark.sql import functions as F
 from sqlgauge.llm import work
 
 FAN_IN = 16
-ROUNDS = 2
+ROUNDS = 3
 RUNS = FAN_IN**ROUNDS
+#: What makes two records equal: the digest, and what verifies it.
+SAME = ("digest", "n_bytes", "second")
 
 
 def normalised(text: Column) -> Column:
@@ -40,25 +43,39 @@ def _digit(level: int) -> Column:
     return F.pmod(F.shiftright(F.xxhash64("digest"), 8 * level), F.lit(FAN_IN)).cast("int")
 
 
-def merged(rows: DataFrame) -> DataFrame:
-    """One record per distinct text: digest, length, second hash, first (no_id, id, row) and number of rows."""
-    runs = rows.select(
+def leaves(rows: DataFrame) -> DataFrame:
+    """The records as runs of one row each record: run, what makes them equal, first (no_id, id, row), number of rows."""
+    return rows.select(
         F.pmod(F.xxhash64("row"), F.lit(RUNS)).cast("int").alias("run"),
-        "digest",
-        "n_bytes",
-        "second",
+        *SAME,
         work.smallest("doc_id", "row").alias("first"),
         F.lit(1).cast("long").alias("n"),
     )
+
+
+def merge_round(runs: DataFrame, level: int) -> DataFrame:
+    """Runs whose numbers differ in the digit of ``level`` exchange records; each sorts and merges what it gets.
+
+    Minimum of a struct makes Spark aggregate by sorting, and the partitioning by run serves it, so there is one
+    exchange, one sort by (run, digest) and a merge of neighbours.
+    """
+    place = FAN_IN**level
+    kept = F.col("run") - F.pmod(F.floor(F.col("run") / place), F.lit(FAN_IN)) * place
+    dealt = runs.withColumn("run", (kept + _digit(level) * place).cast("int")).repartition("run")
+    return dealt.groupBy("run", *SAME).agg(F.min("first").alias("first"), F.sum("n").alias("n"))
+
+
+def merge_tree(rows: DataFrame) -> list[DataFrame]:
+    """The runs at every level of the tree, leaves first."""
+    levels = [leaves(rows)]
     for level in range(ROUNDS):
-        place = FAN_IN**level
-        kept = F.col("run") - F.pmod(F.floor(F.col("run") / place), F.lit(FAN_IN)) * place
-        runs = (
-            runs.withColumn("run", (kept + _digit(level) * place).cast("int"))
-            .groupBy("run", "digest", "n_bytes", "second")
-            .agg(F.min("first").alias("first"), F.sum("n").alias("n"))
-        )
-    return runs.drop("run")
+        levels.append(merge_round(levels[-1], level))
+    return levels
+
+
+def merged(rows: DataFrame) -> DataFrame:
+    """One record per distinct text: digest, length, second hash, first (no_id, id, row) and number of rows."""
+    return merge_tree(rows)[-1].drop("run")
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
@@ -68,9 +85,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     equal to each other. Rows without doc_id come after all others; of rows that share the smallest doc_id the first
     stays. Other columns are not read. An empty table gives no rows.
     """
-    rows = work.written(records(docs), "digests")
-    same = ["digest", "n_bytes", "second"]
-    joined = rows.join(merged(rows), same)
+    rows = work.written(records(docs).sortWithinPartitions(*SAME), "digests")
+    joined = rows.join(merged(rows), list(SAME))
     return joined.select(
         "row",
         "doc_id",

@@ -48,6 +48,33 @@ def test_exact_groups_of_odd_rows(docs):
     assert {r.doc_id for r in found if r.kept} == {1, 3, 4, 6, 7, 8}
 
 
+def test_levels_of_the_merge_tree(docs):
+    given = [(i, "hot") for i in range(900)] + [(10_000 + i, f"text {i % 40}") for i in range(400)] + ODD[:6]
+    levels = [level.collect() for level in digest_runs.merge_tree(digest_runs.records(docs(given)))]
+    assert len(levels) == digest_runs.ROUNDS + 1 and len(levels[0]) == len(given)
+    for level, (before, after) in enumerate(zip(levels, levels[1:])):
+        place = digest_runs.FAN_IN**level
+        rest = lambda run: (run % place, run // (place * digest_runs.FAN_IN))  # noqa: E731, B023
+        members = defaultdict(list)
+        for r in before:
+            members[rest(r.run), r.digest].append(r)
+        # a round changes one digit, after which a digest of that family of runs is in one run, once
+        assert sorted(members) == sorted((rest(r.run), r.digest) for r in after)
+        for r in after:
+            met = members[rest(r.run), r.digest]
+            assert r.n == sum(m.n for m in met) and r.first == min(m.first for m in met)
+    texts = {hashlib.sha256(plain_text(t).encode()).hexdigest() for _, t in given}
+    assert sorted(r.digest.hex() for r in levels[-1]) == sorted(texts)
+
+
+def test_a_round_is_one_exchange_by_run_and_one_sort_by_digest(spark, docs):
+    rows = work.written(digest_runs.records(docs([(i, f"text {i % 7}") for i in range(50)])), "digests")
+    plan = digest_runs.merged(rows)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(run#\d+, \d+\)", plan)) == plan.count("Exchange") == digest_runs.ROUNDS
+    assert len(re.findall(r"Sort \[run#\d+ ASC NULLS FIRST, digest#\d+ ASC", plan)) == digest_runs.ROUNDS
+    assert "HashAggregate" not in plan and "Python" not in plan
+
+
 def test_exact_groups_without_ids_keep_one_row(docs):
     found = digest_runs.exact_groups(docs([(None, "a"), (None, "a"), (None, "b")])).collect()
     assert sorted((r.keep_id, r.group_size) for r in found) == [(None, 1), (None, 2), (None, 2)]
