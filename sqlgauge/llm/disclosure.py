@@ -1,25 +1,30 @@
 """Personal data and the terms that disclose it, by co-occurrence in the corpus.
 
-Patterns find e-mail and IP addresses, card and phone numbers. Each distinct value is a protected entity. A term discloses
-an entity as far as it tells of its presence: by pointwise mutual information over documents, as a share of
-the entity's own information. PMI(e; t) / IC(e) is 1 if t never occurs without e. Terms that share at least LEAST
-documents with an entity, wherever they stand in them, and whose share exceeds GENERALISE are generalised, from REMOVE
-on removed, wherever they occur.
-
-Counts cover all documents. Candidate terms are looked up in bounded broadcast blocks of BLOCK_TERMS, one pass for
-each block.
+Patterns find e-mail and IP addresses, card and phone numbers. What they name is protected at several levels: each
+distinct value, the owner and the domain of an address, the network of an IP address, the first six digits of a card and
+a phone number without its last four. A term discloses such an entity as far as it tells of its presence: by pointwise
+mutual information over documents, as a share of the entity's own information. PMI(e; t) / IC(e) is 1 if t never
+occurs without e. Terms that share at least LEAST documents with an entity, wherever they stand in them, and whose share
+exceeds GENERALISE are generalised, from REMOVE on removed, wherever they occur.
+
+Counts cover all documents, in two passes over the texts whatever the number of terms. Entities that stand in the
+same documents tell the same and are counted as one, and so are terms; so a page of thousands of addresses, copied, is
+one entity, and its pairs don't multiply. Where a document still has many entities, its terms are dealt to several
+tasks. The second pass lets words through by a bitmap of FILTER_BITS hashes of candidates, exact counts decide.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sqlgauge import session
 from sqlgauge.llm import work
 
 KINDS = ("email", "ip", "card", "phone")
@@ -27,9 +32,10 @@ TERM = "term"
 LEAST = 3
 GENERALISE = 0.95
 REMOVE = 0.999
-#: Terms in one broadcast block; a term of more than TERM_BYTES is held there as its digest.
-BLOCK_TERMS = 200_000
-TERM_BYTES = 64
+#: Bits of the filter of candidate terms, a power of two: 16 MB at most, whatever their number.
+FILTER_BITS = 1 << 27
+#: Entities of a document to one share of its terms.
+WIDE = 1024
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -88,9 +94,15 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[0], s[2]))
 
 
-def entity_of(text: str, kind: int) -> str:
-    """A value in one spelling: lower case, or digits alone."""
-    return f"{kind}:" + (text.lower() if kind < 2 else _digits(text))
+def entities_of(text: str, kind: int) -> list[str]:
+    """A value in one spelling (lower case, or digits alone) and the wider entities that it belongs to."""
+    value = text.lower() if kind < 2 else _digits(text)
+    if kind == 0:
+        owner, _, domain = value.partition("@")
+        wider = [f"owner:{owner}", f"domain:{domain}"]
+    else:
+        wider = [f"{KINDS[kind]} in:" + (value.rpartition(".")[0] if kind == 1 else value[:6] if kind == 2 else value[:-4])]
+    return [f"{KINDS[kind]}:{value}", *wider]
 
 
 def _term(word: str) -> str:
@@ -128,7 +140,7 @@ def _found(rows: DataFrame) -> DataFrame:
                 text = value.as_py()
                 some = base_spans(text)
                 spans.append([{"start": a, "end": b, "kind": k} for a, b, k in some])
-                entities.append(sorted({entity_of(text[a:b], k) for a, b, k in some}))
+                entities.append(sorted({e for a, b, k in some for e in entities_of(text[a:b], k)}))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(spans, pa.list_(span)), pa.array(entities, pa.list_(pa.string()))],
                 ["row", "doc_id", "spans", "entities"],
@@ -138,34 +150,55 @@ def _found(rows: DataFrame) -> DataFrame:
 
 
 def _terms(rows: DataFrame) -> DataFrame:
-    """row and each distinct term of its text."""
+    """row, slice and each distinct term of its text; a row's terms are dealt to its ``slices``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for row, text, slices in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 terms = sorted(terms_of(text.as_py()))
-                yield pa.RecordBatch.from_arrays([pa.array([row] * len(terms), pa.int64()), pa.array(terms, pa.string())], ["row", "term"])
+                dealt = [xxhash.xxh64_intdigest(t, 0) % slices for t in terms]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row] * len(terms), pa.int64()), pa.array(dealt, pa.int64()), pa.array(terms, pa.string())], ["row", "slice", "term"]
+                )
 
-    return rows.select("row", "text").mapInArrow(run, "row long, term string")
+    return rows.select("row", "text", "slices").mapInArrow(run, "row long, slice long, term string")
+
+
+def _sets(pairs: DataFrame, name: str, least: int) -> DataFrame:
+    """Each name that stands in at least so many rows: their number, and a digest of 128 bits of the set of them."""
+    counts = pairs.groupBy(name).agg(
+        F.count("*").alias(f"{name}_rows"), F.bit_xor(F.xxhash64("row")).alias("low"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("high")
+    )
+    return counts.where(F.col(f"{name}_rows") >= least)
+
+
+def _firsts(sets: DataFrame, name: str) -> DataFrame:
+    """The first of the names that stand in the same rows."""
+    return sets.groupBy(f"{name}_rows", "low", "high").agg(F.min(name).alias(name))
 
 
 def candidates(rows: DataFrame, found: DataFrame, n_rows: int, least: int = LEAST, share: float = GENERALISE) -> DataFrame:
     """entity, term, with_entity (rows that hold both), and entity_rows, of pairs that may exceed the share.
 
-    The rows of a term among those with an entity are a lower bound of all its rows. So the share of a term in all rows
-    of an entity is an upper bound, which leaves frequent words out before pairs are counted.
+    Of entities that stand in the same rows the first is given. The rows of a term among those with an entity are a
+    lower bound of all its rows. So the share of a term in all rows of an entity is an upper bound, which leaves
+    frequent words out before pairs are counted.
     """
     pairs = found.select("row", F.explode("entities").alias("entity"))
-    entities = pairs.groupBy("entity").agg(F.count("*").alias("entity_rows")).where(F.col("entity_rows") >= least)
-    pairs = work.written(pairs.join(entities, "entity"), "entities")
-    terms = work.written(_terms(rows.join(pairs.select("row").distinct(), "row", "left_semi")), "terms")
-    beside = terms.groupBy("term").agg(F.count("*").alias("term_rows")).where(F.col("term_rows") >= least)
+    entities = _firsts(_sets(pairs, "entity", least), "entity").select("entity", "entity_rows")
+    pairs = work.written(session.lookup_join(pairs, entities, "entity", F.col("row"), "inner"), "entities")
+    slices = pairs.groupBy("row").agg((1 + F.floor(F.count("*") / WIDE)).alias("slices"))
+    terms = work.written(_terms(rows.join(slices, "row")), "terms")
     most = pairs.agg(F.max("entity_rows")).first()[0] or 0
     bound = lambda rows: F.log2(F.lit(float(n_rows)) / F.col("term_rows")) >= share * F.log2(F.lit(float(n_rows)) / rows) - 1e-9
-    rare = work.written(beside.where(bound(F.lit(float(most or 1)))), "rare")
-    met = terms.join(rare, "term").join(pairs, "row").where(bound(F.col("entity_rows")))
-    both = met.groupBy("entity", "term", "entity_rows", "term_rows").agg(F.count("*").alias("with_entity"))
-    return both.where((F.col("with_entity") >= least) & (_share(n_rows) >= share)).drop("term_rows")
+    rare = work.written(_sets(terms, "term", least).where(bound(F.lit(float(most or 1)))), "rare")
+    firsts = work.written(_firsts(rare, "term"), "first_terms")
+    dealt = pairs.join(slices, "row").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+    met = session.lookup_join(terms, firsts, "term", F.col("row"), "inner", stored=True).join(dealt, ["row", "slice"])
+    counts = ["entity", "entity_rows", "term_rows", "low", "high"]
+    both = met.where(bound(F.col("entity_rows"))).groupBy(*counts).agg(F.count("*").alias("with_entity"))
+    likely = both.where((F.col("with_entity") >= least) & (_share(n_rows) >= share))
+    return likely.join(rare, ["term_rows", "low", "high"]).select("entity", "term", "with_entity", "entity_rows")
 
 
 def _share(n_rows: int) -> Column:
@@ -175,21 +208,30 @@ def _share(n_rows: int) -> Column:
     return F.when(information > 0, mutual / information).otherwise(0.0)
 
 
-def _key(term: bytes) -> bytes:
-    """At most TERM_BYTES + 1 bytes that stand for a term: itself, or NUL (in no term) and its digest of 64 bytes."""
-    return term if len(term) <= TERM_BYTES else b"\0" + hashlib.blake2b(term).digest()
+def _filter(terms: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each hash of a term: at most ``bits`` of them, in pieces of 4 KB."""
+    bit = F.col("term_hash").bitwiseAND(F.lit(bits - 1)) + 1
+    hashed = terms.select(F.xxhash64("term").alias("term_hash"))
+    pieces = hashed.groupBy(F.bitmap_bucket_number(bit).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bitmap"))
+    out = np.zeros((-(-bits // 32768), 4096), np.uint8)
+    for piece in pieces.toLocalIterator():
+        out[piece["piece"] - 1] = np.frombuffer(piece["bitmap"], np.uint8)
+    return out.reshape(-1)
 
 
-def _holding(rows: DataFrame, terms: list[str]) -> DataFrame:
-    """row and term of each row that holds any of the terms."""
-    shared = rows.sparkSession.sparkContext.broadcast(frozenset(_key(t.encode()) for t in terms))
+def _holding(rows: DataFrame, terms: DataFrame, bits: int) -> DataFrame:
+    """row and term of each row that holds any of the terms, and of other words that share a bit with one."""
+    shared = rows.sparkSession.sparkContext.broadcast(_filter(terms, bits).tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = shared.value
+        bitmap = shared.value
         for batch in batches:
             out = []
             for row, value in zip(batch.column(0).to_pylist(), batch.column(2)):
-                out.extend((row, t.decode()) for t in sorted(t for t in set(_words(value.as_py())) if _key(t) in wanted))
+                for term in sorted(set(_words(value.as_py()))):
+                    bit = xxhash.xxh64_intdigest(term, 42) & (bits - 1)
+                    if bitmap[bit >> 3] >> (bit & 7) & 1:
+                        out.append((row, term.decode()))
             yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int64()), pa.array([t for _, t in out], pa.string())], ["row", "term"])
 
     return rows.withColumn("text", F.col("text").cast("binary")).mapInArrow(run, "row long, term string")
@@ -204,23 +246,15 @@ def _words(text: bytes) -> Iterator[bytes]:
         start = end
 
 
-def disclosing(rows: DataFrame, found: DataFrame, least: int, share: float, block: int) -> tuple[DataFrame, DataFrame]:
-    """The disclosing terms (term, share), and the rows that hold them (row, term)."""
+def disclosing(rows: DataFrame, found: DataFrame, least: int, share: float, bits: int) -> tuple[DataFrame, DataFrame]:
+    """The disclosing terms (term, share), and the rows that hold them (row, term, share)."""
     n_rows = found.count()
     pairs = work.written(candidates(rows, found, n_rows, least, share), "candidates")
-    terms = work.written(pairs.select("term").distinct(), "terms")
-    blocks = -(-terms.count() // block)
-    holding = None
-    for k in range(blocks):
-        some = terms.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == k)
-        part = work.written(_holding(rows, [r["term"] for r in some.toLocalIterator()]), "holding")
-        holding = part if holding is None else holding.unionByName(part)
-    if holding is None:
-        holding = terms.select(F.lit(0).cast("long").alias("row"), "term")
+    holding = work.written(_holding(rows, pairs.select("term"), bits), "holding")
     every = holding.groupBy("term").agg(F.count("*").alias("term_rows"))
     shares = pairs.join(every, "term").groupBy("term").agg(F.max(_share(n_rows)).alias("share"))
     shares = work.written(shares.where(F.col("share") >= share), "shares")
-    return shares, holding.join(shares, "term")
+    return shares, session.lookup_join(holding, shares, "term", F.col("row"), "inner", stored=True)
 
 
 def _term_spans(rows: DataFrame, marked: DataFrame) -> DataFrame:
@@ -257,7 +291,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def personal_data(
-    docs: DataFrame, least: int = LEAST, share: float = GENERALISE, block: int = BLOCK_TERMS
+    docs: DataFrame, least: int = LEAST, share: float = GENERALISE, bits: int = FILTER_BITS
 ) -> DataFrame:
     """row, doc_id, spans and term_spans of each row of a stored table; spans are (start, end, kind) in code points.
 
@@ -266,7 +300,7 @@ def personal_data(
     """
     rows = _rows(docs)
     found = work.written(_found(rows), "personal")
-    _, marked = disclosing(rows, found, least, share, block)
+    _, marked = disclosing(rows, found, least, share, bits)
     terms = work.written(_term_spans(rows, marked), "term_spans")
     return found.drop("entities").join(terms, "row", "left").withColumn("term_spans", F.coalesce("term_spans", F.array().cast(_SPANS)))
 

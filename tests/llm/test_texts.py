@@ -1,14 +1,16 @@
 """Decontamination, personal data, toxicity, chat formatting and URL rules."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from sqlgauge.llm import chat, contamination, disclosure, queries, toxicity, url_rules
+from sqlgauge.llm import chat, contamination, disclosure, queries, toxicity, url_rules, work
 from tests.conftest import DATA
 from tests.llm.conftest import ODD
 
@@ -130,9 +132,9 @@ def disclosing_rows():
     return clean + told + alone
 
 
-@pytest.mark.parametrize("block", [1000, 1])
-def test_disclosing_terms(docs, block):
-    found = disclosure.personal_data(docs(disclosing_rows()), block=block)
+@pytest.mark.parametrize("bits", [disclosure.FILTER_BITS, 8])
+def test_disclosing_terms(docs, bits):
+    found = disclosure.personal_data(docs(disclosing_rows()), bits=bits)
     rows = {r.doc_id: r for r in found.collect()}
     assert len(rows) == len(disclosing_rows())
     text = dict(disclosing_rows())
@@ -149,6 +151,83 @@ def test_disclosing_terms(docs, block):
     assert clean[2002] == "" and clean[5] == text[5]
 
 
+def slow_terms(given, least, share=disclosure.GENERALISE):
+    """Shares of the disclosing terms by counting every pair of an entity and a term."""
+    entities, terms, words = defaultdict(set), defaultdict(set), defaultdict(set)
+    for i, (_, text) in enumerate(given):
+        text = text or ""
+        spans = slow_spans(text)
+        for k, a, b in ((k, a, b) for a, b, k in spans):
+            value = text[a:b].lower() if k < 2 else re.sub("[^0-9]", "", text[a:b])
+            wider = [value.split("@")[0] + "@", "@" + value.split("@")[-1]] if k == 0 else [value.rsplit(".", 1)[0] if k == 1 else value[: 6 if k == 2 else -4]]
+            for name in (value, *wider):
+                entities[k, name].add(i)
+        for m in re.finditer("[A-Za-z\u0080-\U0010ffff]{2,}", text):
+            term = re.sub("[A-Z]", lambda c: c[0].lower(), m[0])
+            words[term].add(i)
+            if all(b <= m.start() or a >= m.end() for a, b, _ in spans):
+                terms[term].add(i)
+    out = defaultdict(float)
+    for held in entities.values():
+        for term, beside in terms.items():
+            both, n = len(held & beside), len(given)
+            if len(held) >= least and both >= least and len(held) < n:
+                out[term] = max(out[term], math.log2(both * n / (len(held) * len(words[term]))) / math.log2(n / len(held)))
+    return {t: v for t, v in out.items() if v >= share}
+
+
+def slow_term_spans(text, shares):
+    spans = slow_spans(text)
+    found = [(m.start(), m.end(), shares.get(re.sub("[A-Z]", lambda c: c[0].lower(), m[0]))) for m in re.finditer("[A-Za-z\u0080-\U0010ffff]{2,}", text)]
+    return [(a, b, 5 if v >= disclosure.REMOVE else 4) for a, b, v in found if v and all(y <= a or x >= b for x, y, _ in spans)]
+
+
+def made_people():
+    random.seed(12)
+    words = [a + b for a in "ba de fi go lu ka".split() for b in "ra ne ti mo ku sel".split()]
+    line = lambda n: " ".join(random.choices(words, k=n))
+    rows = [(i, line(30)) for i in range(400)]
+    for k in range(60):
+        house = k % 6
+        mail = f"{random.choice('jo jim ann'.split())}{k % 9}@house{house}.example.org"
+        call = f"+1 (555) 0{house}0-{1000 + k % 4}"
+        parts = [line(8), mail, f"firm{'abcdef'[house]} {line(3)}", f"10.0.{house}.{k % 3}", call, "rare" + "abcdefghi"[k % 9] * 2]
+        random.shuffle(parts)
+        rows.append((1000 + k, " ".join(parts)))
+    page = " ".join(f"p{i}@dir.example.net word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}" for i in range(60))
+    return rows + [(2000 + k, page + (" extra last@dir.example.net" if k else "")) for k in range(4)] + [(3000, "Firma worden"), (3001, None), (3001, "FIRMB")]
+
+
+@pytest.mark.parametrize("wide", [disclosure.WIDE, 5])
+def test_term_spans_are_those_of_a_plain_count(docs, monkeypatch, wide):
+    monkeypatch.setattr(disclosure, "WIDE", wide)
+    given = made_people()
+    shares = slow_terms(given, 3)
+    assert {"firma", "firmb", "extra", "wordak"} <= set(shares)
+    assert 0 < sum(v < disclosure.REMOVE for v in shares.values())
+    found = disclosure.personal_data(docs(given)).collect()
+    told = sorted((r.doc_id, tuple((s.start, s.end, s.kind) for s in r.term_spans)) for r in found)
+    assert told == sorted((i, tuple(slow_term_spans(t or "", shares))) for i, t in given)
+
+
+def test_term_spans_of_a_table_are_those_of_a_plain_count(table):
+    rows = table("documents")
+    given = [(r.doc_id, r.text) for r in rows.collect()]
+    shares = slow_terms(given, 2, 0.8)
+    found = disclosure.personal_data(rows, least=2, share=0.8).collect()
+    told = {r.doc_id: [(s.start, s.end, s.kind) for s in r.term_spans] for r in found}
+    assert shares and told == {i: slow_term_spans(t or "", shares) for i, t in given}
+
+
+def test_equal_sets_of_rows_are_counted_once(docs):
+    page = " ".join(f"p{i}@dir{i}.example.net name{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(100))
+    given = [(i, f"plain text {i % 7}") for i in range(300)] + [(1000 + k, page) for k in range(5)]
+    rows = disclosure._rows(docs(given))
+    pairs = disclosure.candidates(rows, work.written(disclosure._found(rows), "personal"), len(given)).collect()
+    assert len({r.entity for r in pairs}) == 1 and len({r.term for r in pairs}) == len(pairs) == 100
+    assert {(r.with_entity, r.entity_rows) for r in pairs} == {(5, 5)}
+
+
 def test_terms_far_from_a_value_disclose_it(docs):
     far = " ".join(["common"] * 30)
     given = [(i, f"common text number{'abcdefghij'[i % 10]}") for i in range(200)]
