@@ -175,6 +175,12 @@ def test_counts_across_blocks(docs, plain_as_text, block_bytes):
     assert sorted(((r.doc_id, r.n_tokens) for r in found), key=key) == sorted(((i, len(plain_as_text(t))) for i, t in given), key=key)
 
 
+def test_counts_of_very_long_texts(docs, plain_as_text):
+    given = [(i, t) for i, t in ODD if i in (6, 7)] + [(9, "a short one")]
+    found = {r.doc_id: r.n_tokens for r in separators.counted(docs(given), block_bytes=1 << 16).collect()}
+    assert found == {i: len(plain_as_text(t)) for i, t in given}
+
+
 def test_ids_that_do_not_fit_are_refused(docs, tmp_path):
     with pytest.raises(Exception, match="fit 1 bytes"):
         separators.write_flat(docs([(1, "hello there")]), str(tmp_path), end_id=200, width=1)
