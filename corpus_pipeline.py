@@ -56,7 +56,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again by the next."""
+    """All stages over documents, each written as Parquet and read again by the next.
+
+    Null texts count as empty; empty and very long texts, repeated rows and rows without doc_id pass like any other. Further
+    columns are kept until packing, whatever their names. An empty table gives no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = work.written(stage(spark, docs, sf_dir), name)
