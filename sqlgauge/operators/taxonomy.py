@@ -163,6 +163,7 @@ def unknown_names(errors: DataFrame, columns: DataFrame) -> DataFrame:
 
     ``errors`` are wrong rows, ``columns`` a long catalog. Only the distinct lists of names of each database are compared with
     the catalog, name by name; databases without catalog rows are left out. No row carries a database's columns.
+    Catalogs repeat themselves and shrink on disk to far less than they take in memory, so they are merged, not broadcast.
     """
     pred = F.col("pred_sql")
     named = errors.select("db_id", syntax_error_type(pred).alias("_syntax"), pred)
@@ -170,8 +171,8 @@ def unknown_names(errors: DataFrame, columns: DataFrame) -> DataFrame:
     lists = evaluated_once(clauses, _refs=_refs(F.col("_where"), F.col("_having"), F.col("_group"))).select("db_id", "_refs")
     lists = lists.filter(F.size("_refs") > 0).distinct()
     names = columns.filter(F.col("col_name") != "*").select("db_id", F.lower("col_name").alias("_name")).distinct()
-    each = lists.join(names.select("db_id").distinct(), "db_id", "left_semi").select("db_id", "_refs", F.posexplode("_refs").alias("_at", "_name"))
-    missing = each.join(names, ["db_id", "_name"], "left_anti").groupBy("db_id", "_refs")
+    each = lists.join(names.select("db_id").distinct().hint("merge"), "db_id", "left_semi").select("db_id", "_refs", F.posexplode("_refs").alias("_at", "_name"))
+    missing = each.join(names.hint("merge"), ["db_id", "_name"], "left_anti").groupBy("db_id", "_refs")
     found = missing.agg(F.array_sort(F.collect_list(F.struct("_at", "_name"))).alias("_found"))
     return found.select("db_id", "_refs", F.transform("_found", lambda x: x["_name"]).alias("_unknown"))
 

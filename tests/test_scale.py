@@ -1,6 +1,6 @@
 """What keeps the work of a query from growing faster than its input."""
 
-from sqlgauge.operators import execution
+from sqlgauge.operators import execution, taxonomy
 from sqlgauge.sources.databases import Databases
 
 
@@ -14,3 +14,11 @@ def test_results_of_equal_types_are_made_texts_once(spark, tmp_path, monkeypatch
     found = {r["statement"]: r["n_rows"] for r in execution._digest_rows(session, rows, 15).collect()}
     assert found == {r["statement"]: n for r, n in zip(rows, [0, 1, 2, 3, 4, 5, 5, 5, 1])}
     assert len(made) == 2
+
+
+def test_a_catalog_is_not_broadcast(spark):
+    errors = spark.createDataFrame([("d", "SELECT a FROM t WHERE b = 1 AND c = 2"), ("e", "SELECT a FROM t WHERE b = 1 AND c = 2")], "db_id string, pred_sql string")
+    columns = spark.createDataFrame([("d", "a"), ("e", "c")], "db_id string, col_name string")
+    found = taxonomy.unknown_names(errors, columns)
+    assert [(r["db_id"], r["_unknown"]) for r in found.collect()] == [("d", ["c"])]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
