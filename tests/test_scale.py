@@ -1,6 +1,10 @@
 """What keeps the work of a query from growing faster than its input."""
 
+from pyspark.sql import functions as F
+
+from sqlgauge.functions import features, text
 from sqlgauge.operators import execution, taxonomy
+from sqlgauge.session import spread
 from sqlgauge.sources.databases import Databases
 
 
@@ -22,3 +26,18 @@ def test_a_catalog_is_not_broadcast(spark):
     found = taxonomy.unknown_names(errors, columns)
     assert [(r["db_id"], r["_unknown"]) for r in found.collect()] == [("d", ["c"])]
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_scan_is_cut_by_rows(spark):
+    df = spark.range(1000, numPartitions=8)
+    assert spread(df, rows=10).rdd.getNumPartitions() == 100
+    assert spread(df, rows=10).agg(F.sum("id")).first()[0] == 499500
+
+
+def test_plain_patterns_find_the_same(spark):
+    texts = ["select a from t1 join\tB_2 on x", "SELECT a FROM äö JOIN Ж on x", "FROM  a", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "sql string")
+    wide = F.regexp_extract_all("sql", F.lit(features._TABLE), F.lit(1))
+    rows = df.select(text.every_match(F.col("sql"), features._TABLE).alias("found"), wide.alias("wide")).collect()
+    assert [r["found"] for r in rows] == [r["wide"] for r in rows]
+    assert rows[0]["found"] == ["t1", "B_2"]
