@@ -155,7 +155,8 @@ def augment(
     related = augmentation.related_examples(train, databases)
     shown = augmentation.error_sources(augmentation.error_examples(errors, weak), chosen.gold_as_query)
     sources = related.select(*shown.columns).unionByName(shown)
-    rows = written(augmentation.augment(sources, chosen), "rewrites")
+    made = augmentation.augment(augmentation.related_by_category(train, databases), chosen)
+    rows = written(made.unionByName(augmentation.augment(shown, chosen)), "rewrites")
     original = prompts.prepare_training_data(train, ddl, settings.prompts)
     place = augmentation.training_mix(original, rows, chosen.seed)
     return Augmentation(

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from sqlgauge.functions import features, text
-from sqlgauge.operators import execution, taxonomy
+from sqlgauge.operators import augmentation, execution, taxonomy
 from sqlgauge.session import spread
 from sqlgauge.sources.databases import Databases
 
@@ -41,3 +41,21 @@ def test_plain_patterns_find_the_same(spark):
     rows = df.select(text.every_match(F.col("sql"), features._TABLE).alias("found"), wide.alias("wide")).collect()
     assert [r["found"] for r in rows] == [r["wide"] for r in rows]
     assert rows[0]["found"] == ["t1", "B_2"]
+
+
+def test_rewrites_are_made_once_for_all_models(spark):
+    train = spark.createDataFrame(
+        [(1, "d", "Q?", "SELECT max(a) FROM t GROUP BY b"), (1, "d", "Q?", "SELECT max(a) FROM t GROUP BY b"), (2, "e", "R?", "SELECT a FROM u")],
+        "idx long, db_id string, question string, query string",
+    )
+    databases = spark.createDataFrame(
+        [("m", "d", ["E3_AGGREGATION", "E1_SCHEMA_LINKING"]), ("n", "d", ["E3_AGGREGATION"]), ("n", "e", ["E1_SCHEMA_LINKING"])],
+        "model_name string, db_id string, weak array<string>",
+    )
+    shared = augmentation.related_by_category(train, databases)
+    assert shared.count() == 5
+    each = augmentation.augment(augmentation.related_examples(train, databases))
+    found = augmentation.augment(shared)
+    assert found.columns == each.columns
+    assert sorted(map(str, found.collect())) == sorted(map(str, each.collect()))
+    assert each.count() > 0
