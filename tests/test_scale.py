@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from sqlgauge.functions import features, text
 from sqlgauge.operators import augmentation, execution, taxonomy
 from sqlgauge.session import spread
+from sqlgauge.sources import corpus
 from sqlgauge.sources.databases import Databases
 
 
@@ -59,3 +60,15 @@ def test_rewrites_are_made_once_for_all_models(spark):
     assert found.columns == each.columns
     assert sorted(map(str, found.collect())) == sorted(map(str, each.collect()))
     assert each.count() > 0
+
+
+def test_a_catalog_is_dealt_by_rows(spark):
+    nested = "struct<table_idx:int,name:string>"
+    rows = spark.range(100).select(
+        F.col("id").alias("idx"), F.lit("train").alias("split"), F.when(F.col("id") % 9 > 0, F.lit("big")).alias("db_id"),
+        F.array(F.lit("t")).alias("table_names"), F.array(F.struct(F.lit(0).alias("table_idx"), F.concat(F.lit("c"), "id").alias("name"))).cast(f"array<{nested}>").alias("columns"),
+        F.array(F.lit("x")).alias("column_types"), F.lit(None).cast("array<struct<col:int,ref_col:int>>").alias("foreign_keys"), F.array(F.lit(0)).alias("primary_keys"),
+    )
+    found = corpus.schema_catalog(rows, rows=2)
+    assert found.rdd.getNumPartitions() == 50
+    assert {(r["db_id"], r["columns"][0]["name"]) for r in found.collect()} == {(None, "c0"), ("big", "c1")}
