@@ -72,3 +72,9 @@ def test_a_catalog_is_dealt_by_rows(spark):
     found = corpus.schema_catalog(rows, rows=2)
     assert found.rdd.getNumPartitions() == 50
     assert {(r["db_id"], r["columns"][0]["name"]) for r in found.collect()} == {(None, "c0"), ("big", "c1")}
+
+
+def test_a_task_of_a_scan_holds_few_rows(spark):
+    df = spread(spark.range(20 << 14, numPartitions=1))
+    assert df.rdd.getNumPartitions() >= 20
+    assert max(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()) <= 17_000
