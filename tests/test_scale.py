@@ -78,3 +78,28 @@ def test_a_task_of_a_scan_holds_few_rows(spark):
     df = spread(spark.range(20 << 14, numPartitions=1))
     assert df.rdd.getNumPartitions() >= 20
     assert max(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()) <= 17_000
+
+
+def test_words_are_found_by_their_first_letters(spark):
+    texts = [
+        "SELECT a FROM t join u ON 1 Left\tJoin v USING (x) jrom w FOIN z", "select Count (a), MAX(b), avg(c), mum(d), sin(e) from t",
+        "SELECT a FROM t WHERE GROUP x ORDER BY b", "where a = 'goal' and h > 1\n", "WHERE  \n", "WHERE\n", "a where b\nor c limıt 1 LIMIT 2",
+        "GROUP BY a, b\n", "GROUP BY a\nHAVING b", "group by \n a having x > 0\n\n", "HAVING orders ORDER BY 1", "HAVING o\n", "ſELECT a FROM Ж", "", None,
+    ]
+    one, many, blank, word = text.ONE_LINE, text.MULTI_LINE, text.SPACE, text.WORD
+    plainly = {
+        features._TABLE: rf"{one}(?:FROM|JOIN){blank}+({word}+)",
+        features._JOIN: rf"{one}((?:(?:LEFT|RIGHT|INNER|OUTER|CROSS|NATURAL){blank}*)?JOIN){blank}+({word}+){blank}+(?:ON|USING)",
+        features._AGGREGATE: rf"{one}(COUNT|SUM|AVG|MIN|MAX){blank}*\(",
+        features._GROUP_BY: rf"{one}GROUP{blank}+BY{blank}+(.+?)(?:HAVING|ORDER|LIMIT|$)",
+        features._HAVING: rf"{one}HAVING{blank}+(.+?)(?:ORDER|LIMIT|$)",
+        features._WHERE: rf"{many}WHERE{blank}+(.+?)(?:GROUP|ORDER|LIMIT|HAVING|$)",
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "sql string")
+    for quick, plain in plainly.items():
+        assert quick != plain  # the words of a plain pattern are compared at every character
+        for use in (lambda p: p, text.plain_pattern):
+            each = [F.transform(F.regexp_extract_all("sql", F.lit(use(p)), F.lit(1)), text.strip) for p in (quick, plain)]
+            rows = df.select(*[e.alias(n) for n, e in zip(("quick", "plain"), each)]).collect()
+            assert [r["quick"] for r in rows] == [r["plain"] for r in rows]
+            assert any(r["quick"] for r in rows)
