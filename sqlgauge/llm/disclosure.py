@@ -36,6 +36,8 @@ REMOVE = 0.999
 FILTER_BITS = 1 << 27
 #: Entities of a document to one share of its terms.
 WIDE = 1024
+#: Bytes of texts that a task hands to Python at once; a longer text goes alone.
+BATCH_BYTES = 4 << 20
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -47,6 +49,7 @@ _LETTERS = bytes(c if 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 for c
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 _SPANS = "array<struct<start:bigint,end:bigint,kind:int>>"
+_ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 Span = tuple[int, int, int]
 
@@ -129,6 +132,24 @@ def terms_of(text: str) -> set[str]:
     return out
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """work.written, with batches of at most BATCH_BYTES to Python.
+
+    Spark hands over 10,000 rows or 64 MB at once, which the JVM and the worker of each core hold, besides the vectors that
+    grow to take them.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(_ARROW_BYTES, None)
+    conf.set(_ARROW_BYTES, str(BATCH_BYTES))
+    try:
+        return work.written(df, name)
+    finally:
+        if before is None:
+            conf.unset(_ARROW_BYTES)
+        else:
+            conf.set(_ARROW_BYTES, before)
+
+
 def _found(rows: DataFrame) -> DataFrame:
     """row, doc_id, base spans and distinct entities of each row."""
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32())])
@@ -154,12 +175,15 @@ def _terms(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            held, dealt, terms = [], [], []
             for row, text, slices in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                terms = sorted(terms_of(text.as_py()))
-                dealt = [xxhash.xxh64_intdigest(t, 0) % slices for t in terms]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row] * len(terms), pa.int64()), pa.array(dealt, pa.int64()), pa.array(terms, pa.string())], ["row", "slice", "term"]
-                )
+                some = sorted(terms_of(text.as_py()))
+                held += [row] * len(some)
+                dealt += [xxhash.xxh64_intdigest(t, 0) % slices for t in some]
+                terms += some
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(held, pa.int64()), pa.array(dealt, pa.int64()), pa.array(terms, pa.string())], ["row", "slice", "term"]
+            )
 
     return rows.select("row", "text", "slices").mapInArrow(run, "row long, slice long, term string")
 
@@ -188,7 +212,7 @@ def candidates(rows: DataFrame, found: DataFrame, n_rows: int, least: int = LEAS
     entities = _firsts(_sets(pairs, "entity", least), "entity").select("entity", "entity_rows")
     pairs = work.written(session.lookup_join(pairs, entities, "entity", F.col("row"), "inner"), "entities")
     slices = pairs.groupBy("row").agg((1 + F.floor(F.count("*") / WIDE)).alias("slices"))
-    terms = work.written(_terms(rows.join(slices, "row")), "terms")
+    terms = _written(_terms(rows.join(slices, "row")), "terms")
     most = pairs.agg(F.max("entity_rows")).first()[0] or 0
     bound = lambda rows: F.log2(F.lit(float(n_rows)) / F.col("term_rows")) >= share * F.log2(F.lit(float(n_rows)) / rows) - 1e-9
     rare = work.written(_sets(terms, "term", least).where(bound(F.lit(float(most or 1)))), "rare")
@@ -250,7 +274,7 @@ def disclosing(rows: DataFrame, found: DataFrame, least: int, share: float, bits
     """The disclosing terms (term, share), and the rows that hold them (row, term, share)."""
     n_rows = found.count()
     pairs = work.written(candidates(rows, found, n_rows, least, share), "candidates")
-    holding = work.written(_holding(rows, pairs.select("term"), bits), "holding")
+    holding = _written(_holding(rows, pairs.select("term"), bits), "holding")
     every = holding.groupBy("term").agg(F.count("*").alias("term_rows"))
     shares = pairs.join(every, "term").groupBy("term").agg(F.max(_share(n_rows)).alias("share"))
     shares = work.written(shares.where(F.col("share") >= share), "shares")
@@ -260,7 +284,9 @@ def disclosing(rows: DataFrame, found: DataFrame, least: int, share: float, bits
 def _term_spans(rows: DataFrame, marked: DataFrame) -> DataFrame:
     """row and the places of its disclosing terms, each with 4 as its kind, 5 if it is removed."""
     lists = marked.groupBy("row").agg(F.collect_list(F.struct("term", (F.col("share") >= REMOVE).alias("gone"))).alias("terms"))
-    holding = rows.join(lists, "row").select("row", "text", "terms")
+    lists = work.written(lists, "marked")  # few rows, so the texts needn't be shuffled to them
+    few = session.file_bytes(lists) <= session.BROADCAST_BYTES
+    holding = rows.join(F.broadcast(lists) if few else lists, "row").select("row", "text", "terms")
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,9 +325,9 @@ def personal_data(
     empty and has no spans. Repeated rows count as documents of their own. An empty table gives no rows.
     """
     rows = _rows(docs)
-    found = work.written(_found(rows), "personal")
+    found = _written(_found(rows), "personal")
     _, marked = disclosing(rows, found, least, share, bits)
-    terms = work.written(_term_spans(rows, marked), "term_spans")
+    terms = _written(_term_spans(rows, marked), "term_spans")
     return found.drop("entities").join(terms, "row", "left").withColumn("term_spans", F.coalesce("term_spans", F.array().cast(_SPANS)))
 
 

@@ -247,6 +247,45 @@ def test_long_terms_disclose_a_value(docs):
     assert told == {1000 + i: [long, clause] for i in range(5)} | {2000: [clause]}
 
 
+def test_texts_go_to_python_in_bounded_batches(docs, monkeypatch):
+    pad = "common words " * 1_600  # 20 KB
+    name = lambda i: "abcdefghij"[i // 10] + "abcdefghij"[i % 10]
+    given = [(i, f"{pad} clue{name(i % 50)} {name(i % 50)}@x{name(i % 50)}.org") for i in range(400)]
+    given += [(1000, "common " * 900_000)]
+    table, most = docs(given, parts=1), disclosure.BATCH_BYTES
+    frame = type(table)
+    plain, asked = frame.mapInArrow, []
+
+    def watched(df, run, schema):
+        def bounded(batches):
+            def each():
+                for batch in batches:
+                    # a batch ends behind the row that fills it
+                    if batch.nbytes > most + max(len(t.as_py() or b"") for t in batch.column("text")) + 64 * batch.num_rows:
+                        raise ValueError(f"{batch.num_rows} rows of {batch.nbytes} bytes")
+                    yield batch
+
+            return run(each())
+
+        asked.append(schema)
+        return plain(df, bounded, schema)
+
+    monkeypatch.setattr(frame, "mapInArrow", watched)
+    before = table.sparkSession.conf.get(disclosure._ARROW_BYTES, None)
+    found = {r.doc_id: r for r in disclosure.personal_data(table).collect()}
+    assert len(asked) == 4 and len(found) == len(given)
+    assert table.sparkSession.conf.get(disclosure._ARROW_BYTES, None) == before
+    assert all([text[s.start : s.end] for s in found[i].term_spans] == [f"clue{name(i % 50)}"] for i, text in given[:400])
+    assert found[1000].term_spans == []
+
+
+def test_marking_shuffles_no_texts(docs):
+    rows = disclosure._rows(docs(disclosing_rows()))
+    marked = docs([]).selectExpr("row", "text AS term", "score AS share")
+    plan = disclosure._term_spans(rows, marked)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
 def test_personal_data_of_odd_rows(docs):
     found = disclosure.personal_data(docs(ODD)).collect()
     assert len(found) == len(ODD) and all(r.spans == [] and r.term_spans == [] for r in found)
