@@ -36,8 +36,7 @@ REMOVE = 0.999
 FILTER_BITS = 1 << 27
 #: Entities of a document to one share of its terms.
 WIDE = 1024
-#: Bytes of texts that a task hands to Python at once; a longer text goes alone.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = work.BATCH_BYTES
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -49,7 +48,7 @@ _LETTERS = bytes(c if 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 for c
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 _SPANS = "array<struct<start:bigint,end:bigint,kind:int>>"
-_ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+_ARROW_BYTES = work.ARROW_BYTES
 
 Span = tuple[int, int, int]
 
@@ -133,21 +132,7 @@ def terms_of(text: str) -> set[str]:
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
-    """work.written, with batches of at most BATCH_BYTES to Python.
-
-    Spark hands over 10,000 rows or 64 MB at once, which the JVM and the worker of each core hold, besides the vectors that
-    grow to take them.
-    """
-    conf = df.sparkSession.conf
-    before = conf.get(_ARROW_BYTES, None)
-    conf.set(_ARROW_BYTES, str(BATCH_BYTES))
-    try:
-        return work.written(df, name)
-    finally:
-        if before is None:
-            conf.unset(_ARROW_BYTES)
-        else:
-            conf.set(_ARROW_BYTES, before)
+    return work.written(df, name, batch_bytes=BATCH_BYTES)
 
 
 def _found(rows: DataFrame) -> DataFrame:

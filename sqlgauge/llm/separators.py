@@ -52,7 +52,7 @@ def write_flat(docs: DataFrame, folder: str, path: str | None = None, end_id: in
                     ["file", "ordinal", "doc_id"],
                 )
 
-    return work.written(work.documents(docs).mapInArrow(run, "file string, ordinal long, doc_id long"), "named")
+    return work.written(work.documents(docs).mapInArrow(run, "file string, ordinal long, doc_id long"), "named", batch_bytes=work.BATCH_BYTES)
 
 
 def blocks(spark: SparkSession, folder: str, block_bytes: int) -> DataFrame:

@@ -30,6 +30,9 @@ SHARD_BYTES = 16 * 1024 * 1024
 #: A partition that gets more tokens than this writes a further shard.
 SHARD_TOKENS = 1 << 23
 BLOCK = 1 << 16
+#: Rows of the list of files to one file of it, and tokens that a task reads about; a shard is read by one task.
+LISTED = 1 << 16
+READ_TOKENS = 1 << 22
 
 _MAGIC = b"WVM1"
 
@@ -50,10 +53,14 @@ def _packed(plane: np.ndarray) -> tuple[bytes, bytes]:
     return np.array([places, ranks], "<i8").tobytes(), b"".join(blocks)
 
 
+def _kind(n_planes: int) -> type:
+    return np.uint16 if n_planes <= 16 else np.uint32
+
+
 def build(doc_ids: list[int | None], starts: np.ndarray, tokens: np.ndarray) -> Iterator[bytes]:
     """The parts of a shard file. ``starts`` has one more entry than there are documents."""
     n_planes = max(1, int(tokens.max(initial=0)).bit_length())
-    rest = tokens.astype(np.uint16 if n_planes <= 16 else np.uint32)
+    rest = tokens.astype(_kind(n_planes), copy=False)
     zeros, sections = [], []
     sections.append(np.array([d or 0 for d in doc_ids], "<i8").tobytes())
     sections.append(np.array([d is not None for d in doc_ids], np.uint8).tobytes())
@@ -153,7 +160,7 @@ class Shard:
 
     def tokens(self) -> np.ndarray:
         """All tokens, by undoing the planes from the lowest to the highest."""
-        out = np.zeros(self.n_tokens, np.uint32)
+        out = np.zeros(self.n_tokens, _kind(len(self.zeros)))
         for plane in range(len(self.zeros) - 1, -1, -1):
             places, data = self._directory(plane)[0], self._section(4 + 2 * plane)
             parts = [
@@ -162,7 +169,7 @@ class Shard:
             ones = np.concatenate(parts) if parts else np.zeros(0, bool)
             above = np.empty_like(out)
             above[~ones] = out[: self.zeros[plane]]
-            above[ones] = out[self.zeros[plane] :] | np.uint32(1 << (len(self.zeros) - 1 - plane))
+            above[ones] = out[self.zeros[plane] :] | out.dtype.type(1 << (len(self.zeros) - 1 - plane))
             out = above
         return out
 
@@ -195,18 +202,21 @@ def write_shards(
     rows = work.documents(docs)
     size = rows.agg(F.sum(F.octet_length("text").cast("long") + 64)).first()[0] or 0
     keys = ["doc_id", "hash"]
-    rows = rows.withColumn("hash", F.xxhash64("text")).repartitionByRange(max(1, -(-size // shard_bytes)), *keys).sortWithinPartitions(*keys)
+    n_shards = max(1, -(-size // shard_bytes))
+    rows = rows.withColumn("hash", F.xxhash64("text")).repartitionByRange(n_shards, *keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, part = TaskContext.get().partitionId(), 0
         ids: list[int | None] = []
         arrays: list[np.ndarray] = []
         size = 0
-        end = np.array([end_id], "<u4")
+        kind = _kind(max(encoder(path).size - 1, end_id).bit_length())
+        end = np.array([end_id], kind)
 
         def flushed() -> pa.RecordBatch:
             starts = np.cumsum([0] + [len(a) + 1 for a in arrays])
             tokens = np.concatenate([x for a in arrays for x in (a, end)])
+            arrays.clear()
             uri = f"{folder}/{shard:06d}-{part:06d}.wvm"
             work.put_file(uri, build(ids, starts, tokens))
             columns = [[shard], [part], [uri], [len(ids)], [len(tokens)]]
@@ -218,13 +228,14 @@ def write_shards(
                     yield flushed()
                     ids, arrays, size, part = [], [], 0, part + 1
                 ids.append(doc_id)
-                arrays.append(tokens.astype(np.uint16) if encoder(path).size <= 1 << 16 else tokens.copy())
+                arrays.append(tokens.astype(kind))
                 size += len(tokens) + 1
         if arrays:
             yield flushed()
 
     files = rows.select("doc_id", "text").mapInArrow(run, "shard long, part long, uri string, n_docs long, n_tokens long")
-    return Shards(work.written(files, "shards"), folder)
+    files = files.repartition(-(-n_shards // LISTED))
+    return Shards(work.written(files, "shards", batch_bytes=work.BATCH_BYTES), folder)
 
 
 def placed(shards: Shards) -> DataFrame:
@@ -242,11 +253,11 @@ def read_shards(shards: Shards) -> DataFrame:
                 store, path = work.file_system(uri)
                 with store.open_input_file(path) as file:
                     shard = Shard(file)
-                    tokens = shard.tokens().astype("<u4", copy=False)
+                    tokens = shard.tokens()
                     n = len(shard.doc_ids)
                     first = 0
                     while first < n:
-                        limit = shard.starts[first] + (1 << 21)
+                        limit = shard.starts[first] + (1 << 20)
                         last = max(first + 1, int(np.searchsorted(shard.starts, limit, side="right")) - 1)
                         starts = shard.starts[first : last + 1]
                         yield pa.RecordBatch.from_arrays(
@@ -254,11 +265,13 @@ def read_shards(shards: Shards) -> DataFrame:
                                 pa.array(shard.doc_ids[first:last], pa.int64()),
                                 pa.array(base + starts[:-1]),
                                 pa.array(np.diff(starts)),
-                                pa.array([tokens[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:])], pa.binary()),
+                                pa.array([tokens[a:b].astype("<u4").tobytes() for a, b in zip(starts[:-1], starts[1:])], pa.binary()),
                             ],
                             ["doc_id", "start", "n_tokens", "ids"],
                         )
                         first = last
 
     files = placed(shards).select("uri", "base")
-    return files.repartition(max(1, shards.files.count())).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    n_files, n_tokens = shards.files.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    tasks = min(n_files, max(files.sparkSession.sparkContext.defaultParallelism, -(-n_tokens // READ_TOKENS)))
+    return files.repartition(max(1, tasks)).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")

@@ -11,6 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from sqlgauge.llm import packing, separators, tokens, wavelet, work
+from sqlgauge.llm.disclosure import _ARROW_BYTES as ARROW_BYTES
 from tests.llm.conftest import ODD
 
 
@@ -167,6 +168,60 @@ def test_shards_hold_all_rows_in_order(docs, plain, shard_bytes):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.ids) for r in rows) == wanted
 
 
+def test_small_shards_share_a_list_and_tasks(docs):
+    """A file or task for each small shard would be some hundred files of one row."""
+    given = [(i, f"text {i} " + "word " * 100) for i in range(200)]
+    shards = wavelet.write_shards(docs(given, 4), shard_bytes=1 << 10)
+    assert shards.files.count() > 50
+    assert len(shards.files.inputFiles()) == 1
+    read = wavelet.read_shards(shards)
+    assert read.rdd.getNumPartitions() <= read.sparkSession.sparkContext.defaultParallelism
+    assert sorted(r.doc_id for r in read.select("doc_id").collect()) == list(range(200))
+
+
+@pytest.mark.parametrize("operator", [wavelet.write_shards, separators.counted])
+def test_texts_go_to_python_in_bounded_batches(docs, monkeypatch, operator):
+    table = docs([(i, f"{i} " + "common words " * 1_600) for i in range(400)] + [(1000, "common " * 900_000)], parts=1)
+    frame, most, asked = type(table), 4 << 20, []
+    plain = frame.mapInArrow
+
+    def watched(df, run, schema):
+        texts = "text" in df.columns
+
+        def bounded(batches):
+            def each():
+                for batch in batches:
+                    # a batch ends behind the row that fills it
+                    if texts and batch.nbytes > most + max(len(str(t)) for t in batch.column("text")) + 64 * batch.num_rows:
+                        raise ValueError(f"{batch.num_rows} rows of {batch.nbytes} bytes")
+                    yield batch
+
+            return run(each())
+
+        asked.append(texts)
+        return plain(df, bounded, schema)
+
+    monkeypatch.setattr(frame, "mapInArrow", watched)
+    before = table.sparkSession.conf.get(ARROW_BYTES, None)
+    made = operator(table)
+    made = made if isinstance(made, frame) else made[0]
+    assert made.count() and any(asked)
+    assert table.sparkSession.conf.get(ARROW_BYTES, None) == before
+
+
+def test_texts_are_cut_some_at_a_time(plain, monkeypatch):
+    encoder, cut, asked = tokens.Encoder(tokens.default_path()), tokens.Encoder._cut, []
+
+    def watched(self, texts):
+        asked.append(texts.nbytes)
+        return cut(self, texts)
+
+    monkeypatch.setattr(tokens.Encoder, "_cut", watched)
+    text = "some words " * 9_000  # 100 KB
+    assert [x.tolist() for x in encoder.encode(pa.array([text] * 100))] == [plain(text)] * 100
+    assert len(asked) > 2 and max(asked) < 5 << 20
+
+
 @pytest.mark.parametrize("block_bytes", [2, 64, 1 << 22])
 def test_counts_across_blocks(docs, plain_as_text, block_bytes):
     given = [(i, t) for i, t in ODD if i not in (6, 7)]
