@@ -128,7 +128,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, pie
     ``capacity`` tokens and its offsets have no gaps. Repeated rows and rows without doc_id are packed like
     any other. Other columns are not read. An empty table gives no rows.
     """
-    stored = work.written(pieces(docs, path or default_path(), capacity, piece), "pieces", "zstd")
+    stored = work.written(pieces(docs, path or default_path(), capacity, piece), "pieces", "zstd", work.BATCH_BYTES)
     narrow = stored.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "piece")
     whole = narrow.where(F.col("length") == capacity).select(
         "*", (F.lit(1 << 61) + F.col("piece")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")

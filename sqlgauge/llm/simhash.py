@@ -192,7 +192,7 @@ def near_groups(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     copies and repeated rows add nothing to the search. Rows without doc_id come last in their component. An empty
     table gives no rows.
     """
-    rows = work.written(fingerprints(docs, width), "fingerprints")
+    rows = work.written(fingerprints(docs, width), "fingerprints", batch_bytes=work.BATCH_BYTES)
     nodes = rows.groupBy("fingerprint").agg(F.min(work.smallest("doc_id", "row")).alias("first"))
     nodes = work.written(nodes, "nodes")
     roots = work.written(components(links(nodes)), "roots")

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from sqlgauge.llm import packing, separators, tokens, wavelet, work
+from sqlgauge.llm import packing, separators, simhash, tokens, wavelet, work
 from sqlgauge.llm.disclosure import _ARROW_BYTES as ARROW_BYTES
 from tests.llm.conftest import ODD
 
@@ -179,7 +179,7 @@ def test_small_shards_share_a_list_and_tasks(docs):
     assert sorted(r.doc_id for r in read.select("doc_id").collect()) == list(range(200))
 
 
-@pytest.mark.parametrize("operator", [wavelet.write_shards, separators.counted])
+@pytest.mark.parametrize("operator", [wavelet.write_shards, packing.pack, separators.counted, simhash.near_groups])
 def test_texts_go_to_python_in_bounded_batches(docs, monkeypatch, operator):
     table = docs([(i, f"{i} " + "common words " * 1_600) for i in range(400)] + [(1000, "common " * 900_000)], parts=1)
     frame, most, asked = type(table), 4 << 20, []
