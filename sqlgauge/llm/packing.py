@@ -111,6 +111,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, piece: int = PI
                     rows, size = [], 0
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+            pa.default_memory_pool().release_unused()  # else a worker keeps what the largest batch took, also when it idles
 
     return work.documents(docs).mapInArrow(run, _PIECES)
 

@@ -123,7 +123,6 @@ class Encoder:
             for string in self.added:
                 whole = whole | pc.match_substring(part, string).to_numpy(zero_copy_only=False)
             ids, counts = self._cut(part.filter(pa.array(~whole)))
-            pa.default_memory_pool().release_unused()  # else a worker keeps what the largest part took, also when it idles
             until, seen = np.cumsum(counts), 0
             for k in range(len(part)):
                 if whole[k]:
