@@ -170,8 +170,9 @@ def links(values: DataFrame, dense: int = DENSE) -> DataFrame:
     calm = home.join(crowded, "anchor", "left_anti")
     other = reach.withColumnRenamed("fingerprint", "other")
     close = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("other"))) <= THRESHOLD
-    # A pair meets at the home of both; where one home is crowded and the other isn't, at the calm one.
-    found = calm.join(other, (calm["anchor"] == other["anchor"]) & (calm["fingerprint"] != other["other"]) & close)
+    # A pair meets at the home of both; where one home is crowded and the other isn't, at the calm one. Spark sizes the replicas
+    # like the fingerprints that they are made of, some sixty times too low, and would broadcast them.
+    found = calm.join(other.hint("merge"), (calm["anchor"] == other["anchor"]) & (calm["fingerprint"] != other["other"]) & close)
     pairs = found.select(F.col("fingerprint").alias("a"), F.col("other").alias("b"))
     if crowded.isEmpty():
         return pairs

@@ -213,3 +213,12 @@ def test_components_of_a_chain_and_a_star(spark):
     assert of[6000] == of[6001] == 6000
     assert 5000 not in of
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_replicas_of_fingerprints_are_not_broadcast(spark):
+    values = [0, 3, 1 << 40, -1]
+    nodes = work.written(spark.createDataFrame([(v,) for v in values], "fingerprint long"), "nodes")
+    found = simhash.links(nodes)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [anchor" in plan and not re.search(r"BroadcastHashJoin .*Inner", plan)
+    assert {frozenset(r) for r in found.collect()} == {frozenset(p) for p in [(0, 3), (0, 1 << 40)]}
