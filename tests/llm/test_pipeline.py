@@ -4,7 +4,7 @@ import re
 from collections import defaultdict
 
 import corpus_pipeline
-from sqlgauge.llm import work
+from sqlgauge.llm import simhash, work
 from tests.conftest import DATA
 from tests.llm.conftest import ODD
 from tests.llm.test_dedup import classes, plain_text, slow_fingerprint
@@ -92,3 +92,18 @@ def test_stages_of_an_empty_table(spark, docs):
         found = stage(spark, rows, DATA)
         assert found.columns == rows.columns and found.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, rows, DATA).count() == 0
+
+
+def test_near_stage_does_not_broadcast_replicas(spark, docs, monkeypatch):
+    plans = []
+    tied = simhash.components
+
+    def seen(links):
+        plans.append(links._jdf.queryExecution().executedPlan().toString())
+        return tied(links)
+
+    monkeypatch.setattr(simhash, "components", seen)
+    rows = docs([(i, f"text {i % 20} of these documents") for i in range(60)])
+    assert dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, rows, "").count() <= 20
+    (plan,) = plans
+    assert "SortMergeJoin [anchor" in plan and "Inner, BuildRight" not in plan
