@@ -1,11 +1,13 @@
 """What keeps the work of a query from growing faster than its input."""
 
+import pytest
+from pyspark.errors.exceptions import captured
 from pyspark.sql import functions as F
 
 from sqlgauge.functions import features, text
-from sqlgauge.operators import augmentation, execution, taxonomy
+from sqlgauge.operators import augmentation, chunks, execution, taxonomy
 from sqlgauge.session import spread
-from sqlgauge.sources import corpus
+from sqlgauge.sources import corpus, databases
 from sqlgauge.sources.databases import Databases
 
 
@@ -103,3 +105,34 @@ def test_words_are_found_by_their_first_letters(spark):
             rows = df.select(*[e.alias(n) for n, e in zip(("quick", "plain"), each)]).collect()
             assert [r["quick"] for r in rows] == [r["plain"] for r in rows]
             assert any(r["quick"] for r in rows)
+
+
+def test_invalid_statements_cost_no_python_exception(spark, tmp_path, monkeypatch):
+    spark.range(5).write.parquet(f"{tmp_path}/t.parquet")
+    session = Databases(spark, {"d": {"t": f"{tmp_path}/t.parquet"}}).session("d")
+    bad = ["SELECT missing FROM t", "SELECT 1 FROM nowhere", "SELECT FROM WHERE", "SELECT nope(id) FROM t", "SELECT 1 AS a, 'é' FROM t GROUP BY 7", "SELECT ? FROM t"]
+    known = []
+    for text in bad:
+        try:
+            session.sql(text)
+        except Exception as error:
+            known.append(chunks.reason_of(error))
+    assert len(known) == len(bad)
+    rows = [{"database": "d", "statement": text} for text in [*bad, "SELECT id FROM t"]]
+    monkeypatch.setattr(captured, "convert_exception", lambda e: pytest.fail("converted"))
+    found = {r["statement"]: (r["success"], r["error"], r["n_rows"]) for r in execution._digest_rows(session, rows, 15).collect()}
+    assert found == {**{text: (False, reason, None) for text, reason in zip(bad, known)}, "SELECT id FROM t": (True, None, 5)}
+
+
+def test_statements_on_a_small_database_are_one_task(spark, tmp_path, monkeypatch):
+    spark.range(50, numPartitions=3).write.parquet(f"{tmp_path}/t.parquet")
+    texts = ["SELECT count(*) FROM t WHERE id > 3", "SELECT a.id % 7 FROM t a JOIN t b ON a.id = b.id", "SELECT max(id) FROM t GROUP BY id % 5"]
+    counts, plans = [], []
+    for bound in (databases.SMALL, 0):
+        monkeypatch.setattr(databases, "SMALL", bound)
+        session = Databases(spark, {"d": {"t": f"{tmp_path}/t.parquet"}}).session("d")
+        found = execution._digest_rows(session, [{"database": "d", "statement": text} for text in texts], 15)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        counts.append({(r["statement"], r["n_rows"], r["digest"]) for r in found.collect()})
+    assert counts[0] == counts[1] and {n for _, n, _ in counts[0]} == {1, 7, 5}
+    assert "Exchange hash" not in plans[0] and "Exchange Single" not in plans[0] and "Exchange hash" in plans[1]
