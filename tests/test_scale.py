@@ -136,3 +136,13 @@ def test_statements_on_a_small_database_are_one_task(spark, tmp_path, monkeypatc
         counts.append({(r["statement"], r["n_rows"], r["digest"]) for r in found.collect()})
     assert counts[0] == counts[1] and {n for _, n, _ in counts[0]} == {1, 7, 5}
     assert "Exchange hash" not in plans[0] and "Exchange Single" not in plans[0] and "Exchange hash" in plans[1]
+
+
+def test_places_are_moved_as_bytes(spark):
+    mix = spark.range(200).select("id", F.md5(F.col("id").cast("string")).alias("place"))
+    found = augmentation.dealt(mix, 4)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("RepartitionByExpression") :]
+    assert "unhex(" in below and "hex(place" not in below.replace("unhex(", "")
+    assert found.columns == ["id", "place"]
+    assert [r.place for r in found.collect()] == sorted(r.place for r in mix.collect())
