@@ -9,6 +9,8 @@ from sqlgauge.operators import augmentation, chunks, execution, taxonomy
 from sqlgauge.session import spread
 from sqlgauge.sources import corpus, databases
 from sqlgauge.sources.databases import Databases
+from tests.conftest import DATA
+from workload import queries
 
 
 def test_results_of_equal_types_are_made_texts_once(spark, tmp_path, monkeypatch):
@@ -146,3 +148,10 @@ def test_places_are_moved_as_bytes(spark):
     assert "unhex(" in below and "hex(place" not in below.replace("unhex(", "")
     assert found.columns == ["id", "place"]
     assert [r.place for r in found.collect()] == sorted(r.place for r in mix.collect())
+
+
+def test_rows_related_to_errors_are_classified_without_texts_in_store(spark, monkeypatch):
+    stored, put = {}, queries.written
+    monkeypatch.setattr(queries, "written", lambda df, name="stage": stored.update({name: df.columns}) or put(df, name))
+    queries._related_to_errors(spark, DATA)
+    assert stored["classified"] == ["model_name", "db_id", "difficulty", "is_correct", "categories", "primary_category"]
